@@ -29,15 +29,12 @@ def sample_kurtosis(c: Column) -> Column:
 def pearson(a: Column, b: Column) -> Column:
     """Correlation over the rows where both are present; null if one is constant.
 
-    ``corr`` raises on a constant column in ANSI mode, so this divides with
-    ``try_divide`` and keeps the spreads to the shared rows.
+    ``corr`` raises on a constant column in ANSI mode, so this divides the centred sums of
+    the shared rows with ``try_divide``.
     """
-    shared_a = F.when(b.isNotNull(), a)
-    shared_b = F.when(a.isNotNull(), b)
-    spread = F.stddev_pop(shared_a) * F.stddev_pop(shared_b)
-    r = F.try_divide(F.covar_pop(a, b), spread)
-    varies = (F.min(shared_a) < F.max(shared_a)) & (F.min(shared_b) < F.max(shared_b))
-    return F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    spread = F.sqrt(F.regr_sxx(a, b)) * F.sqrt(F.regr_syy(a, b))
+    r = F.try_divide(F.regr_sxy(a, b), spread)
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def clamp(c: Column, low: float | None = None, high: float | None = None) -> Column:

@@ -22,9 +22,9 @@ NUMBER_SHAPE = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
 
 def stripped(c: Column) -> Column:
     """The text without white space at either end, Unicode spaces included."""
-    edges = list(WHITESPACE)
-    padded = F.substring(c, 1, 1).isin(edges) | F.substring(c, -1, 1).isin(edges)
-    return F.when(padded, F.btrim(c, F.lit(WHITESPACE))).otherwise(c)
+    spaces = F.lit(WHITESPACE)
+    padded = F.contains(spaces, F.substring(c, 1, 1)) | F.contains(spaces, F.substring(c, -1, 1))
+    return F.when(padded, F.btrim(c, spaces)).otherwise(c)
 
 
 def normalised(c: Column) -> Column:
@@ -35,20 +35,20 @@ def is_empty(c: Column) -> Column:
     return F.octet_length(c) == 0
 
 
-def is_blank(c: Column) -> Column:
-    return F.octet_length(stripped(c)) == 0
+# The next three take stripped text, so that a caller strips once for all of them.
 
+def is_blank(text: Column) -> Column:
+    return F.octet_length(text) == 0
 
-def is_placeholder(c: Column, words: tuple[str, ...] = rules.PLACEHOLDERS) -> Column:
-    """Stands for a missing value ("n/a", "unknown", ...), ignoring case and padding."""
-    text = stripped(c)
+
+def is_placeholder(text: Column, words: tuple[str, ...] = rules.PLACEHOLDERS) -> Column:
+    """Stands for a missing value ("n/a", "unknown", ...), ignoring case."""
     # A character takes four bytes at most, so longer text can't be in the list.
     return (F.octet_length(text) <= 4 * max(map(len, words))) & F.lower(text).isin(*words)
 
 
-def is_number_text(c: Column) -> Column:
+def is_number_text(text: Column) -> Column:
     """Text that reads as a number: 2, -1.5, 1e5, inf; not 1d, 0x1A or 1,000."""
-    text = stripped(c)
     starts = F.substring(text, 1, 1).rlike(r"[0-9+\-.iI]")
     return starts & text.rlike(NUMBER_SHAPE)
 
@@ -74,10 +74,18 @@ def is_garbled(c: Column, any_non_ascii: bool) -> Column:
     return non_ascii & found
 
 
-def parsed_date(c: Column, layout: str, shape: str) -> Column:
-    """The text as a timestamp if it has this layout, else null."""
-    return F.when((F.octet_length(c) <= 40) & c.rlike(shape),
-                  F.try_to_timestamp(c, F.lit(layout)))
+# The longest text that can follow one of the date layouts.
+DATE_TEXT_BYTES = 40
+
+
+def date_text(c: Column) -> Column:
+    """The text if it is short enough to be a date, else null."""
+    return F.when(F.octet_length(c) <= DATE_TEXT_BYTES, c)
+
+
+def parsed_date(short: Column, layout: str, shape: str) -> Column:
+    """A short text as a timestamp if it has this layout, else null."""
+    return F.when(short.rlike(shape), F.try_to_timestamp(short, F.lit(layout)))
 
 
 def group_key(c: Column) -> Column:

@@ -13,7 +13,7 @@ DOMINANT_SHARE = 0.85
 
 SKEW_METRICS = [
     Metric("number_cells", "bigint", (NUMBER,), F.count),
-    Metric("skewness", "double", (NUMBER,), lambda c: sample_skewness(c.cast("double"))),
+    Metric("skewness", "double", (NUMBER,), sample_skewness),
 ]
 # A value held by more than 85 % of the cells is the median of any ordering, and a
 # median that is off by 1 % still is. So one small sketch of the hashes finds it.

@@ -10,7 +10,7 @@ from plumbline.operators.columns import (
     ALL_KINDS, BOOLEAN, DATETIME, NUMBER, STRING, Metric, column_metrics, literal_table, table_columns,
 )
 from plumbline.operators.frequencies import distinct_counts
-from plumbline.operators.profile import NULL_METRICS, _sample_metric
+from plumbline.operators.profile import NULL_METRICS, sample_values
 
 ROLE_SCHEMA = "column string, id_name boolean"
 
@@ -26,7 +26,7 @@ def _layout_count(layout: str, shape: str):
     return lambda c: F.count(parsed_date(c, layout, shape))
 
 
-DATE_LAYOUT_METRICS = [Metric(f"layout_{i}", "bigint", (STRING,), _layout_count(*f))
+DATE_LAYOUT_METRICS = [Metric(f"layout_{i}", "bigint", (STRING,), _layout_count(*f), "short")
                        for i, f in enumerate(rules.DATE_FORMATS)]
 
 
@@ -72,7 +72,7 @@ def _role() -> Column:
 
 def classify_columns(df: DataFrame, order_by: str | None = None, approx: bool = False) -> DataFrame:
     """Per column: tag, label, null_pct, n_distinct, n_rows and a sample value."""
-    stats = column_metrics(df, [*NULL_METRICS, *DATE_LAYOUT_METRICS, _sample_metric(order_by)])
+    stats = column_metrics(df, [*NULL_METRICS, *DATE_LAYOUT_METRICS]).join(sample_values(df, order_by), "column")
     distinct = distinct_counts(df, approx=approx).select("position", "n_distinct")
     names = literal_table(df.sparkSession, [(n, is_id_name(n)) for n in df.columns], ROLE_SCHEMA)
     labels = F.create_map(*[F.lit(x) for pair in rules.TAG_LABELS.items() for x in pair])

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline import rules
-from plumbline.functions.text import is_placeholder, normalised
+from plumbline.functions.text import is_placeholder, normalised, stripped
 from plumbline.operators.columns import NUMBER, STRING, Metric, ALL_KINDS, column_metrics, normalise, table_columns
 from plumbline.operators.frequencies import modes
 from plumbline.operators.quantiles import exact_quantiles
@@ -53,7 +53,7 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
 
 def null_placeholders(df: DataFrame) -> DataFrame:
     """Placeholder text becomes null; blank text is not a placeholder and stays."""
-    return df.withColumns({c.name: F.when(~is_placeholder(c.ref), c.ref) for c in table_columns(df, STRING)})
+    return df.withColumns({c.name: F.when(~is_placeholder(stripped(c.ref)), c.ref) for c in table_columns(df, STRING)})
 
 
 def sparse_columns(df: DataFrame) -> list[str]:

@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.functions.numeric import without_nan
+from plumbline.functions.text import date_text, stripped
 
 NUMBER, STRING, BOOLEAN, DATETIME, OTHER = "number", "string", "boolean", "datetime", "other"
 ALL_KINDS = (NUMBER, STRING, BOOLEAN, DATETIME, OTHER)
 
-# Aggregates per scan; wider tables are split by columns, and each scan then
-# reads its own columns only.
-EXPRESSIONS_PER_SCAN = 160
+# Columns per unpivot; wider tables take one scan per block, each of its own columns.
+COLUMNS_PER_SCAN = 200
 
 
 @dataclass(frozen=True)
@@ -32,15 +32,38 @@ class TableColumn:
     def ref(self) -> Column:
         return column_ref(self.name)
 
+    @property
+    def slot(self) -> str:
+        return f"c{self.position}"
+
+    @property
+    def cell(self) -> Column:
+        """The value in the one type that all columns of its family are unpivoted to."""
+        if self.kind == NUMBER:
+            return self.ref.cast("double")
+        if self.kind == BOOLEAN:
+            return self.ref.cast("int").cast("double")
+        if self.kind == DATETIME:
+            return self.ref.cast("timestamp")
+        if self.kind == OTHER:
+            return F.when(self.ref.isNotNull(), F.to_json(F.struct(self.ref.alias("v")), {"ignoreNullFields": "false"}))
+        return self.ref
+
 
 @dataclass(frozen=True)
 class Metric:
-    """An aggregate to take of each column whose kind is listed."""
+    """An aggregate over the cells of each column whose kind is listed.
+
+    ``build`` gets the cell: text, a double (numbers and booleans), a timestamp, or the
+    JSON text of a nested value. With ``source="text"`` it gets stripped text, with
+    ``source="short"`` text that may be a date.
+    """
 
     name: str
     type: str
     kinds: tuple[str, ...]
     build: Callable[[Column], Column]
+    source: str = "value"
 
 
 def column_ref(name: str) -> Column:
@@ -85,37 +108,52 @@ def normalise(df: DataFrame) -> DataFrame:
     return df.withColumns({n: without_nan(column_ref(n)).cast(df.schema[n].dataType) for n in floats})
 
 
+def cells(df: DataFrame, columns: list[TableColumn], value: Callable[[TableColumn], Column] | None = None) -> DataFrame:
+    """(slot, value): one row per cell of the given columns, nulls included.
+
+    One scan of just these columns. Grouping by slot keeps the plan the same size for any
+    number of columns, and is combined on the map side to a row per column and task.
+    """
+    slots = [(c.cell if value is None else value(c)).alias(c.slot) for c in columns]
+    return df.select(*slots).unpivot([], [c.slot for c in columns], "slot", "value")
+
+
+def blocks(columns: list, size: int = COLUMNS_PER_SCAN) -> list[list]:
+    return [columns[i:i + size] for i in range(0, len(columns), size)]
+
+
+def column_names(spark: SparkSession, columns: list[TableColumn]) -> DataFrame:
+    """(slot, position, column, dtype, kind); one row per column."""
+    return literal_table(spark, [(c.slot, c.position, c.name, c.dtype, c.kind) for c in columns],
+                         "slot string, position int, column string, dtype string, kind string")
+
+
+FAMILIES = ((STRING,), (NUMBER, BOOLEAN), (DATETIME,), (OTHER,))
+
+
 def column_metrics(df: DataFrame, metrics: list[Metric], columns: list[TableColumn] | None = None) -> DataFrame:
     """One row per column: position, column, dtype, kind, n_rows and every metric.
 
-    A single map-side-combined aggregate; its output is one row per task. The row is
-    turned into one row per column afterwards.
+    Metrics that don't apply to the kind of a column are null.
     """
     columns = table_columns(df) if columns is None else columns
-    step = max(1, EXPRESSIONS_PER_SCAN // max(1, len(metrics)))
-    parts = [_metrics_of(df, metrics, columns[i:i + step]) for i in range(0, len(columns), step)]
+    parts = []
+    for family in FAMILIES:
+        used = [m for m in metrics if any(k in m.kinds for k in family)]
+        aggregates = [m.build(F.col(m.source)).cast(m.type).alias(m.name) if m in used
+                      else F.lit(None).cast(m.type).alias(m.name) for m in metrics]
+        for block in blocks([c for c in columns if c.kind in family]):
+            data = cells(df, block)
+            if family == (STRING,):
+                data = data.withColumns({"text": stripped(F.col("value")), "short": date_text(F.col("value"))})
+            parts.append(data.groupBy("slot").agg(F.count(F.lit(1)).alias("n_rows"), *aggregates))
     if not parts:
-        schema = "position int, column string, dtype string, kind string, n_rows bigint"
-        schema += "".join(f", {m.name} {m.type}" for m in metrics)
-        return literal_table(df.sparkSession, [], schema)
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _metrics_of(df: DataFrame, metrics: list[Metric], columns: list[TableColumn]) -> DataFrame:
-    aggregates = [F.count(F.lit(1)).alias("n_rows")]
-    rows = []
-    for c in columns:
-        fields = [F.lit(c.position).alias("position"), F.lit(c.name).alias("column"),
-                  F.lit(c.dtype).alias("dtype"), F.lit(c.kind).alias("kind"), F.col("n_rows")]
-        for m in metrics:
-            value = F.lit(None)
-            if c.kind in m.kinds:
-                slot = f"{m.name}_{c.position}"
-                aggregates.append(m.build(c.ref).alias(slot))
-                value = F.col(slot)
-            fields.append(value.cast(m.type).alias(m.name))
-        rows.append(F.struct(*fields))
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+        return literal_table(df.sparkSession, [], "position int, column string, dtype string, kind string, n_rows bigint"
+                             + "".join(f", {m.name} {m.type}" for m in metrics))
+    found = reduce(DataFrame.unionByName, parts)
+    names = F.broadcast(column_names(df.sparkSession, columns))
+    kept = [F.when(F.col("kind").isin(*m.kinds), F.col(m.name)).alias(m.name) for m in metrics]
+    return found.join(names, "slot").select("position", "column", "dtype", "kind", "n_rows", *kept)
 
 
 def merge_metrics(*groups: list[Metric]) -> list[Metric]:
@@ -133,7 +171,8 @@ def small_table(df: DataFrame) -> DataFrame:
     Only for results whose size is bounded by the number of columns. A local table
     needs no executor to survive and no second scan of the input.
     """
-    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return literal_table(df.sparkSession, [tuple(r) for r in df.collect()], schema)
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

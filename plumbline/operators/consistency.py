@@ -16,7 +16,7 @@ from plumbline.rules import RuleProfile
 
 MIXED_TYPE_METRICS = [
     Metric("present", "bigint", (STRING,), F.count),
-    Metric("numeric_like", "bigint", (STRING,), count_cells(is_number_text)),
+    Metric("numeric_like", "bigint", (STRING,), count_cells(is_number_text), "text"),
     Metric("letter_first", "bigint", (STRING,), count_cells(starts_with_letter)),
 ]
 

@@ -9,16 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import rules
 from plumbline.functions.numeric import clamp, pearson
-from plumbline.operators.columns import BOOLEAN, NUMBER, TableColumn, literal_table, table_columns
+from plumbline.operators.columns import NUMBER, TableColumn, literal_table, table_columns
 
 PAIRS_PER_SCAN = 60
 SCHEMA = "column_a string, column_b string, r double"
 
 
-def _number(c: TableColumn) -> Column:
-    return c.ref.cast("int").cast("double") if c.kind == BOOLEAN else c.ref.cast("double")
-
-
 def correlations(df: DataFrame, columns: list[TableColumn] | None = None) -> DataFrame:
     """(column_a, column_b, r) for each pair, over the rows where both are present.
 
@@ -33,7 +29,7 @@ def correlations(df: DataFrame, columns: list[TableColumn] | None = None) -> Dat
 
 def _correlate(df: DataFrame, pairs: list[tuple[TableColumn, TableColumn]]) -> DataFrame:
     used = {c.position: c for pair in pairs for c in pair}
-    data = df.select(*[_number(c).alias(f"c{i}") for i, c in used.items()])
+    data = df.select(*[c.cell.alias(f"c{i}") for i, c in used.items()])
     row = data.agg(*[pearson(F.col(f"c{a.position}"), F.col(f"c{b.position}")).alias(f"r{j}")
                      for j, (a, b) in enumerate(pairs)])
     return row.select(F.inline(F.array(*[
@@ -46,7 +42,7 @@ def correlation_matrix(df: DataFrame, columns: list[TableColumn] | None = None)
     columns = table_columns(df, NUMBER) if columns is None else columns
     upper = correlations(df, columns)
     lower = upper.select(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "r")
-    varies = df.agg(*[(F.min(_number(c)) < F.max(_number(c))).alias(f"c{c.position}") for c in columns])
+    varies = df.agg(*[(F.min(c.cell) < F.max(c.cell)).alias(f"c{c.position}") for c in columns])
     diagonal = varies.select(F.inline(F.array(*[
         F.struct(F.lit(c.name).alias("column_a"), F.lit(c.name).alias("column_b"),
                  F.when(F.col(f"c{c.position}"), F.lit(1.0)).alias("r")) for c in columns])))

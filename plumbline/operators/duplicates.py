@@ -9,12 +9,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline import rules
 from plumbline.functions.text import group_key
 from plumbline.operators.columns import (
-    ALL_KINDS, EXPRESSIONS_PER_SCAN, NUMBER, STRING, Metric, TableColumn,
+    ALL_KINDS, NUMBER, STRING, Metric, TableColumn,
     column_metrics, literal_table, table_columns,
 )
 from plumbline.sources.staging import staged
 
 
+# Comparisons per scan of the columns they need.
+PAIRS_PER_SCAN = 160
+
+
 def _row_key(c: TableColumn) -> Column:
     return group_key(c.ref) if c.kind == STRING else c.ref
 
@@ -71,8 +75,8 @@ def identical_columns(df: DataFrame, stats: DataFrame | None = None) -> DataFram
     pairs = [pair for group in seen.values()
              for pair in combinations(sorted(group, key=lambda c: c.position), 2)]
     confirmed = []
-    for i in range(0, len(pairs), EXPRESSIONS_PER_SCAN):
-        block = pairs[i:i + EXPRESSIONS_PER_SCAN]
+    for i in range(0, len(pairs), PAIRS_PER_SCAN):
+        block = pairs[i:i + PAIRS_PER_SCAN]
         row = df.agg(*[F.bool_and(a.ref.eqNullSafe(b.ref)).alias(f"p{j}")
                        for j, (a, b) in enumerate(block)]).first()
         confirmed += [(a.name, b.name) for j, (a, b) in enumerate(block) if row[f"p{j}"] is not False]

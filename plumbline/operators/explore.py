@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline import rules
 from plumbline.functions.numeric import pearson, sample_kurtosis, sample_skewness
 from plumbline.operators.columns import (
-    BOOLEAN, NUMBER, STRING, Metric, TableColumn, column_metrics, column_ref, literal_table, table_columns,
+    BOOLEAN, NUMBER, STRING, Metric, TableColumn, blocks, cells, column_metrics, column_ref, literal_table,
+    table_columns,
 )
 from plumbline.operators.correlation import strength
 from plumbline.operators.frequencies import distinct_counts, top_values
@@ -17,10 +20,6 @@ from plumbline.operators.validity import outside, quartiles
 MAX_BINS = 50
 
 
-def _number(c: TableColumn) -> Column:
-    return c.ref.cast("int").cast("double") if c.kind == BOOLEAN else c.ref.cast("double")
-
-
 def _columns(df: DataFrame, names: list[str] | None, *kinds: str) -> list[TableColumn]:
     return table_columns(df, *(kinds or (NUMBER,)), names=names)
 
@@ -42,13 +41,13 @@ def histogram(df: DataFrame, names: list[str] | None = None, bins: int = MAX_BIN
     """
     columns = _columns(df, names, NUMBER, BOOLEAN)
     n_bins = _bin_counts(df, columns, bins)
-    ends = df.agg(*[f(_number(c)).alias(f"{p}{c.position}") for c in columns for p, f in (("lo", F.min), ("hi", F.max))]).first()
+    ends = df.agg(*[f(c.cell).alias(f"{p}{c.position}") for c in columns for p, f in (("lo", F.min), ("hi", F.max))]).first()
     slots, bounds = [], []
     for c in columns:
         low, high, k = ends[f"lo{c.position}"], ends[f"hi{c.position}"], n_bins[c.name]
         if low is None:
             continue
-        value = _number(c)
+        value = c.cell
         # A constant column has one bin, for which width_bucket has no answer.
         place = F.lit(1) if low == high else F.least(F.width_bucket(value, F.lit(low), F.lit(high), F.lit(k)), F.lit(k))
         slots.append(F.when(value.isNotNull(), place).cast("int").alias(f"c{c.position}"))
@@ -63,12 +62,12 @@ def histogram(df: DataFrame, names: list[str] | None = None, bins: int = MAX_BIN
 
 MOMENT_METRICS = [
     Metric("count", "bigint", (NUMBER, BOOLEAN), F.count),
-    Metric("mean", "double", (NUMBER, BOOLEAN), lambda c: F.avg(c.cast("double"))),
-    Metric("std", "double", (NUMBER, BOOLEAN), lambda c: F.stddev_samp(c.cast("double"))),
-    Metric("min", "double", (NUMBER, BOOLEAN), lambda c: F.min(c.cast("double"))),
-    Metric("max", "double", (NUMBER, BOOLEAN), lambda c: F.max(c.cast("double"))),
-    Metric("skewness", "double", (NUMBER, BOOLEAN), lambda c: sample_skewness(c.cast("double"))),
-    Metric("kurtosis", "double", (NUMBER, BOOLEAN), lambda c: sample_kurtosis(c.cast("double"))),
+    Metric("mean", "double", (NUMBER, BOOLEAN), F.avg),
+    Metric("std", "double", (NUMBER, BOOLEAN), F.stddev_samp),
+    Metric("min", "double", (NUMBER, BOOLEAN), F.min),
+    Metric("max", "double", (NUMBER, BOOLEAN), F.max),
+    Metric("skewness", "double", (NUMBER, BOOLEAN), sample_skewness),
+    Metric("kurtosis", "double", (NUMBER, BOOLEAN), sample_kurtosis),
 ]
 
 
@@ -93,19 +92,23 @@ def box_stats(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Per number column: quartiles, the whiskers inside 1.5 quartile ranges, cells beyond."""
     columns = _columns(df, names)
     found = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
-    aggregates, rows = [], []
+    rows = []
     for c in columns:
         q1, median, q3 = found[c.name]
-        value, i = c.ref.cast("double"), c.position
-        reach = rules.BOX_FENCE * (q3 - q1) if q1 is not None else 0.0
-        beyond = outside(value, ((q1 or 0.0) - reach, (q3 or 0.0) + reach))
-        aggregates += [F.min(F.when(~beyond, value)).alias(f"lo{i}"), F.max(F.when(~beyond, value)).alias(f"hi{i}"),
-                       F.count_if(beyond).alias(f"n{i}")]
-        rows.append(F.struct(F.lit(c.name).alias("column"),
-                             *[F.lit(v).cast("double").alias(n) for n, v in (("q1", q1), ("median", median), ("q3", q3))],
-                             F.col(f"lo{i}").alias("whisker_low"), F.col(f"hi{i}").alias("whisker_high"),
-                             F.col(f"n{i}").alias("outliers")))
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+        reach = None if q1 is None else rules.BOX_FENCE * (q3 - q1)
+        rows.append((c.slot, c.name, q1, median, q3, *((None, None) if reach is None else (q1 - reach, q3 + reach))))
+    table = literal_table(df.sparkSession, rows, "slot string, column string, q1 double, median double, q3 double, "
+                          "low double, high double")
+    value = F.col("value")
+    inside = F.when(value.between(F.col("low"), F.col("high")), value)
+    bounds = F.broadcast(table.select("slot", "low", "high"))
+    counted = reduce(DataFrame.unionByName, [
+        cells(df, block).join(bounds, "slot").groupBy("slot").agg(
+            F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"),
+            (F.count("value") - F.count(inside)).alias("outliers"))
+        for block in blocks(columns)])
+    return counted.join(F.broadcast(table), "slot").select(
+        "column", "q1", "median", "q3", "whisker_low", "whisker_high", "outliers")
 
 
 def _box_bounds(df: DataFrame, column: str) -> tuple[float, float] | None:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.text import group_key
 from plumbline.operators.columns import (
-    BOOLEAN, DATETIME, NUMBER, OTHER, STRING, TableColumn, table_columns,
+    BOOLEAN, DATETIME, NUMBER, STRING, TableColumn, blocks, cells, column_names, table_columns,
 )
 
 
@@ -34,62 +34,41 @@ def _text_key(c: TableColumn) -> Column:
         return group_key(c.ref)
     if c.dtype.startswith("decimal"):
         return c.ref.cast("string")
-    # Nested values: null inside a value counts as a value of its own.
-    return F.when(c.ref.isNotNull(), group_key(F.to_json(F.struct(c.ref.alias("v")),
-                                                         {"ignoreNullFields": "false"})))
-
-
-def _unpivoted(df: DataFrame, columns: list[TableColumn], key) -> DataFrame:
-    slots = [key(c).alias(f"c{c.position}") for c in columns]
-    names = [f"c{c.position}" for c in columns]
-    return (df.select(*slots).unpivot([], names, "slot", "value")
-            .where(F.col("value").isNotNull())
-            .select(F.substring("slot", 2, 9).cast("int").alias("position"), "value"))
+    return group_key(c.cell)
 
 
 def distinct_counts(df: DataFrame, columns: list[TableColumn] | None = None,
                     approx: bool = False) -> DataFrame:
     """(position, column, n_distinct), nulls not counted; exact unless ``approx``.
 
-    ``approx`` takes a HyperLogLog count in one aggregate without the large shuffle
-    that nearly unique columns need.
+    ``approx`` takes a HyperLogLog count per column, without the large shuffle that
+    nearly unique columns need.
     """
     columns = table_columns(df) if columns is None else columns
     columns = [c for c in columns if c.groupable]
-    if approx:
-        row = df.agg(*[F.approx_count_distinct(c.ref, 0.01).alias(f"c{c.position}") for c in columns])
-        return row.select(F.inline(F.array(*[
-            F.struct(F.lit(c.position).alias("position"), F.lit(c.name).alias("column"),
-                     F.col(f"c{c.position}").alias("n_distinct")) for c in columns])))
     fixed = [c for c in columns if c.kind in (NUMBER, BOOLEAN, DATETIME) and not c.dtype.startswith("decimal")]
     other = [c for c in columns if c not in fixed]
     parts = []
     for group, key in ((fixed, _fixed_width_key), (other, _text_key)):
-        if group:
-            parts.append(_unpivoted(df, group, key).distinct().groupBy("position").count())
+        for block in blocks(group):
+            present = cells(df, block, key).where(F.col("value").isNotNull())
+            if approx:
+                parts.append(present.groupBy("slot").agg(F.approx_count_distinct("value", 0.01).alias("n")))
+            else:
+                parts.append(present.distinct().groupBy("slot").agg(F.count(F.lit(1)).alias("n")))
+    names = column_names(df.sparkSession, columns)
     counted = reduce(DataFrame.unionByName, parts)
-    return _with_names(counted, columns)
-
-
-def _with_names(counted: DataFrame, columns: list[TableColumn]) -> DataFrame:
-    """Adds names, and a zero for columns that hold nulls only; bounded by the columns."""
-    names = F.create_map(*[x for c in columns for x in (F.lit(c.position), F.lit(c.name))])
-    every = (counted.sparkSession.range(0, 1, 1, 1)
-             .select(F.explode(F.array(*[F.lit(c.position) for c in columns])).alias("position"))
-             .select("position", F.lit(0).cast("bigint").alias("count")))
-    return (counted.unionByName(every).groupBy("position").agg(F.sum("count").alias("n_distinct"))
-            .select("position", names[F.col("position")].alias("column"), "n_distinct"))
+    return names.join(counted, "slot", "left").select(
+        "position", "column", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_distinct"))
 
 
 def value_counts(df: DataFrame, columns: list[TableColumn]) -> DataFrame:
     """(column, value, n): how often each non-null value occurs, values as text."""
     columns = [c for c in columns if c.groupable]
-    slots = [c.ref.cast("string").alias(f"c{c.position}") for c in columns]
-    names = F.create_map(*[x for c in columns for x in (F.lit(f"c{c.position}"), F.lit(c.name))])
-    counted = (df.select(*slots).unpivot([], [f"c{c.position}" for c in columns], "slot", "value")
-               .where(F.col("value").isNotNull())
+    counted = (cells(df, columns, lambda c: c.ref.cast("string")).where(F.col("value").isNotNull())
                .groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n")))
-    return counted.select(names[F.col("slot")].alias("column"), "value", "n")
+    names = F.broadcast(column_names(df.sparkSession, columns).select("slot", "column"))
+    return counted.join(names, "slot").select("column", "value", "n")
 
 
 def top_values(df: DataFrame, columns: list[TableColumn], k: int) -> DataFrame:
@@ -107,8 +86,15 @@ def top_values(df: DataFrame, columns: list[TableColumn], k: int) -> DataFrame:
 
 def modes(df: DataFrame, columns: list[TableColumn]) -> DataFrame:
     """(column, n_distinct, mode, n): the most frequent value, the smallest on a tie."""
-    best = F.min(F.struct((-F.col("n")).alias("least"), F.col("value").alias("value")))
-    return (value_counts(df, columns).groupBy("column")
-            .agg(best.alias("best"), F.count(F.lit(1)).alias("n_distinct"))
-            .select("column", "n_distinct", F.col("best.value").alias("mode"),
-                    (-F.col("best.least")).alias("n")))
+    columns = [c for c in columns if c.groupable]
+    aggregates, rows = [], []
+    # One aggregate per column and no grouping: text in a grouped aggregate would force a
+    # sort of the whole count table.
+    for c in columns:
+        mine = F.col("column") == F.lit(c.name)
+        best = F.min(F.when(mine, F.struct((-F.col("n")).alias("least"), F.col("value").alias("value"))))
+        aggregates += [best.alias(f"best_{c.slot}"), F.count_if(mine).alias(f"n_{c.slot}")]
+        rows.append(F.struct(F.lit(c.name).alias("column"), F.col(f"n_{c.slot}").alias("n_distinct"),
+                             F.col(f"best_{c.slot}.value").alias("mode"), (-F.col(f"best_{c.slot}.least")).alias("n")))
+    found = value_counts(df, columns).agg(*aggregates).select(F.inline(F.array(*rows)))
+    return found.where(F.col("n_distinct") > 0)

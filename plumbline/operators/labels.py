@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.text import normalised, stripped
+from plumbline.functions.text import stripped
 from plumbline.operators.columns import STRING, Metric, TableColumn, column_metrics, literal_table, table_columns
 from plumbline.operators.frequencies import value_counts
 
@@ -15,7 +15,7 @@ LABEL_LIMIT = 100
 ESTIMATE_LIMIT = 120
 
 LABEL_METRICS = [
-    Metric("label_estimate", "bigint", (STRING,), lambda c: F.approx_count_distinct(normalised(c), 0.05)),
+    Metric("label_estimate", "bigint", (STRING,), lambda c: F.approx_count_distinct(F.lower(c), 0.05), "text"),
 ]
 
 

@@ -14,8 +14,8 @@ def missing_metrics(profile: RuleProfile) -> list[Metric]:
     return [
         Metric("nulls", "bigint", ALL_KINDS, lambda c: F.count_if(c.isNull())),
         Metric("placeholders", "bigint", (STRING,),
-               count_cells(lambda c: is_placeholder(c, profile.placeholders))),
-        Metric("blanks", "bigint", (STRING,), count_cells(is_blank)),
+               count_cells(lambda c: is_placeholder(c, profile.placeholders)), "text"),
+        Metric("blanks", "bigint", (STRING,), count_cells(is_blank), "text"),
         Metric("empties", "bigint", (STRING,), count_cells(is_empty)),
     ]
 

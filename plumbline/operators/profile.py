@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.operators.columns import (
-    ALL_KINDS, BOOLEAN, DATETIME, NUMBER, OTHER, STRING, Metric, column_metrics, literal_table, table_columns,
+    ALL_KINDS, BOOLEAN, DATETIME, NUMBER, OTHER, STRING, Metric, TableColumn, blocks, column_metrics, column_names,
+    column_ref, literal_table, table_columns,
 )
 from plumbline.operators.frequencies import distinct_counts, modes
 from plumbline.operators.quantiles import exact_quantiles
@@ -28,8 +31,7 @@ def null_cells(df: DataFrame) -> DataFrame:
 def size_estimate(df: DataFrame) -> DataFrame:
     """(column, bytes): text by its bytes, other types by their width times the rows."""
     metrics = [Metric("text_bytes", "bigint", (STRING,), lambda c: F.sum(F.octet_length(c))),
-               Metric("nested_bytes", "bigint", (OTHER,),
-                      lambda c: F.sum(F.octet_length(F.to_json(F.struct(c.alias("v"))))))]
+               Metric("nested_bytes", "bigint", (OTHER,), lambda c: F.sum(F.octet_length(c)))]
     width = F.create_map(*[x for name, n in WIDTHS.items() for x in (F.lit(name), F.lit(n))])
     fixed = F.coalesce(width[F.col("dtype")], F.lit(16)) * F.col("n_rows")
     return column_metrics(df, metrics).select(
@@ -46,12 +48,22 @@ def last_rows(df: DataFrame, order_by: list[str], n: int = 5) -> DataFrame:
     return df.orderBy(*[F.desc(c) for c in order_by]).limit(n)
 
 
-def _sample_metric(order_by: str | None) -> Metric:
-    def build(c: Column) -> Column:
-        if order_by is None:
-            return F.any_value(c.cast("string"), True)
-        return F.min_by(c.cast("string"), F.when(c.isNotNull(), F.col(order_by)))
-    return Metric("sample", "string", ALL_KINDS, build)
+def sample_values(df: DataFrame, order_by: str | None = None) -> DataFrame:
+    """(column, sample): the first non-null value as text in the order of ``order_by``.
+
+    Without an order it is any value. One aggregate per column and no grouping, since
+    text in a grouped aggregate would force a sort.
+    """
+    def pick(c: TableColumn) -> Column:
+        text = c.ref.cast("string")
+        return F.any_value(text, True) if order_by is None else F.min_by(text, F.when(c.ref.isNotNull(), column_ref(order_by)))
+
+    parts = []
+    for block in blocks(table_columns(df)):
+        row = df.agg(*[pick(c).alias(c.slot) for c in block])
+        parts.append(row.unpivot([], [c.slot for c in block], "slot", "sample"))
+    names = F.broadcast(column_names(df.sparkSession, table_columns(df)).select("slot", "column"))
+    return reduce(DataFrame.unionByName, parts).join(names, "slot").select("column", "sample")
 
 
 def column_details(df: DataFrame, order_by: str | None = None, approx: bool = False) -> DataFrame:
@@ -59,7 +71,7 @@ def column_details(df: DataFrame, order_by: str | None = None, approx: bool = Fa
 
     The sample is the first non-null value in the order of ``order_by`` (any, if not given).
     """
-    stats = column_metrics(df, [*NULL_METRICS, _sample_metric(order_by)])
+    stats = column_metrics(df, NULL_METRICS).join(sample_values(df, order_by), "column")
     distinct = distinct_counts(df, approx=approx).select("position", "n_distinct")
     return stats.join(distinct, "position", "left").select(
         "position", "column", "dtype", "kind", "n_rows", (F.col("n_rows") - F.col("nulls")).alias("non_null"),
@@ -69,14 +81,14 @@ def column_details(df: DataFrame, order_by: str | None = None, approx: bool = Fa
 
 DESCRIBE_METRICS = [
     Metric("cells", "bigint", ALL_KINDS, F.count),
-    Metric("mean", "double", (NUMBER,), lambda c: F.avg(c.cast("double"))),
-    Metric("std", "double", (NUMBER,), lambda c: F.stddev_samp(c.cast("double"))),
-    Metric("min", "double", (NUMBER,), lambda c: F.min(c.cast("double"))),
-    Metric("max", "double", (NUMBER,), lambda c: F.max(c.cast("double"))),
-    Metric("ts_min", "timestamp", (DATETIME,), lambda c: F.min(c.cast("timestamp"))),
-    Metric("ts_max", "timestamp", (DATETIME,), lambda c: F.max(c.cast("timestamp"))),
+    Metric("mean", "double", (NUMBER,), F.avg),
+    Metric("std", "double", (NUMBER,), F.stddev_samp),
+    Metric("min", "double", (NUMBER,), F.min),
+    Metric("max", "double", (NUMBER,), F.max),
+    Metric("ts_min", "timestamp", (DATETIME,), F.min),
+    Metric("ts_max", "timestamp", (DATETIME,), F.max),
     Metric("ts_mean", "timestamp", (DATETIME,),
-           lambda c: F.timestamp_micros(F.avg(F.unix_micros(c.cast("timestamp"))).cast("bigint"))),
+           lambda c: F.timestamp_micros(F.avg(F.unix_micros(c)).cast("bigint"))),
 ]
 
 

@@ -21,12 +21,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.operators.columns import DATETIME, TableColumn, literal_table, table_columns
+from plumbline.operators.columns import DATETIME, TableColumn, blocks, cells, literal_table, table_columns
 
 GATHER_LIMIT = 20_000
 SKETCH_SIZE = 8192
 RANK_MARGIN = 0.001
-COLUMNS_PER_SCAN = 16
+COLUMNS_PER_SCAN = 50
 
 
 @dataclass
@@ -45,34 +45,27 @@ class _Rank:
     def part(self) -> tuple:
         return self.slot, self.low, self.high
 
-    def cells(self) -> Column:
-        c = F.col(self.slot)
-        test = F.lit(True)
-        if self.low is not None:
-            test = test & (c > F.lit(self.low))
-        if self.high is not None:
-            test = test & (c < F.lit(self.high))
-        return F.when(test, c)
-
-    def narrow(self, a: float, b: float, n: dict[str, int]) -> None:
-        """Moves into the part that holds the rank, given counts below and at a and b."""
-        to_a, to_b = n["lt_a"] + n["eq_a"], n["lt_b"] + n["eq_b"]
-        if self.rank < n["lt_a"]:
-            self.high, self.inside = a, n["lt_a"] - self.below
-        elif self.rank < to_a:
-            self.value = a
-        elif self.rank < n["lt_b"]:
-            self.low, self.high, self.below, self.inside = a, b, to_a, n["lt_b"] - to_a
-        elif self.rank < to_b:
-            self.value = b
+    def narrow(self, a: tuple[float, int, int], b: tuple[float, int, int]) -> None:
+        """Moves into the part that holds the rank; a and b are (value, cells below, cells equal)."""
+        (low, below_low, at_low), (high, below_high, at_high) = a, b
+        end = self.below + self.inside
+        if self.rank < below_low:
+            self.high, self.inside = low, below_low - self.below
+        elif self.rank < below_low + at_low:
+            self.value = low
+        elif self.rank < below_high:
+            self.low, self.high, self.below = low, high, below_low + at_low
+            self.inside = below_high - self.below
+        elif self.rank < below_high + at_high:
+            self.value = high
         else:
-            self.low, self.inside, self.below = b, self.below + self.inside - to_b, to_b
+            self.low, self.below = high, below_high + at_high
+            self.inside = end - self.below
 
 
 @dataclass
 class _Quantile:
     column: str
-    prob: float
     share: float = 0.0
     ranks: list[_Rank] = field(default_factory=list)
 
@@ -90,44 +83,36 @@ def exact_quantiles(df: DataFrame, columns: list[TableColumn], probs: list[float
     Timestamps are handled as microseconds since 1970.
     """
     result: dict[str, list[float | None]] = {}
-    for i in range(0, len(columns), COLUMNS_PER_SCAN):
-        result.update(_quantiles_of(df, columns[i:i + COLUMNS_PER_SCAN], probs))
+    for block in blocks(columns, COLUMNS_PER_SCAN):
+        result.update(_quantiles_of(df, block, probs))
     return result
 
 
 def _as_number(c: TableColumn) -> Column:
     if c.kind == DATETIME:
         return F.unix_micros(c.ref.cast("timestamp")).cast("double")
-    return c.ref.cast("double")
+    return c.cell
 
 
 def _quantiles_of(df: DataFrame, columns: list[TableColumn], probs: list[float]) -> dict[str, list[float | None]]:
-    data = df.select(*[_as_number(c).alias(f"c{c.position}") for c in columns])
+    data = cells(df, columns, _as_number).where(F.col("value").isNotNull())
+    whole = {(c.slot, None, None) for c in columns}
+    sketched = _sketch(data, {part: _around(probs) for part in whole})
     wanted: list[_Quantile] = []
-    first = _sketch(data, {(f"c{c.position}", None, None): _near(probs) for c in columns},
-                    {(f"c{c.position}", None, None): F.col(f"c{c.position}") for c in columns})
-    sizes = {}
+    proposals = {}
     for c in columns:
-        slot = f"c{c.position}"
-        n = sizes[slot] = first[(slot, None, None)][0]
+        n, values = sketched.get((c.slot, None, None), (0, {}))
         for p in probs:
-            q = _Quantile(c.name, p)
+            q = _Quantile(c.name)
+            wanted.append(q)
             if n:
                 at = (n - 1) * p
                 q.share = at - math.floor(at)
-                ranks = sorted({math.floor(at), min(math.ceil(at), n - 1)})
-                q.ranks = [_Rank(slot, r, n) for r in ranks]
-            wanted.append(q)
+                q.ranks = [_Rank(c.slot, r, n) for r in sorted({math.floor(at), min(math.ceil(at), n - 1)})]
+                proposals |= {id(r): tuple(values[x] for x in _around([p])) for r in q.ranks}
     ranks = [r for q in wanted for r in q.ranks]
-    proposals = {id(r): _around(first[r.part], r, probs) for r in ranks}
-
-    while True:
-        large = [r for r in ranks if r.value is None and r.inside > GATHER_LIMIT]
-        if not large:
-            break
-        if not proposals:
-            proposals = _propose(data, large)
-        _count_and_narrow(data, large, proposals)
+    while large := [r for r in ranks if r.value is None and r.inside > GATHER_LIMIT]:
+        _narrow(data, large, proposals or _propose(data, large))
         proposals = {}
     _gather(data, [r for r in ranks if r.value is None])
 
@@ -137,74 +122,69 @@ def _quantiles_of(df: DataFrame, columns: list[TableColumn], probs: list[float])
     return result
 
 
-def _near(probs) -> list[float]:
-    points = set()
-    for p in probs:
-        points |= {max(0.0, p - RANK_MARGIN), min(1.0, p + RANK_MARGIN)}
-    return sorted(points)
+def _around(shares) -> list[float]:
+    return sorted({x for p in shares for x in (max(0.0, p - RANK_MARGIN), min(1.0, p + RANK_MARGIN))})
+
+
+def _in_parts(data: DataFrame, parts: list[tuple]) -> DataFrame:
+    """The cells inside each part, tagged with its index; the parts are a few per column."""
+    rows = [(i, slot, low, high) for i, (slot, low, high) in enumerate(parts)]
+    table = literal_table(data.sparkSession, rows, "part int, slot string, low double, high double")
+    inside = ((F.col("low").isNull() | (F.col("value") > F.col("low")))
+              & (F.col("high").isNull() | (F.col("value") < F.col("high"))))
+    return data.join(F.broadcast(table), "slot").where(inside)
 
 
-def _sketch(data: DataFrame, points: dict, cells: dict) -> dict:
+def _sketch(data: DataFrame, points: dict[tuple, list[float]]) -> dict[tuple, tuple[int, dict]]:
     """Per part: the number of cells and the sketched values at the given shares."""
     parts = list(points)
-    sketches = data.agg(*[F.kll_sketch_agg_double(cells[p], F.lit(SKETCH_SIZE)).alias(f"s{i}")
-                          for i, p in enumerate(parts)],
-                        *[F.count(cells[p]).alias(f"n{i}") for i, p in enumerate(parts)])
-    read = []
-    for i, p in enumerate(parts):
-        shares = F.array(*[F.lit(x) for x in points[p]])
-        read.append(F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(F.col(f"s{i}"), shares)).alias(f"q{i}"))
-        read.append(F.col(f"n{i}"))
-    row = sketches.select(*read).first()
-    return {p: (row[f"n{i}"], dict(zip(points[p], row[f"q{i}"] or []))) for i, p in enumerate(parts)}
-
-
-def _around(sketched: tuple, r: _Rank, probs) -> tuple[float, float]:
-    share = r.rank / max(1, r.inside - 1)
-    p = min(probs, key=lambda x: abs(x - share))
-    values = sketched[1]
-    return values[max(0.0, p - RANK_MARGIN)], values[min(1.0, p + RANK_MARGIN)]
-
-
-def _propose(data: DataFrame, ranks: list[_Rank]) -> dict:
-    points: dict = {}
-    cells: dict = {}
-    shares: dict = {}
+    if all(low is None and high is None for _, low, high in parts):
+        tagged, key = data, "slot"
+        index = {slot: (slot, None, None) for slot, _, _ in parts}
+    else:
+        tagged, key = _in_parts(data, parts), "part"
+        index = dict(enumerate(parts))
+    shares = sorted({x for s in points.values() for x in s})
+    sketches = tagged.groupBy(key).agg(F.kll_sketch_agg_double("value", F.lit(SKETCH_SIZE)).alias("sketch"),
+                                       F.count("value").alias("n"))
+    quantiles = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(x) for x in shares]))
+    return {index[r[key]]: (r.n, dict(zip(shares, r.quantiles)))
+            for r in sketches.select(key, "n", quantiles.alias("quantiles")).collect()}
+
+
+def _propose(data: DataFrame, ranks: list[_Rank]) -> dict[int, tuple[float, float]]:
+    shares = {id(r): _around([(r.rank - r.below) / max(1, r.inside - 1)]) for r in ranks}
+    points: dict[tuple, list[float]] = {}
     for r in ranks:
-        share = (r.rank - r.below) / max(1, r.inside - 1)
-        shares[id(r)] = (max(0.0, share - RANK_MARGIN), min(1.0, share + RANK_MARGIN))
-        points.setdefault(r.part, set()).update(shares[id(r)])
-        cells[r.part] = r.cells()
-    sketched = _sketch(data, {p: sorted(s) for p, s in points.items()}, cells)
-    return {id(r): tuple(sketched[r.part][1][s] for s in shares[id(r)]) for r in ranks}
-
-
-def _count_and_narrow(data: DataFrame, ranks: list[_Rank], proposals: dict) -> None:
-    values = sorted({(r.slot, v) for r in ranks for v in proposals[id(r)]})
-    aggregates = []
-    for i, (slot, v) in enumerate(values):
-        aggregates.append(F.count_if(F.col(slot) < F.lit(v)).alias(f"lt{i}"))
-        aggregates.append(F.count_if(F.col(slot) == F.lit(v)).alias(f"eq{i}"))
-    row = data.agg(*aggregates).first()
-    at = {key: i for i, key in enumerate(values)}
+        points.setdefault(r.part, []).extend(shares[id(r)])
+    sketched = _sketch(data, points)
+    return {id(r): tuple(sketched[r.part][1][x] for x in (shares[id(r)][0], shares[id(r)][-1])) for r in ranks}
+
+
+def _narrow(data: DataFrame, ranks: list[_Rank], proposals: dict[int, tuple[float, float]]) -> None:
+    """Counts the cells below and at the proposed values, and moves each rank accordingly."""
+    marks = sorted({(r.slot, v) for r in ranks for v in proposals[id(r)]})
+    table = literal_table(data.sparkSession, marks, "slot string, mark double")
+    counted = data.join(F.broadcast(table), "slot").groupBy("slot", "mark").agg(
+        F.count_if(F.col("value") < F.col("mark")).alias("below"),
+        F.count_if(F.col("value") == F.col("mark")).alias("equal")).collect()
+    counts = {(r.slot, r.mark): (r.mark, r.below, r.equal) for r in counted}
     for r in ranks:
         a, b = proposals[id(r)]
-        i, j = at[(r.slot, a)], at[(r.slot, b)]
-        r.narrow(a, b, {"lt_a": row[f"lt{i}"], "eq_a": row[f"eq{i}"],
-                        "lt_b": row[f"lt{j}"], "eq_b": row[f"eq{j}"]})
+        r.narrow(counts[(r.slot, a)], counts[(r.slot, b)])
 
 
 def _gather(data: DataFrame, ranks: list[_Rank]) -> None:
     """Sorts the at most ``GATHER_LIMIT`` cells left per part and takes the ranks."""
     if not ranks:
         return
-    parts = {r.part: r.cells() for r in ranks}
-    slot = {p: f"p{i}" for i, p in enumerate(parts)}
-    sorted_cells = data.agg(*[F.sort_array(F.collect_list(c)).alias(slot[p]) for p, c in parts.items()])
-    picks = [F.element_at(slot[r.part], r.rank - r.below + 1).alias(f"r{i}") for i, r in enumerate(ranks)]
-    row = sorted_cells.select(*picks).first()
-    for i, r in enumerate(ranks):
-        r.value = row[f"r{i}"]
+    parts = list({r.part for r in ranks})
+    wanted = literal_table(data.sparkSession, [(i, parts.index(r.part), r.rank - r.below + 1) for i, r in enumerate(ranks)],
+                           "rank int, part int, place int")
+    ordered = _in_parts(data, parts).groupBy("part").agg(F.sort_array(F.collect_list("value")).alias("ordered"))
+    picked = ordered.join(F.broadcast(wanted), "part").select("rank", F.element_at("ordered", F.col("place")).alias("value"))
+    for row in picked.collect():
+        ranks[row["rank"]].value = row.value
 
 
 def quantile_table(df: DataFrame, columns: list[TableColumn] | None, probs: dict[str, float]) -> DataFrame:

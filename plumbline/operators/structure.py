@@ -14,7 +14,7 @@ from plumbline.operators.columns import (
 from plumbline.rules import RuleProfile
 
 TEXT_NUMBER_SHARE = 0.95
-TEXT_NUMBER_METRICS = [Metric("numeric_like", "bigint", (STRING,), count_cells(is_number_text))]
+TEXT_NUMBER_METRICS = [Metric("numeric_like", "bigint", (STRING,), count_cells(is_number_text), "text")]
 
 
 def name_issue(name: str, profile: RuleProfile) -> str | None:

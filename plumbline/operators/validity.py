@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import rules
 from plumbline.functions.numeric import clamp
-from plumbline.functions.text import parsed_date
+from plumbline.functions.text import DATE_TEXT_BYTES, parsed_date
 from plumbline.operators.columns import (
-    DATETIME, NUMBER, STRING, TableColumn, literal_table, table_columns,
+    DATETIME, NUMBER, STRING, TableColumn, blocks, cells, column_names, literal_table, table_columns,
 )
 from plumbline.operators.quantiles import exact_quantiles
-from plumbline.rules import RangeRule, RuleProfile
+from plumbline.rules import RuleProfile
 
-COLUMNS_PER_SCAN = 40
 OUTLIER_SCHEMA = ("column string, q1 double, q3 double, lower_bound double, upper_bound double, "
                   "present bigint, outliers bigint, min_value double, max_value double")
 MIN_CELLS = 4
@@ -40,34 +39,27 @@ def outside(c: Column, bounds: tuple[float, float]) -> Column:
 def outlier_counts(df: DataFrame, factor: float = rules.EXTREME_FENCE) -> DataFrame:
     """Per number column: quartiles, fences, cells outside (0 below four cells), min, max.
 
-    The quartiles come first; their numbers are then literals in one counting scan.
+    The quartiles come first. Their fences, one row per column, then meet the cells in one
+    counting scan.
     """
     columns = table_columns(df, NUMBER)
     if not columns:
         return literal_table(df.sparkSession, [], OUTLIER_SCHEMA)
     found = quartiles(df, columns)
-    parts = [_count_outside(df, columns[i:i + COLUMNS_PER_SCAN], found, factor)
-             for i in range(0, len(columns), COLUMNS_PER_SCAN)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _count_outside(df: DataFrame, columns: list[TableColumn], found: dict, factor: float) -> DataFrame:
-    aggregates, rows = [], []
-    for c in columns:
-        value, i = c.ref.cast("double"), c.position
-        bounds = fences(*found[c.name], factor)
-        n_out = F.count_if(outside(value, bounds)) if bounds else F.lit(0).cast("bigint")
-        aggregates += [F.count(value).alias(f"n{i}"), n_out.alias(f"o{i}"),
-                       F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
-        low, high = bounds or (None, None)
-        rows.append(F.struct(
-            F.lit(c.name).alias("column"),
-            *[F.lit(v).cast("double").alias(n) for n, v in
-              zip(("q1", "q3", "lower_bound", "upper_bound"), (*found[c.name], low, high))],
-            F.col(f"n{i}").alias("present"),
-            F.when(F.col(f"n{i}") >= MIN_CELLS, F.col(f"o{i}")).otherwise(F.lit(0)).cast("bigint").alias("outliers"),
-            F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value")))
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    rows = [(c.slot, c.name, *found[c.name], *(fences(*found[c.name], factor) or (None, None))) for c in columns]
+    table = literal_table(df.sparkSession, rows, "slot string, column string, q1 double, q3 double, "
+                          "lower_bound double, upper_bound double")
+    beyond = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
+    bounds = F.broadcast(table.select("slot", "lower_bound", "upper_bound"))
+    counted = reduce(DataFrame.unionByName, [
+        cells(df, block).join(bounds, "slot").groupBy("slot").agg(
+            F.count("value").alias("present"), F.count_if(beyond).alias("beyond"),
+            F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+        for block in blocks(columns)])
+    outliers = F.when(F.col("present") >= MIN_CELLS, F.col("beyond")).otherwise(F.lit(0)).cast("bigint")
+    return counted.join(F.broadcast(table), "slot").select(
+        "column", "q1", "q3", "lower_bound", "upper_bound", "present", outliers.alias("outliers"),
+        "min_value", "max_value")
 
 
 def outlier_columns(counts: DataFrame) -> DataFrame:
@@ -79,32 +71,24 @@ def outlier_columns(counts: DataFrame) -> DataFrame:
         "lower_bound", "upper_bound", "min_value", "max_value")
 
 
-def breaks_rule(c: Column, rule: RangeRule) -> Column:
-    test = F.lit(False)
-    if rule.low is not None:
-        test = test | (c < F.lit(float(rule.low)))
-    if rule.high is not None:
-        test = test | (c > F.lit(float(rule.high)))
-    return test
-
-
 def impossible_values(df: DataFrame, profile: RuleProfile) -> DataFrame:
     """(column, rule, bad_values): cells that break a rule chosen by the column's name.
 
     A column may match several rules. Columns with fewer than four values are skipped.
     """
     hits = [(c, rule) for c in table_columns(df, NUMBER) for rule in profile.ranges if rule.applies_to(c.name)]
-    schema = "column string, rule string, bad_values bigint"
     if not hits:
-        return literal_table(df.sparkSession, [], schema)
-    columns = {c.position: c for c, _ in hits}
-    aggregates = [F.count(c.ref).alias(f"n{i}") for i, c in columns.items()]
-    aggregates += [F.count_if(breaks_rule(c.ref.cast("double"), rule)).alias(f"bad{j}")
-                   for j, (c, rule) in enumerate(hits)]
-    rows = [F.struct(F.lit(c.name).alias("column"), F.lit(rule.name).alias("rule"),
-                     F.when(F.col(f"n{c.position}") >= MIN_CELLS, F.col(f"bad{j}")).otherwise(F.lit(0))
-                     .cast("bigint").alias("bad_values")) for j, (c, rule) in enumerate(hits)]
-    return df.agg(*aggregates).select(F.inline(F.array(*rows))).where(F.col("bad_values") > 0)
+        return literal_table(df.sparkSession, [], "column string, rule string, bad_values bigint")
+    limits = literal_table(df.sparkSession, [(c.slot, c.name, rule.name, rule.low, rule.high) for c, rule in hits],
+                           "slot string, column string, rule string, low double, high double")
+    columns = list({c.position: c for c, _ in hits}.values())
+    broken = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
+    counted = reduce(DataFrame.unionByName, [
+        cells(df, block).join(F.broadcast(limits), "slot").groupBy("column", "rule").agg(
+            F.count("value").alias("present"), F.count_if(broken).alias("bad_values"))
+        for block in blocks(columns)])
+    return counted.where((F.col("present") >= MIN_CELLS) & (F.col("bad_values") > 0)).select(
+        "column", "rule", "bad_values")
 
 
 def future_dates(df: DataFrame, as_of: str | None = None) -> DataFrame:
@@ -116,31 +100,36 @@ def future_dates(df: DataFrame, as_of: str | None = None) -> DataFrame:
     columns = table_columns(df, STRING, DATETIME)
     if not columns:
         return literal_table(df.sparkSession, [], "column string, future_dates bigint")
-    aggregates, rows = [], []
-    for c in columns:
-        if c.kind == DATETIME:
-            aggregates.append(F.count_if(c.ref.cast("timestamp") > limit).alias(f"f{c.position}"))
-            future = F.col(f"f{c.position}")
-        else:
-            candidates = []
-            for j, (layout, shape) in enumerate(rules.DATE_FORMATS):
-                parsed = parsed_date(c.ref, layout, shape)
-                aggregates += [F.count(parsed).alias(f"p{c.position}_{j}"),
-                               F.count_if(parsed > limit).alias(f"f{c.position}_{j}")]
-                candidates.append(F.struct(F.col(f"p{c.position}_{j}"), F.lit(-j), F.col(f"f{c.position}_{j}").alias("f")))
-            future = F.greatest(*candidates)["f"]
-        rows.append(F.struct(F.lit(c.name).alias("column"), future.alias("future_dates")))
-    return df.agg(*aggregates).select(F.inline(F.array(*rows))).where(F.col("future_dates") > 0)
-
-
-def validity_totals(counts: DataFrame, impossible: DataFrame) -> DataFrame:
-    """One row: outlier_cells, number_cells, rules_hit, impossible_cells."""
-    a = counts.agg(F.coalesce(F.sum("outliers"), F.lit(0)).alias("outlier_cells"),
-                   F.coalesce(F.sum("present"), F.lit(0)).alias("number_cells"))
-    b = impossible.agg(F.count(F.lit(1)).alias("rules_hit"),
-                       F.coalesce(F.sum("bad_values"), F.lit(0)).alias("impossible_cells"))
-    one = F.lit(1).alias("one")
-    return a.select("*", one).join(b.select("*", one), "one").drop("one")
+    parts = []
+    for block in blocks([c for c in columns if c.kind == DATETIME]):
+        parts.append(cells(df, block).groupBy("slot").agg(F.count_if(F.col("value") > limit).alias("future_dates")))
+    layouts = range(len(rules.DATE_FORMATS))
+    for block in blocks([c for c in columns if c.kind == STRING]):
+        short = cells(df, block).where(F.octet_length("value") <= DATE_TEXT_BYTES)
+        parsed = short.select("slot", *[
+            parsed_date(F.col("value"), *rules.DATE_FORMATS[i]).alias(f"t{i}") for i in layouts])
+        counted = parsed.groupBy("slot").agg(
+            *[F.count(f"t{i}").alias(f"n{i}") for i in layouts],
+            *[F.count_if(F.col(f"t{i}") > limit).alias(f"f{i}") for i in layouts])
+        best = F.greatest(*[F.struct(F.col(f"n{i}").alias("parsed"), F.lit(-i).alias("order"),
+                                     F.col(f"f{i}").alias("future")) for i in layouts])
+        parts.append(counted.select("slot", best["future"].alias("future_dates")))
+    names = F.broadcast(column_names(df.sparkSession, columns).select("slot", "column"))
+    return (reduce(DataFrame.unionByName, parts).where(F.col("future_dates") > 0)
+            .join(names, "slot").select("column", "future_dates"))
+
+
+def outlier_totals(counts: DataFrame) -> DataFrame:
+    """One row: outlier_cells, number_cells, outlier_columns."""
+    return counts.agg(F.coalesce(F.sum("outliers"), F.lit(0)).alias("outlier_cells"),
+                      F.coalesce(F.sum("present"), F.lit(0)).alias("number_cells"),
+                      F.count_if(F.col("outliers") > 0).alias("outlier_columns"))
+
+
+def impossible_totals(impossible: DataFrame) -> DataFrame:
+    """One row: rules_hit, impossible_cells."""
+    return impossible.agg(F.count(F.lit(1)).alias("rules_hit"),
+                          F.coalesce(F.sum("bad_values"), F.lit(0)).alias("impossible_cells"))
 
 
 def validity_score(totals: dict[str, Column], n_rows: Column, profile: RuleProfile) -> Column:

@@ -30,7 +30,6 @@ from plumbline.plans import scores as score_rules
 from plumbline.rules import RuleProfile, profile_named
 
 IMPACT_LIMIT = 0.5
-SHOWN_NOISE = 5
 
 
 @dataclass
@@ -65,13 +64,15 @@ def audit(df: DataFrame, profile: str | RuleProfile = "audit", *, weights: dict[
     shares = score_rules.normalised_weights(weights)
     df = normalise(df)
     details = _details(df, rule, as_of, near_rows)
-    facts = _facts(df, rule, details)
-    table = small_table(score_rules.score_table(facts, _dimension_scores(df, rule), shares))
-    findings = small_table(_findings(df, rule, details, facts))
+    totals = small_table(_evidence(rule, details).groupBy("kind").agg(
+        F.sum("amount").alias("amount"), F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("columns")))
+    facts = _facts(df, rule, totals)
+    table = score_rules.score_table(facts, _dimension_scores(df, rule), shares)
+    findings = _findings(rule, totals, facts)
     return AuditResult(
         profile=rule, facts=facts, scores=table, findings=findings,
         summary=_summary(df, rule, table, facts), actions=action_list(table, findings),
-        fixes=_fixes(df, facts), details=details)
+        fixes=_fixes(facts), details=details)
 
 
 def _details(df: DataFrame, rule: RuleProfile, as_of: str | None, near_rows: bool) -> dict[str, DataFrame]:
@@ -80,12 +81,12 @@ def _details(df: DataFrame, rule: RuleProfile, as_of: str | None, near_rows: boo
     pairs = small_table(correlation.correlations(df))
     found = {
         "missing": missing.missing_by_column(df, rule, stats),
-        "duplicates": duplicates.duplicate_counts(df),
+        "duplicates": small_table(duplicates.duplicate_counts(df)),
         "constant": uniqueness.constant_columns(df, stats, label_table),
         "identical": duplicates.identical_columns(df, stats),
         "issues": consistency.consistency_issues(df, rule, stats, label_table),
-        "outliers": validity.outlier_counts(df),
-        "impossible": validity.impossible_values(df, rule),
+        "outliers": small_table(validity.outlier_counts(df)),
+        "impossible": small_table(validity.impossible_values(df, rule)),
         "skewed": accuracy.skewed_columns(df, rule, stats),
         "noise": accuracy.noisy_labels(label_table),
         "names": structure.bad_names(df, rule),
@@ -95,45 +96,98 @@ def _details(df: DataFrame, rule: RuleProfile, as_of: str | None, near_rows: boo
     }
     if rule.name == "universal":
         found |= {
-            "imbalanced": accuracy.imbalanced_columns(df, stats),
-            "future": validity.future_dates(df, as_of),
-            "rows": structure.row_shape(df),
+            "imbalanced": small_table(accuracy.imbalanced_columns(df, stats)),
+            "future": small_table(validity.future_dates(df, as_of)),
+            "rows": small_table(structure.row_shape(df)),
             "near": duplicates.near_duplicates(df) if near_rows else literal_table(
                 df.sparkSession, [(0, 0, 0.0)], "n_rows bigint, near_rows bigint, near_pct double"),
         }
-    return {name: small_table(part) for name, part in found.items()}
+    return found
 
 
-def _facts(df: DataFrame, rule: RuleProfile, details: dict[str, DataFrame]) -> DataFrame:
-    """One row with every number that a score depends on."""
-    def n(name: str, alias: str) -> DataFrame:
-        return details[name].agg(F.count(F.lit(1)).alias(alias))
+def _evidence(rule: RuleProfile, details: dict[str, DataFrame]) -> DataFrame:
+    """Every count that a score or finding needs, as long rows (kind, name, amount)."""
+    def rows(source: str, kind: str, name: Column | None = None, amount: Column | None = None,
+             test: Column | None = None) -> DataFrame:
+        part = details[source] if test is None else details[source].where(test)
+        return part.select(F.lit(kind).alias("kind"), (F.col("column") if name is None else name).alias("name"),
+                           (F.lit(1.0) if amount is None else amount).cast("double").alias("amount"))
+
+    def numbers(source: str, *names: str) -> DataFrame:
+        part = details[source].select(*[F.col(n).cast("double").alias(n) for n in names])
+        return part.unpivot([], list(names), "kind", "amount").select("kind", F.lit("").alias("name"), "amount")
 
+    severity, issue = F.col("severity"), F.col("issue")
+    same = F.concat_ws(" = ", "column_a", "column_b")
+    alike = F.concat_ws(" ~ ", "column_a", "column_b")
+    broken = F.concat(F.col("column"), F.lit(" ("), F.col("rule"), F.lit(": "), F.col("bad_values"), F.lit(")"))
+    noisy = F.concat(F.col("column"), F.lit(" ("), F.col("noisy_example"), F.lit(")"))
+    high_outliers = F.try_divide(F.col("outliers") * 100.0, F.col("present")) > 5
+    # The split into near-identical and high looks at r with four decimals.
+    identical_r = F.round("abs_r", 4) > rules.PERFECT_CORRELATION
     parts = [
-        missing.missing_totals(details["missing"]),
-        details["duplicates"],
-        n("constant", "constant_columns"), n("identical", "identical_pairs"), n("issues", "issues"),
-        validity.validity_totals(details["outliers"], details["impossible"]),
-        details["outliers"].agg(F.count_if(F.col("outliers") > 0).alias("outlier_columns")),
-        details["issues"].agg(F.count_if(F.col("issue") == "case").alias("case_columns")),
-        details["skewed"].agg(F.count(F.lit(1)).alias("skewed_columns"), F.coalesce(
-            F.sum(accuracy.skew_penalty(F.col("skewness"))), F.lit(0.0)).alias("skew_penalty")),
-        details["noise"].agg(F.coalesce(F.sum("noisy_labels"), F.lit(0)).alias("noisy_labels")),
-        n("names", "bad_names"), n("text_numbers", "text_numbers"), n("pairs", "high_pairs"),
-        n("redundant", "redundant_columns"),
+        numbers("missing", "nulls", "empty_cells", "whitespace_cells", "placeholder_cells", "missing_cells"),
+        rows("missing", "cells", amount=F.col("n_rows")),
+        rows("missing", "columns_affected", test=F.col("missing_cells") > 0),
+        rows("missing", "empty_columns", test=F.col("nulls") == F.col("n_rows")),
+        rows("missing", "mostly_null", test=severity == "critical"),
+        rows("missing", "partly_null", test=severity == "moderate"),
+        numbers("duplicates", "n_rows", "n_distinct_rows", "duplicate_rows"),
+        rows("constant", "constant_columns"),
+        rows("identical", "identical_pairs", same),
+        rows("issues", "mixed_type", test=issue == "mixed_type"),
+        rows("issues", "date_format", test=issue == "date_format"),
+        rows("issues", "case_columns", test=issue == "case"),
+        rows("issues", "encoding", test=issue == "encoding"),
+        rows("outliers", "number_cells", amount=F.col("present")),
+        rows("outliers", "outlier_cells", amount=F.col("outliers")),
+        rows("outliers", "outlier_columns", test=F.col("outliers") > 0),
+        rows("outliers", "outliers_high", test=high_outliers),
+        rows("outliers", "outliers_low", test=(F.col("outliers") > 0) & ~high_outliers),
+        rows("impossible", "rules_hit", broken),
+        rows("impossible", "impossible_cells", amount=F.col("bad_values")),
+        rows("skewed", "skewed_columns"),
+        rows("skewed", "skew_penalty", amount=accuracy.skew_penalty(F.col("skewness"))),
+        rows("noise", "noisy_columns", noisy),
+        rows("noise", "noisy_labels", amount=F.col("noisy_labels")),
+        rows("names", "bad_names"),
+        rows("names", "unnamed", test=issue == "unnamed"),
+        rows("names", "odd_names", test=issue != "unnamed"),
+        rows("text_numbers", "text_numbers"),
+        rows("pairs", "high_pairs", alike),
+        rows("pairs", "near_identical", alike, test=identical_r),
+        rows("pairs", "highly_correlated", alike, test=~identical_r),
+        rows("redundant", "redundant_columns"),
     ]
     if rule.name == "universal":
-        parts += [n("imbalanced", "imbalanced_columns"), n("future", "future_columns"),
-                  details["rows"].drop("n_rows"), details["near"].select("near_rows", "near_pct")]
-    values: dict = {}
-    fields = []
-    for part in parts:
-        row = part.first()
-        fields += part.schema.fields
-        values |= row.asDict()
-    values["rows_per_column"] = values["n_rows"] / len(df.columns)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", rows_per_column double"
-    return literal_table(df.sparkSession, [tuple(values.values())], schema)
+        parts += [rows("imbalanced", "imbalanced_columns"), rows("future", "future_columns"),
+                  numbers("rows", "empty_rows", "uniform_rows"), numbers("near", "near_rows", "near_pct")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+WHOLE = ("nulls", "empty_cells", "whitespace_cells", "placeholder_cells", "missing_cells", "cells",
+         "columns_affected", "empty_columns", "n_rows", "n_distinct_rows", "duplicate_rows", "constant_columns",
+         "identical_pairs", "mixed_type", "date_format", "case_columns", "encoding", "number_cells", "outlier_cells",
+         "outlier_columns", "rules_hit", "impossible_cells", "skewed_columns", "noisy_labels", "bad_names",
+         "text_numbers", "high_pairs", "redundant_columns")
+WHOLE_UNIVERSAL = ("imbalanced_columns", "future_columns", "empty_rows", "uniform_rows", "near_rows")
+
+
+def _facts(df: DataFrame, rule: RuleProfile, totals: DataFrame) -> DataFrame:
+    """One row with every number that a score depends on."""
+    amounts = {r.kind: r.amount for r in totals.select("kind", "amount").collect()}
+    counts = WHOLE + (WHOLE_UNIVERSAL if rule.name == "universal" else ())
+    row = {name: int(amounts.get(name, 0)) for name in counts}
+    row["issues"] = sum(row[name] for name in ("mixed_type", "date_format", "case_columns", "encoding"))
+    schema = [f"{name} bigint" for name in row]
+    shares = {
+        "missing_rate": row["missing_cells"] / row["cells"] if row["cells"] else None,
+        "rows_per_column": row["n_rows"] / len(df.columns),
+        "skew_penalty": amounts.get("skew_penalty", 0.0),
+        "near_pct": amounts.get("near_pct", 0.0),
+    }
+    schema += [f"{name} double" for name in shares]
+    return literal_table(df.sparkSession, [(*row.values(), *shares.values())], ", ".join(schema))
 
 
 def _dimension_scores(df: DataFrame, rule: RuleProfile) -> dict[str, Column]:
@@ -179,91 +233,57 @@ def _summary(df: DataFrame, rule: RuleProfile, table: DataFrame, facts: DataFram
                          score.alias("score")).withColumn("grade", grade(F.col("score")))
 
 
-def _listed(part: DataFrame, dimension: str, rank: int, severity: str, kind: str, text: str,
-            name: Column | None = None) -> DataFrame:
-    """One finding over a detail table, if it has rows; {n} and {columns} fill the text."""
-    name = F.col("column") if name is None else name
-    listed = part.agg(F.count(F.lit(1)).alias("n"),
-                      F.array_join(F.array_sort(F.collect_list(name)), ", ").alias("columns"))
-    return _finding(listed.where(F.col("n") > 0), dimension, rank, severity, kind, text)
-
-
-def _counted(facts: DataFrame, fact: str, dimension: str, rank: int, severity: str, kind: str, text: str) -> DataFrame:
-    one = facts.where(F.col(fact) > 0).select(F.col(fact).cast("bigint").alias("n"), F.lit("").alias("columns"))
-    return _finding(one, dimension, rank, severity, kind, text)
-
-
-def _finding(part: DataFrame, dimension: str, rank: int, severity: str, kind: str, text: str) -> DataFrame:
-    message = F.replace(F.replace(F.lit(text), F.lit("{n}"), F.col("n").cast("string")),
-                        F.lit("{columns}"), F.col("columns"))
-    return part.select(F.lit(dimension).alias("dimension"), F.lit(rank).alias("finding_rank"),
-                       F.lit(severity).alias("severity"), F.lit(kind).alias("finding_type"),
-                       "n", "columns", message.alias("message"))
-
-
-def _findings(df: DataFrame, rule: RuleProfile, d: dict[str, DataFrame], facts: DataFrame) -> DataFrame:
-    pair = F.concat_ws(" = ", "column_a", "column_b")
-    both = F.concat_ws(" ~ ", "column_a", "column_b")
-    broken = F.concat(F.col("column"), F.lit(" ("), F.col("rule"), F.lit(": "), F.col("bad_values"), F.lit(")"))
-    issue = F.col("issue")
-    outliers = validity.outlier_columns(d["outliers"])
-    shown = d["noise"].orderBy(F.desc("noisy_labels"), "column").limit(SHOWN_NOISE)
-    # The split into near-identical and high looks at r with four decimals.
-    identical_r = F.round("abs_r", 4) > rules.PERFECT_CORRELATION
-    disguised = facts.withColumn("disguised", F.col("placeholder_cells") + F.col("empty_cells") + F.col("whitespace_cells"))
-    low_ratio = facts.where(F.col("rows_per_column") < rule.rows_per_column).select(
-        F.col("n_rows").alias("n"), F.lit("").alias("columns"))
-    parts = [
-        _listed(d["missing"].where(F.col("severity") == "critical"), "completeness", 1, "high", "mostly_null",
-                "{n} column(s) lack more than 40% of their values: {columns}"),
-        _listed(d["missing"].where(F.col("severity") == "moderate"), "completeness", 2, "medium", "partly_null",
-                "{n} column(s) lack 5 to 40% of their values: {columns}"),
-        _counted(disguised, "disguised", "completeness", 3, "medium", "disguised_null",
-                 "{n} cells hold a disguised null such as 'N/A' or blank text"),
-        _counted(facts, "duplicate_rows", "uniqueness", 1, "high", "duplicate_rows", "{n} exact duplicate rows"),
-        _listed(d["constant"], "uniqueness", 2, "medium", "constant", "{n} constant column(s): {columns}"),
-        _listed(d["identical"], "uniqueness", 3, "medium", "identical", "{n} identical column pair(s): {columns}", pair),
-        _listed(d["issues"].where(issue == "mixed_type"), "consistency", 1, "high", "mixed_type",
-                "{n} column(s) mix numbers and text: {columns}"),
-        _listed(d["issues"].where(issue == "date_format"), "consistency", 2, "medium", "date_format",
-                "{n} column(s) mix date formats: {columns}"),
-        _listed(d["issues"].where(issue == "case"), "consistency", 3, "medium", "case",
-                "{n} column(s) have labels that differ in case only: {columns}"),
-        _listed(d["issues"].where(issue == "encoding"), "consistency", 4, "medium", "encoding",
-                "{n} column(s) show encoding damage: {columns}"),
-        _listed(d["impossible"], "validity", 1, "high", "impossible", "{n} rule(s) broken by impossible values: {columns}",
-                broken),
-        _listed(outliers.where(F.col("severity") == "high"), "validity", 2, "high", "outliers_high",
-                "{n} column(s) with more than 5% extreme outliers: {columns}"),
-        _listed(outliers.where(F.col("severity") == "low"), "validity", 3, "medium", "outliers_low",
-                "{n} column(s) with few extreme outliers: {columns}"),
-        _listed(d["skewed"], "accuracy", 1, "medium", "skewed", "{n} heavily skewed column(s): {columns}"),
-        _listed(d["names"].where(F.col("issue") == "unnamed"), "structure", 1, "high", "unnamed",
-                "{n} unnamed column(s): {columns}"),
-        _listed(d["names"].where(F.col("issue") != "unnamed"), "structure", 2, "medium", "bad_name",
-                "{n} column name(s) with blanks or special characters: {columns}"),
-        _listed(d["text_numbers"], "structure", 3, "medium", "text_numbers",
-                "{n} column(s) keep numbers as text: {columns}"),
-        _finding(low_ratio, "structure", 4, "medium", "few_rows", "only {n} rows for the number of columns"),
-        _listed(d["pairs"].where(identical_r), "correlation", 1, "high", "near_identical",
-                "{n} near-identical column pair(s): {columns}", both),
-        _listed(d["pairs"].where(~identical_r), "correlation", 2, "medium", "highly_correlated",
-                "{n} highly correlated column pair(s): {columns}", both),
-    ]
-    if rule.name == "universal":
-        parts += [
-            _counted(facts, "near_rows", "uniqueness", 4, "medium", "near_rows", "{n} near-duplicate rows"),
-            _listed(d["future"], "validity", 4, "medium", "future_dates", "{n} column(s) with future dates: {columns}"),
-            _listed(d["imbalanced"], "accuracy", 2, "medium", "imbalanced",
-                    "{n} column(s) with one class above 85%: {columns}"),
-            _counted(facts, "empty_rows", "structure", 5, "medium", "empty_rows", "{n} completely empty rows"),
-            _counted(facts, "uniform_rows", "structure", 6, "low", "uniform_rows",
-                     "{n} rows hold the same value in every column"),
-        ]
-    else:
-        parts.append(_listed(shown, "accuracy", 2, "medium", "label_noise", "possible label noise in {n} column(s): {columns}",
-                             F.concat(F.col("column"), F.lit(" ("), F.col("noisy_example"), F.lit(")"))))
-    return reduce(DataFrame.unionByName, parts)
+# Findings: (kind of evidence, dimension, rank, severity, text). {n} and {columns} are
+# filled in. A kind without evidence gives no finding.
+FINDINGS = (
+    ("mostly_null", "completeness", 1, "high", "{n} column(s) lack more than 40% of their values: {columns}"),
+    ("partly_null", "completeness", 2, "medium", "{n} column(s) lack 5 to 40% of their values: {columns}"),
+    ("disguised", "completeness", 3, "medium", "{n} cells hold a disguised null such as 'N/A' or blank text"),
+    ("duplicate_rows", "uniqueness", 1, "high", "{n} exact duplicate rows"),
+    ("constant_columns", "uniqueness", 2, "medium", "{n} constant column(s): {columns}"),
+    ("identical_pairs", "uniqueness", 3, "medium", "{n} identical column pair(s): {columns}"),
+    ("near_rows", "uniqueness", 4, "medium", "{n} near-duplicate rows"),
+    ("mixed_type", "consistency", 1, "high", "{n} column(s) mix numbers and text: {columns}"),
+    ("date_format", "consistency", 2, "medium", "{n} column(s) mix date formats: {columns}"),
+    ("case_columns", "consistency", 3, "medium", "{n} column(s) have labels that differ in case only: {columns}"),
+    ("encoding", "consistency", 4, "medium", "{n} column(s) show encoding damage: {columns}"),
+    ("rules_hit", "validity", 1, "high", "{n} rule(s) broken by impossible values: {columns}"),
+    ("outliers_high", "validity", 2, "high", "{n} column(s) with more than 5% extreme outliers: {columns}"),
+    ("outliers_low", "validity", 3, "medium", "{n} column(s) with few extreme outliers: {columns}"),
+    ("future_columns", "validity", 4, "medium", "{n} column(s) with future dates: {columns}"),
+    ("skewed_columns", "accuracy", 1, "medium", "{n} heavily skewed column(s): {columns}"),
+    ("noisy_columns", "accuracy", 2, "medium", "possible label noise in {n} column(s): {columns}"),
+    ("imbalanced_columns", "accuracy", 3, "medium", "{n} column(s) with one class above 85%: {columns}"),
+    ("unnamed", "structure", 1, "high", "{n} unnamed column(s): {columns}"),
+    ("odd_names", "structure", 2, "medium", "{n} column name(s) with blanks or special characters: {columns}"),
+    ("text_numbers", "structure", 3, "medium", "{n} column(s) keep numbers as text: {columns}"),
+    ("few_rows", "structure", 4, "medium", "only {n} rows for the number of columns"),
+    ("empty_rows", "structure", 5, "medium", "{n} completely empty rows"),
+    ("uniform_rows", "structure", 6, "low", "{n} rows hold the same value in every column"),
+    ("near_identical", "correlation", 1, "high", "{n} near-identical column pair(s): {columns}"),
+    ("highly_correlated", "correlation", 2, "medium", "{n} highly correlated column pair(s): {columns}"),
+)
+# Label noise belongs to the audit profile alone.
+AUDIT_ONLY = ("noisy_columns",)
+
+
+def _findings(rule: RuleProfile, totals: DataFrame, facts: DataFrame) -> DataFrame:
+    """(dimension, finding_rank, severity, finding_type, n, columns, message)."""
+    known = [f for f in FINDINGS if rule.name == "audit" or f[0] not in AUDIT_ONLY]
+    texts = literal_table(facts.sparkSession, known,
+                          "kind string, dimension string, finding_rank int, severity string, text string")
+    none = F.lit("")
+    disguised = F.col("placeholder_cells") + F.col("empty_cells") + F.col("whitespace_cells")
+    extra = facts.select(F.inline(F.array(
+        F.struct(F.lit("disguised").alias("kind"), disguised.cast("double").alias("amount"), none.alias("columns")),
+        F.struct(F.lit("few_rows").alias("kind"), F.when(F.col("rows_per_column") < rule.rows_per_column, F.col("n_rows"))
+                 .cast("double").alias("amount"), none.alias("columns")))))
+    found = totals.select("kind", "amount", "columns").unionByName(extra).where(F.col("amount") > 0)
+    n = F.col("amount").cast("bigint")
+    message = F.replace(F.replace(F.col("text"), F.lit("{n}"), n.cast("string")), F.lit("{columns}"), F.col("columns"))
+    return found.join(F.broadcast(texts), "kind").select(
+        "dimension", "finding_rank", "severity", F.col("kind").alias("finding_type"), n.alias("n"), "columns",
+        message.alias("message"))
 
 
 def action_list(table: DataFrame, findings: DataFrame) -> DataFrame:
@@ -288,7 +308,7 @@ FIXES = (
 )
 
 
-def _fixes(df: DataFrame, facts: DataFrame) -> DataFrame:
+def _fixes(facts: DataFrame) -> DataFrame:
     """Recommended fixes in fixed order: fix_rank, priority, dimension, amount, advice."""
     facts = facts.withColumn("missing_pct", F.round(F.col("missing_rate") * 100, 4))
     rows = [F.struct(F.lit(i).alias("fix_rank"), F.lit(priority).alias("priority"), F.lit(dimension).alias("dimension"),

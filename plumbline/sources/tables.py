@@ -80,8 +80,8 @@ def _has_broken_text(df: DataFrame) -> bool:
     return not df.where(broken).limit(1).isEmpty()
 
 
-def _is_whole(c):
-    return stripped(c).rlike(r"^[+-]?\d+$") & stripped(c).try_cast("bigint").isNotNull()
+def _is_whole(text):
+    return text.rlike(r"^[+-]?\d+$") & text.try_cast("bigint").isNotNull()
 
 
 def _is_bool(c):
@@ -90,8 +90,8 @@ def _is_bool(c):
 
 TYPE_METRICS = [
     Metric("present", "bigint", (STRING,), F.count),
-    Metric("whole", "bigint", (STRING,), lambda c: F.count_if(_is_whole(c))),
-    Metric("numeric", "bigint", (STRING,), lambda c: F.count_if(is_number_text(c))),
+    Metric("whole", "bigint", (STRING,), lambda c: F.count_if(_is_whole(c)), "text"),
+    Metric("numeric", "bigint", (STRING,), lambda c: F.count_if(is_number_text(c)), "text"),
     Metric("booleans", "bigint", (STRING,), lambda c: F.count_if(_is_bool(c))),
 ]
 
