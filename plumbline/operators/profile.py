@@ -88,7 +88,8 @@ DESCRIBE_METRICS = [
     Metric("ts_min", "timestamp", (DATETIME,), F.min),
     Metric("ts_max", "timestamp", (DATETIME,), F.max),
     Metric("ts_mean", "timestamp", (DATETIME,),
-           lambda c: F.timestamp_micros(F.avg(F.unix_micros(c)).cast("bigint"))),
+           lambda c: F.timestamp_micros(F.try_divide(
+               F.sum(F.unix_micros(c).cast("decimal(38,0)")), F.count(c)).cast("bigint"))),
 ]
 
 
