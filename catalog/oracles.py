@@ -176,7 +176,7 @@ def _profile() -> None:
                 def at(x: str) -> str:
                     return f"make_timestamp(CAST(trunc({x}) AS BIGINT))"
                 micros = f"CAST(epoch_us({c}) AS DOUBLE)"
-                ts = {"ts_mean": at(f"avg({micros})"), "ts_min": f"CAST(min({c}) AS TIMESTAMP)",
+                ts = {"ts_mean": f"make_timestamp(CAST(sum(epoch_us({c})) // count({c}) AS BIGINT))", "ts_min": f"CAST(min({c}) AS TIMESTAMP)",
                       "ts_q25": at(f"quantile_cont({micros}, .25)"), "ts_q50": at(f"quantile_cont({micros}, .5)"),
                       "ts_q75": at(f"quantile_cont({micros}, .75)"), "ts_max": f"CAST(max({c}) AS TIMESTAMP)"}
             fields = [f"{v} AS \"{k}\"" for k, v in (("unique", top[0]), ("top", top[1]), ("freq", top[2]), *of.items(), *ts.items())]

@@ -2,39 +2,69 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import rules
-from plumbline.functions.numeric import clamp, pearson
-from plumbline.operators.columns import NUMBER, TableColumn, literal_table, table_columns
+from plumbline.functions.numeric import clamp
+from plumbline.operators.columns import NUMBER, TableColumn, cells, literal_table, table_columns
 
-PAIRS_PER_SCAN = 60
 SCHEMA = "column_a string, column_b string, r double"
+PART_SCHEMA = "a int, b int, n double, sa double, sb double, saa double, sbb double, sab double"
+# A spread this small beside the size of the numbers is rounding, not variation.
+FLAT_SHARE = 1e-13
 
 
 def correlations(df: DataFrame, columns: list[TableColumn] | None = None) -> DataFrame:
     """(column_a, column_b, r) for each pair, over the rows where both are present.
 
-    One aggregate per block of pairs, each reading only the columns of its pairs. ``r``
-    is null where a column is constant.
+    Each task multiplies its batches as matrices, so one scan serves all pairs of any
+    number of columns, and returns one row per pair. The columns are shifted by their
+    means first, so that the sums keep their precision. ``r`` is null where a column is
+    constant.
     """
     columns = table_columns(df, NUMBER) if columns is None else columns
-    pairs = list(combinations(columns, 2))
-    parts = [_correlate(df, pairs[i:i + PAIRS_PER_SCAN]) for i in range(0, len(pairs), PAIRS_PER_SCAN)]
-    return reduce(DataFrame.unionByName, parts) if parts else literal_table(df.sparkSession, [], SCHEMA)
-
-
-def _correlate(df: DataFrame, pairs: list[tuple[TableColumn, TableColumn]]) -> DataFrame:
-    used = {c.position: c for pair in pairs for c in pair}
-    data = df.select(*[c.cell.alias(f"c{i}") for i, c in used.items()])
-    row = data.agg(*[pearson(F.col(f"c{a.position}"), F.col(f"c{b.position}")).alias(f"r{j}")
-                     for j, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(a.name).alias("column_a"), F.lit(b.name).alias("column_b"), F.col(f"r{j}").alias("r"))
-        for j, (a, b) in enumerate(pairs)])))
+    if len(columns) < 2:
+        return literal_table(df.sparkSession, [], SCHEMA)
+    shifts = _shifts(df, columns)
+    shifted = df.select(*[(c.cell - F.lit(shifts.get(c.slot, 0.0))).alias(c.slot) for c in columns])
+    parts = shifted.mapInArrow(_pair_sums, PART_SCHEMA)
+    n, sa, sb, saa, sbb, sab = (F.sum(name) for name in ("n", "sa", "sb", "saa", "sbb", "sab"))
+    spread_a, spread_b = saa - F.try_divide(sa * sa, n), sbb - F.try_divide(sb * sb, n)
+    r = F.try_divide(sab - F.try_divide(sa * sb, n), F.sqrt(spread_a) * F.sqrt(spread_b))
+    varies = (spread_a > FLAT_SHARE * saa) & (spread_b > FLAT_SHARE * sbb)
+    summed = parts.groupBy("a", "b").agg(F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
+    names = F.array(*[F.lit(c.name) for c in columns])
+    return summed.select(names[F.col("a")].alias("column_a"), names[F.col("b")].alias("column_b"),
+                         F.nanvl("r", F.lit(None).cast("double")).alias("r"))
+
+
+def _shifts(df: DataFrame, columns: list[TableColumn]) -> dict[str, float]:
+    """The mean of each column; the value itself where it is constant, so that it cancels."""
+    low = F.min("value")
+    shift = F.when(low == F.max("value"), low).otherwise(F.avg("value"))
+    rows = cells(df, columns).groupBy("slot").agg(shift.alias("shift")).collect()
+    return {r.slot: r["shift"] for r in rows if r["shift"] is not None}
+
+
+def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per pair of columns with the counts and sums over the rows where both are present."""
+    total = None
+    for batch in batches:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+        present = ~np.isnan(x)
+        mask, x = present.astype(float), np.where(present, x, 0.0)
+        square = x * x
+        sums = np.stack([mask.T @ mask, x.T @ mask, mask.T @ x, square.T @ mask, mask.T @ square, x.T @ x])
+        total = sums if total is None else total + sums
+    if total is not None:
+        a, b = np.triu_indices(total.shape[1], 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a, pa.int32()), pa.array(b, pa.int32()), *[pa.array(part[a, b]) for part in total]],
+            names=["a", "b", "n", "sa", "sb", "saa", "sbb", "sab"])
 
 
 def correlation_matrix(df: DataFrame, columns: list[TableColumn] | None = None) -> DataFrame:

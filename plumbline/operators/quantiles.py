@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -126,13 +128,35 @@ def _around(shares) -> list[float]:
     return sorted({x for p in shares for x in (max(0.0, p - RANK_MARGIN), min(1.0, p + RANK_MARGIN))})
 
 
+def _per_slot(rows: list[tuple]) -> tuple[dict[str, list[tuple]], int]:
+    """Groups (slot, ...) rows by slot and gives the largest group size."""
+    grouped: dict[str, list[tuple]] = {}
+    for slot, *rest in rows:
+        grouped.setdefault(slot, []).append(tuple(rest))
+    return grouped, max(map(len, grouped.values()))
+
+
 def _in_parts(data: DataFrame, parts: list[tuple]) -> DataFrame:
-    """The cells inside each part, tagged with its index; the parts are a few per column."""
-    rows = [(i, slot, low, high) for i, (slot, low, high) in enumerate(parts)]
-    table = literal_table(data.sparkSession, rows, "part int, slot string, low double, high double")
-    inside = ((F.col("low").isNull() | (F.col("value") > F.col("low")))
-              & (F.col("high").isNull() | (F.col("value") < F.col("high"))))
-    return data.join(F.broadcast(table), "slot").where(inside)
+    """The cells inside each part, tagged with its index; the parts are a few per column.
+
+    The bounds of a column's parts sit side by side in one row, so that the test for any
+    of them comes before a cell is repeated for each part it is in.
+    """
+    spark = data.sparkSession
+    grouped, width = _per_slot(parts)
+    nowhere = (math.inf, -math.inf)
+    wide = [(slot, *[x for p in ps + [nowhere] * (width - len(ps)) for x in p]) for slot, ps in grouped.items()]
+    bounds = literal_table(spark, wide, "slot string" + "".join(f", low{i} double, high{i} double" for i in range(width)))
+    inside = [_between(F.col(f"low{i}"), F.col(f"high{i}")) for i in range(width)]
+    somewhere = data.join(F.broadcast(bounds), "slot").where(reduce(or_, inside)).select("slot", "value")
+    rows = [(i, *part) for i, part in enumerate(parts)]
+    table = literal_table(spark, rows, "part int, slot string, low double, high double")
+    return somewhere.join(F.broadcast(table), "slot").where(_between(F.col("low"), F.col("high")))
+
+
+def _between(low: Column, high: Column) -> Column:
+    value = F.col("value")
+    return (low.isNull() | (value > low)) & (high.isNull() | (value < high))
 
 
 def _sketch(data: DataFrame, points: dict[tuple, list[float]]) -> dict[tuple, tuple[int, dict]]:
@@ -163,12 +187,14 @@ def _propose(data: DataFrame, ranks: list[_Rank]) -> dict[int, tuple[float, floa
 
 def _narrow(data: DataFrame, ranks: list[_Rank], proposals: dict[int, tuple[float, float]]) -> None:
     """Counts the cells below and at the proposed values, and moves each rank accordingly."""
-    marks = sorted({(r.slot, v) for r in ranks for v in proposals[id(r)]})
-    table = literal_table(data.sparkSession, marks, "slot string, mark double")
-    counted = data.join(F.broadcast(table), "slot").groupBy("slot", "mark").agg(
-        F.count_if(F.col("value") < F.col("mark")).alias("below"),
-        F.count_if(F.col("value") == F.col("mark")).alias("equal")).collect()
-    counts = {(r.slot, r.mark): (r.mark, r.below, r.equal) for r in counted}
+    grouped, width = _per_slot(sorted({(r.slot, v) for r in ranks for v in proposals[id(r)]}))
+    wide = [(slot, *[v for (v,) in vs], *[None] * (width - len(vs))) for slot, vs in grouped.items()]
+    table = literal_table(data.sparkSession, wide, "slot string" + "".join(f", mark{i} double" for i in range(width)))
+    counted = data.join(F.broadcast(table), "slot").groupBy("slot").agg(
+        *[F.count_if(F.col("value") < F.col(f"mark{i}")).alias(f"below{i}") for i in range(width)],
+        *[F.count_if(F.col("value") == F.col(f"mark{i}")).alias(f"equal{i}") for i in range(width)])
+    counts = {(row.slot, v): (v, row[f"below{i}"], row[f"equal{i}"])
+              for row in counted.collect() for i, (v,) in enumerate(grouped[row.slot])}
     for r in ranks:
         a, b = proposals[id(r)]
         r.narrow(counts[(r.slot, a)], counts[(r.slot, b)])
