@@ -128,21 +128,32 @@ def column_names(spark: SparkSession, columns: list[TableColumn]) -> DataFrame:
                          "slot string, position int, column string, dtype string, kind string")
 
 
+def scans(df: DataFrame, columns: list[TableColumn]) -> list[list[TableColumn]]:
+    """The blocks of columns to scan together.
+
+    All of them if the input has partitions for every core. A small input with few
+    partitions is split by columns instead, so that its scans run side by side.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    shared = -(-len(columns) * df.rdd.getNumPartitions() // cores)
+    return blocks(columns, max(1, min(COLUMNS_PER_SCAN, shared)))
+
+
 FAMILIES = ((STRING,), (NUMBER, BOOLEAN), (DATETIME,), (OTHER,))
 
 
 def column_metrics(df: DataFrame, metrics: list[Metric], columns: list[TableColumn] | None = None) -> DataFrame:
     """One row per column: position, column, dtype, kind, n_rows and every metric.
 
-    Metrics that don't apply to the kind of a column are null.
+    Metrics that don't apply to the kind of a column are null. Columns of one family share
+    a grouped aggregate over their cells, so the plan doesn't grow with the columns.
     """
     columns = table_columns(df) if columns is None else columns
     parts = []
     for family in FAMILIES:
         used = [m for m in metrics if any(k in m.kinds for k in family)]
-        aggregates = [m.build(F.col(m.source)).cast(m.type).alias(m.name) if m in used
-                      else F.lit(None).cast(m.type).alias(m.name) for m in metrics]
-        for block in blocks([c for c in columns if c.kind in family]):
+        aggregates = [(m.build(F.col(m.source)) if m in used else F.lit(None)).cast(m.type).alias(m.name) for m in metrics]
+        for block in scans(df, [c for c in columns if c.kind in family]):
             data = cells(df, block)
             if family == (STRING,):
                 data = data.withColumns({"text": stripped(F.col("value")), "short": date_text(F.col("value"))})
@@ -150,10 +161,10 @@ def column_metrics(df: DataFrame, metrics: list[Metric], columns: list[TableColu
     if not parts:
         return literal_table(df.sparkSession, [], "position int, column string, dtype string, kind string, n_rows bigint"
                              + "".join(f", {m.name} {m.type}" for m in metrics))
-    found = reduce(DataFrame.unionByName, parts)
     names = F.broadcast(column_names(df.sparkSession, columns))
     kept = [F.when(F.col("kind").isin(*m.kinds), F.col(m.name)).alias(m.name) for m in metrics]
-    return found.join(names, "slot").select("position", "column", "dtype", "kind", "n_rows", *kept)
+    return reduce(DataFrame.unionByName, parts).join(names, "slot").select(
+        "position", "column", "dtype", "kind", "n_rows", *kept)
 
 
 def merge_metrics(*groups: list[Metric]) -> list[Metric]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import rules
 from plumbline.functions.numeric import clamp
-from plumbline.operators.columns import NUMBER, TableColumn, cells, literal_table, table_columns
+from plumbline.operators.columns import NUMBER, TableColumn, literal_table, table_columns
 
 SCHEMA = "column_a string, column_b string, r double"
 PART_SCHEMA = "a int, b int, n double, sa double, sb double, saa double, sbb double, sab double"
@@ -44,10 +44,9 @@ def correlations(df: DataFrame, columns: list[TableColumn] | None = None) -> Dat
 
 def _shifts(df: DataFrame, columns: list[TableColumn]) -> dict[str, float]:
     """The mean of each column; the value itself where it is constant, so that it cancels."""
-    low = F.min("value")
-    shift = F.when(low == F.max("value"), low).otherwise(F.avg("value"))
-    rows = cells(df, columns).groupBy("slot").agg(shift.alias("shift")).collect()
-    return {r.slot: r["shift"] for r in rows if r["shift"] is not None}
+    row = df.agg(*[F.when(F.min(c.cell) == F.max(c.cell), F.min(c.cell)).otherwise(F.avg(c.cell)).alias(c.slot)
+                   for c in columns]).first()
+    return {c.slot: row[c.slot] for c in columns if row[c.slot] is not None}
 
 
 def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline import rules
 from plumbline.functions.numeric import pearson, sample_kurtosis, sample_skewness
 from plumbline.operators.columns import (
-    BOOLEAN, NUMBER, STRING, Metric, TableColumn, blocks, cells, column_metrics, column_ref, literal_table,
+    BOOLEAN, NUMBER, STRING, Metric, TableColumn, cells, column_metrics, column_ref, literal_table, scans,
     table_columns,
 )
 from plumbline.operators.correlation import strength
@@ -106,7 +106,7 @@ def box_stats(df: DataFrame, names: list[str] | None = None) -> DataFrame:
         cells(df, block).join(bounds, "slot").groupBy("slot").agg(
             F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"),
             (F.count("value") - F.count(inside)).alias("outliers"))
-        for block in blocks(columns)])
+        for block in scans(df, columns)])
     return counted.join(F.broadcast(table), "slot").select(
         "column", "q1", "median", "q3", "whisker_low", "whisker_high", "outliers")
 
