@@ -142,30 +142,37 @@ query("dirty_customer", name="distinct_sample")(lambda df: explore.distinct_samp
 
 # ----------------------------------------------------------------- detectors
 
-for _rule in (rules.AUDIT, rules.UNIVERSAL):
-    def _with(function, rule=_rule):
-        return lambda df: function(df, rule)
-
-    def _named(name, rule=_rule):
-        return f"{name}_{rule.name}"
-
-    query("dirty_customer", name=_named("missing_by_column"))(
-        lambda df, rule=_rule: missing.missing_by_column(df, rule).drop("position"))
-    query("documents", name=_named("missing_by_column_documents"))(
-        lambda df, rule=_rule: missing.missing_by_column(df, rule).drop("position"))
-    query("dirty_customer", name=_named("case_issues"))(_with(consistency.case_issues))
-    query("dirty_customer", name=_named("date_format_mix"))(_with(consistency.date_format_mix))
-    query("documents", name=_named("date_format_mix_documents"))(_with(consistency.date_format_mix))
-    query("dirty_customer", name=_named("garbled_text"))(_with(consistency.garbled_text))
-    query("documents", name=_named("garbled_text_documents"))(_with(consistency.garbled_text))
-    query("dirty_customer", name=_named("consistency_issues"))(_with(consistency.consistency_issues))
-    query("dirty_customer", name=_named("impossible_values"))(_with(validity.impossible_values))
-    query("lineitem", name=_named("impossible_values_lineitem"))(
-        lambda df, rule=_rule: validity.impossible_values(df.select(
+
+
+def _register_for(rule: rules.RuleProfile) -> None:
+    """The detectors that differ between the rule profiles."""
+    def add(source: str, name: str, function) -> None:
+        query(source, name=f"{name}_{rule.name}")(lambda df: function(df, rule))
+
+    def missing_columns(df, profile):
+        return missing.missing_by_column(df, profile).drop("position")
+
+    def impossible_lineitem(df, profile):
+        return validity.impossible_values(df.select(
             (F.col("l_discount") * 2000 - 10).alias("discount_rate"), (F.col("l_tax") - 0.01).alias("tax_amount"),
-            (F.col("l_linenumber") * 2 - 1).alias("ship_month"), "l_quantity"), rule))
-    query("dirty_customer", name=_named("skewed_columns"))(_with(accuracy.skewed_columns))
-    query("labels", name=_named("skewed_columns_labels"))(_with(accuracy.skewed_columns))
+            (F.col("l_linenumber") * 2 - 1).alias("ship_month"), "l_quantity"), profile)
+
+    add("dirty_customer", "missing_by_column", missing_columns)
+    add("documents", "missing_by_column_documents", missing_columns)
+    add("dirty_customer", "case_issues", consistency.case_issues)
+    add("dirty_customer", "date_format_mix", consistency.date_format_mix)
+    add("documents", "date_format_mix_documents", consistency.date_format_mix)
+    add("dirty_customer", "garbled_text", consistency.garbled_text)
+    add("documents", "garbled_text_documents", consistency.garbled_text)
+    add("dirty_customer", "consistency_issues", consistency.consistency_issues)
+    add("dirty_customer", "impossible_values", validity.impossible_values)
+    add("lineitem", "impossible_values_lineitem", impossible_lineitem)
+    add("dirty_customer", "skewed_columns", accuracy.skewed_columns)
+    add("labels", "skewed_columns_labels", accuracy.skewed_columns)
+
+
+_register_for(rules.AUDIT)
+_register_for(rules.UNIVERSAL)
 
 query("dirty_customer", name="missing_totals")(
     lambda df: missing.missing_totals(missing.missing_by_column(df, rules.UNIVERSAL)))
@@ -192,7 +199,6 @@ query("dirty_customer", name="future_dates_text")(lambda df: validity.future_dat
 
 @query("orders")
 def imbalance(df):
-    # The share of each value is taken of the rows, so a derived rare flag is dominated by 'no'.
     rare = F.when(F.col("o_totalprice") > 400000, "high").when(F.col("o_totalprice") < 2000, "low").otherwise("usual")
     return accuracy.imbalanced_columns(df.select("o_orderstatus", "o_orderpriority", rare.alias("price_class")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.numeric import clamp, sample_skewness
 from plumbline.operators.columns import NUMBER, STRING, Metric, column_metrics, literal_table, table_columns
-from plumbline.operators.frequencies import distinct_counts
+from plumbline.operators.frequencies import distinct_counts, modes
 from plumbline.rules import RuleProfile
 
 DOMINANT_SHARE = 0.85
@@ -17,12 +17,16 @@ SKEW_METRICS = [
 ]
 # A value held by more than 85 % of the cells is the median of any ordering, and a
 # median that is off by 1 % still is. So one small sketch of the hashes finds it.
+# Hashes are cut to 52 bits, which the sketch keeps exactly as doubles.
 DOMINANT_METRICS = [
-    Metric("middle_hash", "bigint", (STRING,),
-           lambda c: F.percentile_approx(F.when(c.isNotNull(), F.xxhash64(c)), 0.5, 100)),
+    Metric("middle_hash", "bigint", (STRING,), lambda c: F.percentile_approx(_short_hash(c), 0.5, 100)),
 ]
 
 
+def _short_hash(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.shiftright(F.xxhash64(c), 12))
+
+
 def skewed_columns(df: DataFrame, profile: RuleProfile, stats: DataFrame | None = None) -> DataFrame:
     """(column, skewness, severity) for number columns beyond the profile's limit."""
     if stats is None:
@@ -44,23 +48,27 @@ def imbalanced_columns(df: DataFrame, stats: DataFrame | None = None) -> DataFra
     candidates = [c for c in strings if c.name in middle]
     if not candidates:
         return literal_table(df.sparkSession, [], schema)
-    aggregates, rows = [], []
+    aggregates = []
+    for c in candidates:
+        middle_value = F.when(_short_hash(c.ref) == F.lit(middle[c.name]), c.ref)
+        aggregates += [F.count(c.ref).alias(f"n_{c.slot}"), F.count(middle_value).alias(f"k_{c.slot}"),
+                       F.min(middle_value).alias(f"low_{c.slot}"), F.max(middle_value).alias(f"high_{c.slot}")]
+    row = df.agg(*aggregates).first()
+    dominant = []
     for c in candidates:
-        is_middle = F.xxhash64(c.ref) == F.lit(middle[c.name])
-        aggregates += [F.count(c.ref).alias(f"n{c.position}"),
-                       F.count(F.when(is_middle, c.ref)).alias(f"m{c.position}"),
-                       F.any_value(F.when(is_middle, c.ref), True).alias(f"v{c.position}")]
-        rows.append(F.struct(F.lit(c.name).alias("column"), F.col(f"v{c.position}").alias("dominant_class"),
-                             F.try_divide(F.col(f"m{c.position}") * 100.0, F.col(f"n{c.position}")).alias("dominant_pct"),
-                             (F.col(f"n{c.position}") - F.col(f"m{c.position}")).alias("others")))
-    dominant = (df.agg(*aggregates).select(F.inline(F.array(*rows)))
-                .where((F.col("dominant_pct") > 100 * DOMINANT_SHARE) & (F.col("others") > 0)).drop("others").collect())
+        n, k, value = row[f"n_{c.slot}"], row[f"k_{c.slot}"], row[f"low_{c.slot}"]
+        if k > DOMINANT_SHARE * n and value != row[f"high_{c.slot}"]:
+            # Two values share the hash: count them one by one.
+            exact = modes(df, [c]).first()
+            k, value = exact.n, exact["mode"]
+        if DOMINANT_SHARE * n < k < n:
+            dominant.append((c.name, value, 100.0 * k / n))
     if not dominant:
         return literal_table(df.sparkSession, [], schema)
-    names = [r.column for r in dominant]
+    names = [name for name, _, _ in dominant]
     classes = distinct_counts(df, table_columns(df, STRING, names=names)).select(
         "column", F.col("n_distinct").alias("n_classes"))
-    found = literal_table(df.sparkSession, [tuple(r) for r in dominant],
+    found = literal_table(df.sparkSession, dominant,
                           "column string, dominant_class string, dominant_pct double")
     return found.join(classes, "column").select("column", "dominant_class", "dominant_pct", "n_classes")
 
