@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.functions.numeric import clamp
 from plumbline.functions.text import is_garbled, is_number_text, matches_date_pattern, starts_with_letter
 from plumbline.operators.columns import (
-    STRING, Metric, column_metrics, count_cells, literal_table, merge_metrics, table_columns,
+    STRING, Metric, column_metrics, count_cells, merge_metrics, table_columns,
 )
 from plumbline.operators.labels import LABEL_METRICS, label_stats
 from plumbline.rules import RuleProfile

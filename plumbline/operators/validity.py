@@ -119,19 +119,6 @@ def future_dates(df: DataFrame, as_of: str | None = None) -> DataFrame:
             .join(names, "slot").select("column", "future_dates"))
 
 
-def outlier_totals(counts: DataFrame) -> DataFrame:
-    """One row: outlier_cells, number_cells, outlier_columns."""
-    return counts.agg(F.coalesce(F.sum("outliers"), F.lit(0)).alias("outlier_cells"),
-                      F.coalesce(F.sum("present"), F.lit(0)).alias("number_cells"),
-                      F.count_if(F.col("outliers") > 0).alias("outlier_columns"))
-
-
-def impossible_totals(impossible: DataFrame) -> DataFrame:
-    """One row: rules_hit, impossible_cells."""
-    return impossible.agg(F.count(F.lit(1)).alias("rules_hit"),
-                          F.coalesce(F.sum("bad_values"), F.lit(0)).alias("impossible_cells"))
-
-
 def validity_score(totals: dict[str, Column], n_rows: Column, profile: RuleProfile) -> Column:
     rate = totals["outlier_cells"] / F.greatest(totals["number_cells"], F.lit(1))
     if profile.name == "universal":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from plumbline.operators.columns import literal_table, normalise
 from plumbline.plans.scores import quick_score
