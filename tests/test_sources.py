@@ -4,6 +4,7 @@ import pytest
 
 from plumbline import export_csv, read_csv, read_table
 from plumbline.rules import NULL_TOKENS
+from plumbline.sources.staging import staging_folder
 
 
 def write(path, text, encoding="utf-8"):
@@ -56,3 +57,26 @@ def test_export_and_read_back(spark, tmp_path):
     path = export_csv(df, str(tmp_path), "table.csv")
     assert path.endswith("/table_cleaned.csv")
     assert sorted(map(tuple, read_table(spark, path).collect())) == [(1, ' say "hi", ok '), (2, None)]
+
+
+class _Unset:
+    """A session whose settings name no staging folder."""
+
+    def __init__(self, master):
+        self.sparkContext, self.conf, self.master = self, self, master
+
+    def getConf(self):
+        return self
+
+    def get(self, _name, default=None):
+        return default
+
+
+def test_staging_folder_is_required_on_a_cluster():
+    assert staging_folder(_Unset("local[2]")) == staging_folder(_Unset("local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging_folder(_Unset("spark://host"))
+
+
+def test_staging_folder_follows_the_session(spark):
+    assert staging_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
