@@ -9,6 +9,62 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM t WINDOW w AS (PARTITION BY norm)
 """
 
+_OP4 = r"""
+WITH t AS (SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM t GROUP BY source),
+w AS (SELECT *, [3, 1, 2][(n - 1) % 3 + 1] AS weight, source_size * 2 AS most FROM s),
+l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+    - coalesce(sum(most) OVER (ORDER BY most::DOUBLE / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / sum(weight) OVER (ORDER BY most::DOUBLE / weight, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+g AS (SELECT source, source_size, least(most::DOUBLE, max(level) OVER () * weight) AS target FROM l),
+p AS (SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS budget,
+      CAST(coalesce(sum(size) OVER (PARTITION BY t.source ORDER BY ('0x' || md5(concat_ws(' ', CAST(doc_id AS VARCHAR), text))[1:15])::BIGINT,
+        doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+      FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size
+       + least(size, greatest(budget - (budget // source_size) * source_size - before, 0)) END AS taken FROM p
+"""
+
+_OP3 = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^ 	-
+]+') AS words FROM t),
+g AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS p, words FROM w WHERE len(words) > 2),
+h AS (SELECT doc_id, p, words[p] || ' ' || words[p + 1] || ' ' || words[p + 2] AS gram FROM g),
+r AS (SELECT doc_id, p FROM h QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+c AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM r) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+d AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM l WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY doc_id),
+m AS (SELECT t.doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words,
+        CAST(length(regexp_replace(text, '[ 	-
+]+', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(coalesce(d.dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+        coalesce(d.n, 0) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]+', '', 'g')) AS n_capitals,
+        length(text) - length(replace(text, '!', '')) AS n_exclamations
+      FROM t JOIN w USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id)),
+v AS (SELECT doc_id, stratum, unnest([
+        {ratio: 'symbols', value: coalesce(n_symbols / nullif(word_chars, 0), 0)},
+        {ratio: 'dup_lines', value: coalesce(n_dup_lines / nullif(n_lines, 0), 0)},
+        {ratio: 'repeats', value: coalesce(n_repeat_words / nullif(n_words, 0), 0)},
+        {ratio: 'capitals', value: coalesce(n_capitals / nullif(word_chars, 0), 0)},
+        {ratio: 'exclamations', value: coalesce(n_exclamations / nullif(word_chars, 0), 0)}], recursive := true) FROM m),
+good AS (SELECT v.* FROM v SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) q USING (doc_id)),
+k AS (SELECT unnest([0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.175, 0.15, 0.125, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03]::DOUBLE[]) AS cutoff),
+n AS (SELECT stratum, ratio, cutoff, count(*) AS good, count(*) FILTER (WHERE value > cutoff) AS rejected FROM good, k GROUP BY ALL),
+b AS (SELECT stratum, ratio, cutoff, good, rejected,
+        list_sum([exp(lgamma(good + 1) - lgamma(j + 1) - lgamma(good - j + 1) + j * ln(0.01) + (good - j) * ln(0.99)) FOR j IN range(0, rejected + 1)]) AS tail
+      FROM n),
+s AS (SELECT *, bool_and(tail <= 0.05 / 5 / (SELECT count(DISTINCT stratum) FROM n)) OVER (PARTITION BY stratum, ratio ORDER BY cutoff DESC) AS holds FROM b),
+x AS (SELECT stratum, ratio, min(cutoff) AS cutoff FROM s WHERE holds GROUP BY ALL),
+f AS (SELECT DISTINCT doc_id FROM v JOIN x USING (stratum, ratio) WHERE value > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM f) AS kept FROM m
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_certified_cutoffs": _OP3,
+    "op4_budget_cut": _OP4,
     "op5_block_naming": _OP5,
 }

@@ -6,22 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import naming, simhash
+import public_tokenizers
+from plumbline.llm import bpe, mixing, naming, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op3_certified_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixed(_table(spark, sf_dir, "documents"))
+    return mixed.select(mixed["id"].alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op5_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_certified_cutoffs": op3_certified_cutoffs,
+    "op4_budget_cut": op4_budget_cut,
     "op5_block_naming": op5_block_naming,
+    "op8_merge_rounds": op8_merge_rounds,
     "op10_simhash_balls": op10_simhash_balls,
 }

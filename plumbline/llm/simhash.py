@@ -126,4 +126,21 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                     shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """One document of each component, the one with the smallest id, with all columns. Of rows that agree in
+    this id one stays; a component whose ids are all null stays whole."""
+    groups = staged(near_groups(docs, id_column, text_column, shingle_words, radius), "near_groups")
+    kept = groups.where(F.col(id_column).isNull() | (F.col(id_column) == F.col("component_id")))
+    ids = staged(kept.groupBy(F.col(id_column).alias("_id")).agg(F.count("*").alias("_rows")), "kept_ids")
+    dropped = groups.select(F.col(id_column).alias("_id")).distinct().join(ids, "_id", "left_anti").where("_id IS NOT NULL")
+    dropped = staged(dropped, "dropped_ids")
+    left = docs.join(dropped, docs[id_column] == dropped["_id"], "left_anti")
+    twins = ids.where("_rows > 1 AND _id IS NOT NULL")
+    if twins.isEmpty():
+        return left
+    once = left.join(twins, left[id_column] == twins["_id"], "left_semi").dropDuplicates([id_column])
+    return left.join(twins, left[id_column] == twins["_id"], "left_anti").unionByName(once)
+
+
 by_value(__name__)
