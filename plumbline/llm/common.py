@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.sources.staging import staged, staged_path
 
-__all__ = ["BLANKS", "NOT_BLANK", "by_value", "column_or_null", "drop_staged", "let", "map_batches", "split_words",
+__all__ = ["BLANKS", "NOT_BLANK", "by_value", "column_or_null", "drop_staged", "let", "map_batches", "release", "split_words",
            "staged", "staged_path", "word_count"]
 
 # ASCII white space, and a run of anything else: what the operators call a word.
@@ -54,6 +55,12 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now instead of at the JVM's next collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_staged(spark: SparkSession, path: str) -> None:
     """Deletes a staged table that no later step reads."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
