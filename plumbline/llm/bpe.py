@@ -190,6 +190,7 @@ def with_tokens(docs: DataFrame, path: str, text_column: str = "text", tokens_co
     """Adds a column with the token ids of each whole text."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
     state: dict[str, Encoder] = {}
+    names = [*docs.columns, tokens_column]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = _once(state, vocabulary)
@@ -197,7 +198,7 @@ def with_tokens(docs: DataFrame, path: str, text_column: str = "text", tokens_co
         ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
         flat = np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int32)
         tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], tokens], [*docs.columns, tokens_column])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], tokens], names)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
     return map_batches(docs.select(*docs.columns, _texts(docs, text_column).alias("_text")), run,
                        f"{kinds}, `{tokens_column}` array<int>")

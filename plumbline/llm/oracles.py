@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from plumbline.llm.licenses import TEMPLATES
+
 _OP5 = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
@@ -25,6 +27,18 @@ SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE
        + least(size, greatest(budget - (budget // source_size) * source_size - before, 0)) END AS taken FROM p
 """
 
+_OP2 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#') AS body,
+    replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#'), ': ', ':\ ') AS head FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(head) + length(body) + 14) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 _OP3 = r"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(text, '[^ 	-
@@ -63,8 +77,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM f) AS kept FROM m
 """
 
+_OP6 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+p AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+b AS (SELECT doc_id, i, CASE WHEN words[i] = 'gnu' AND words[i + 1] = 'general' AND words[i + 2] = 'public' AND words[i + 3] = 'license' THEN 'gpl'
+        WHEN words[i] = 'apache' AND words[i + 1] = 'license' THEN 'apache' WHEN words[i] = 'cc' AND words[i + 1] = 'by' THEN 'cc-by'
+        WHEN words[i] = 'mit' AND words[i + 1] = 'license' THEN 'mit' END AS label FROM p),
+base AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS z, list_sort(list(DISTINCT label)) AS labels FROM b WHERE label IS NOT NULL GROUP BY 1),
+t AS (SELECT * FROM (VALUES TEMPLATE_ROWS) AS t(template, label, words)),
+tg AS (SELECT template, label, len(words) - 2 AS grams, j, words[j] || ' ' || words[j + 1] || ' ' || words[j + 2] AS gram
+       FROM (SELECT *, unnest(range(1, len(words) - 1)) AS j FROM t)),
+g AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM p WHERE i + 2 <= len(words)),
+v AS (SELECT doc_id, template, label, grams, i - j AS diagonal, min(i) AS first, max(i) AS last, list(DISTINCT j) AS seen FROM g JOIN tg USING (gram) GROUP BY ALL),
+n AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > 3, false) AS apart FROM v),
+k AS (SELECT *, sum(apart::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS cluster FROM n),
+m AS (SELECT doc_id, template, label, grams, cluster, min(first) AS first, max(last) + 2 AS last, len(list_distinct(flatten(list(seen)))) AS matched
+      FROM k GROUP BY ALL),
+s AS (SELECT doc_id, list(DISTINCT label) AS labels, max(matched / grams) AS share FROM m
+      WHERE matched / grams >= 0.8 AND last - first + 1 <= (grams + 2) * 1.5 GROUP BY 1)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(z AS BIGINT) AS last_word,
+  coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(s.labels, [])))), ','), '') AS labels,
+  CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN s USING (doc_id)
+""".replace("TEMPLATE_ROWS", ", ".join(f"({i}, '{label}', {text.split(' ')})" for i, (label, text) in enumerate(TEMPLATES)))
+
 ORACLES: dict[str, str] = {
+    "op2_reply_trees": _OP2,
     "op3_certified_cutoffs": _OP3,
     "op4_budget_cut": _OP4,
     "op5_block_naming": _OP5,
+    "op6_diagonal_votes": _OP6,
 }

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
+
+import corpus_pipeline
 from plumbline.llm import bpe, chat, licenses, mixing, naming, quality, simhash, suffix, toxicity, urls
 
 
@@ -73,4 +75,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_merge_rounds": op8_merge_rounds,
     "op9_run_length_index": op9_run_length_index,
     "op10_simhash_balls": op10_simhash_balls,
+    "pipeline": corpus_pipeline.run,
 }

@@ -126,7 +126,8 @@ def _cutoff(scores: DataFrame) -> float:
     if not table.sum(axis=1).all():
         return 0.0
     above = table[:, ::-1].cumsum(axis=1)[:, ::-1] / table.sum(axis=1, keepdims=True)
-    return (int(np.argmax(above[1] - above[0])) - _BINS // 2) * _WIDTH
+    best = np.flatnonzero(np.isclose(above[1] - above[0], (above[1] - above[0]).max()))
+    return (float(best[0] + best[-1]) / 2 - _BINS // 2) * _WIDTH  # the middle of the gap
 
 
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
