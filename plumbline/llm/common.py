@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.sources.staging import staged, staged_path
 
-__all__ = ["BLANKS", "NOT_BLANK", "by_value", "column_or_null", "drop_staged", "let", "map_batches", "release", "split_words",
+__all__ = ["BLANKS", "NOT_BLANK", "by_value", "column_or_null", "drop_staged", "let", "map_batches", "packed", "release", "split_words",
            "staged", "staged_path", "word_count"]
 
 # ASCII white space, and a run of anything else: what the operators call a word.
@@ -61,8 +61,21 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def drop_staged(spark: SparkSession, path: str) -> None:
-    """Deletes a staged table that no later step reads."""
+def packed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Like ``staged``, in the smallest form, with the path for ``drop_staged``."""
+    path = staged_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_staged(spark: SparkSession, *paths: str) -> None:
+    """Deletes staged tables that no later step reads, and the shuffle files of the steps before."""
+    for path in paths:
+        _delete(spark, path)
+    release(spark)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 

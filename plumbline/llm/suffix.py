@@ -4,8 +4,10 @@ A string of ``length`` bytes is removed where it starts if it also starts earlie
 id, or earlier in the same one. Every such string has one anchor, the smallest hash of its ``GRAM``-byte
 grams (the leftmost of equal ones), so equal strings have equal anchors at the same offset:
 
-1. Each text is cut into the stretches of strings that share an anchor. Anchors are counted; only
-   those that occur twice or more can hold a repeat.
+1. Each text is cut into the stretches of strings that share an anchor. Equal texts meet by digest: all but the
+   first are removed whole. Of the rest, only anchors that two texts share, or that a text has twice, can
+   hold a repeat. (Texts are told apart by length and hash here; a wrong "equal" would take two different texts
+   that share a passage, have one length and agree in 64 bits.)
 2. For these, the stretches (about 135 bytes) are read. Equal stretches meet by digest with the least
    position kept, before the shuffle; all but the first are removed whole.
 3. Different stretches with one anchor are dealt to shards by anchor. A shard is the text of a run-length
@@ -32,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import by_value, map_batches, release, staged
+from plumbline.llm.common import by_value, drop_staged, map_batches, packed, release, staged
 
 LENGTH = 100
 GRAM = 32
@@ -177,12 +179,29 @@ def _same_document(left: DataFrame, right: DataFrame) -> tuple[DataFrame, Column
 
 def _anchor_lists(texts: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = [anchors(x, length, gram)[0] for x in batch.column(2).to_pylist()]
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in hashes]))).astype(np.int32)
-        flat = pa.array(np.concatenate([*hashes, np.zeros(0, np.int64)]))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), flat)],
-                                          ["id", "text_hash", "anchors"])
-    return map_batches(texts, run, f"id {kind}, text_hash long, anchors array<long>")
+        texts, once, again = batch.column(2).to_pylist(), [], []
+        for text in texts:
+            values, counts = np.unique(anchors(text, length, gram)[0], return_counts=True)
+            once.append(values)
+            again.append(values[counts > 1])
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array([len(x) for x in texts], pa.int64()),
+             pa.array([hashlib.md5(x).digest() for x in texts], pa.binary()), _lists(once), _lists(again)],
+            ["id", "text_hash", "size", "digest", "anchors", "again"])
+    return map_batches(texts, run, f"id {kind}, text_hash long, size long, digest binary, anchors array<long>, again array<long>")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)]).astype(np.int64)))
+
+
+def _copies(listed: DataFrame) -> DataFrame:
+    """The documents whose whole text stands in an earlier one: id, text_hash and size."""
+    first = listed.groupBy("digest").agg(F.min(F.struct("id", "text_hash")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    first = staged(first.select("digest", "least"), "first_copies")
+    return staged(listed.select("id", "text_hash", "size", "digest").join(first, "digest").where("NOT (struct(id, text_hash) <=> least)")
+                  .select("id", "text_hash", "size"), "copies")
 
 
 def _read_stretches(texts: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
@@ -223,20 +242,28 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """id, text_hash, start and stop (bytes) of spans to be removed; they may overlap."""
     spark, kind = docs.sparkSession, docs.schema[id_column].dataType.simpleString()
     texts = _keyed(docs, id_column, text_column)
-    listed = staged(_anchor_lists(texts, kind, length, gram), "anchors")
-    single = listed.select("id", "text_hash", F.explode("anchors").alias("anchor"))
-    repeated = staged(single.groupBy("anchor").count().where("count > 1").select("anchor"), "repeated")
-    release(spark)
-    held = staged(single.join(repeated, "anchor").groupBy("id", "text_hash").agg(F.collect_set("anchor").alias("held")), "held")
+    listed, listed_path = packed(_anchor_lists(texts, kind, length, gram), "anchors")
+    copies = _copies(listed)
+    text = F.struct("size", "text_hash")
+    single = (listed.select(F.explode("anchors").alias("anchor"), text.alias("text"), F.lit(False).alias("twice"))
+              .unionByName(listed.select(F.explode("again").alias("anchor"), text.alias("text"), F.lit(True).alias("twice"))))
+    counted = single.groupBy("anchor").agg(F.min("text.size").alias("a"), F.max("text.size").alias("b"), F.min("text.text_hash").alias("c"),
+                                           F.max("text.text_hash").alias("d"), F.max("twice").alias("twice"))
+    repeated, repeated_path = packed(counted.where("a < b OR c < d OR twice").select("anchor"), "repeated")
     release(spark)
+    placed = listed.select("id", "text_hash", F.explode("anchors").alias("anchor")).join(repeated, "anchor")
+    held = placed.groupBy("id", "text_hash").agg(F.collect_set("anchor").alias("held"))
+    right, same = _same_document(held, copies)
+    held, held_path = packed(held.join(right, same, "left_anti"), "held")
+    drop_staged(spark, listed_path, repeated_path)
     right, same = _same_document(texts, held)
-    stretches = staged(_read_stretches(texts.join(right, same).select("id", "text_hash", "text", "held"), kind, length, gram), "stretches")
-    release(spark)
-    distinct = staged(stretches.groupBy("anchor", "lead", "digest").agg(F.min(F.struct("id", "text_hash", "first", "stretch")).alias("least"))
-                      .select("anchor", "lead", "digest", "least.*"), "distinct")
+    stretches, _ = packed(_read_stretches(texts.join(right, same).select("id", "text_hash", "text", "held"), kind, length, gram), "stretches")
+    drop_staged(spark, held_path)
+    distinct, _ = packed(stretches.groupBy("anchor", "lead", "digest").agg(F.min(F.struct("id", "text_hash", "first", "stretch")).alias("least"))
+                         .select("anchor", "lead", "digest", "least.*"), "distinct")
     release(spark)
     heads = distinct.select("anchor", "lead", "digest", F.struct("id", "text_hash", "first").alias("least"))
-    copies = (stretches.select("id", "text_hash", "anchor", "lead", "digest", "first", "size").join(heads, ["anchor", "lead", "digest"])
+    others = (stretches.select("id", "text_hash", "anchor", "lead", "digest", "first", "size").join(heads, ["anchor", "lead", "digest"])
               .where("NOT (struct(id, text_hash, first) <=> least)")
               .select("id", "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("stop")))
     varied = staged(distinct.groupBy("anchor").agg(F.count("*").alias("stretches")).where("stretches > 1"), "varied")
@@ -246,7 +273,8 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     found = (several.where(F.col("stretches") <= large_group)
              .select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "id", "text_hash", "first", "stretch")
              .groupBy("shard").applyInArrow(lambda rows: _shard_spans(rows, length), f"id {kind}, text_hash long, start long, stop long"))
-    spans = copies.unionByName(found)
+    whole = copies.where(F.col("size") >= length).select("id", "text_hash", F.lit(0).cast("long").alias("start"), F.col("size").alias("stop"))
+    spans = whole.unionByName(others).unionByName(found)
     if (largest or 0) > large_group:
         spans = spans.unionByName(_in_large_groups(several.where(F.col("stretches") > large_group), length))
     return spans
