@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline import rules
 from plumbline.functions.text import parsed_date
 from plumbline.operators.columns import (
-    ALL_KINDS, BOOLEAN, DATETIME, NUMBER, STRING, Metric, column_metrics, literal_table, table_columns,
+    ALL_KINDS, BOOLEAN, DATETIME, NUMBER, STRING, Metric, column_metrics, literal_table, normalise, table_columns,
 )
 from plumbline.operators.frequencies import distinct_counts
 from plumbline.operators.profile import NULL_METRICS, sample_values
@@ -30,20 +30,9 @@ DATE_LAYOUT_METRICS = [Metric(f"layout_{i}", "bigint", (STRING,), _layout_count(
                        for i, f in enumerate(rules.DATE_FORMATS)]
 
 
-def date_parse_share(df: DataFrame, sample_rows: int | None = None, order_by: str | None = None) -> DataFrame:
-    """(column, date_share): the part of a text column that one date layout reads.
-
-    Looks at all rows; ``sample_rows`` with ``order_by`` takes the first non-null values.
-    """
-    strings = table_columns(df, STRING)
-    metrics = [*NULL_METRICS, *DATE_LAYOUT_METRICS]
-    if sample_rows is None:
-        stats = column_metrics(df, metrics, strings)
-    else:
-        stats = column_metrics(df.limit(0), metrics, [])
-        for c in strings:
-            first = df.where(c.ref.isNotNull()).orderBy(order_by).limit(sample_rows)
-            stats = stats.unionByName(column_metrics(first, metrics, [c]))
+def date_parse_share(df: DataFrame) -> DataFrame:
+    """(column, date_share): the part of a text column's cells that one date layout reads."""
+    stats = column_metrics(df, [*NULL_METRICS, *DATE_LAYOUT_METRICS], table_columns(df, STRING))
     return stats.select("column", _date_share().alias("date_share"))
 
 
@@ -72,6 +61,7 @@ def _role() -> Column:
 
 def classify_columns(df: DataFrame, order_by: str | None = None, approx: bool = False) -> DataFrame:
     """Per column: tag, label, null_pct, n_distinct, n_rows and a sample value."""
+    df = normalise(df)
     stats = column_metrics(df, [*NULL_METRICS, *DATE_LAYOUT_METRICS]).join(sample_values(df, order_by), "column")
     distinct = distinct_counts(df, approx=approx).select("position", "n_distinct")
     names = literal_table(df.sparkSession, [(n, is_id_name(n)) for n in df.columns], ROLE_SCHEMA)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline import rules
 from plumbline.functions.text import is_placeholder, normalised, stripped
-from plumbline.operators.columns import NUMBER, STRING, Metric, ALL_KINDS, column_metrics, normalise, table_columns
+from plumbline.operators.columns import NUMBER, STRING, Metric, ALL_KINDS, canonical, column_metrics, normalise, table_columns
 from plumbline.operators.frequencies import modes
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.validity import fences, outside, quartiles
@@ -90,8 +90,10 @@ def fill_missing(df: DataFrame) -> DataFrame:
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
-    keys = [c.name for c in table_columns(df) if c.groupable]
-    return df.dropDuplicates(keys)
+    """One of each group of equal rows; every column counts, maps and variants by their content."""
+    names = [c.name for c in table_columns(df) if c.groupable]
+    nested = {f"__key_{c.position}": canonical(c.ref, df.schema[c.name].dataType) for c in table_columns(df) if not c.groupable}
+    return df.withColumns(nested).dropDuplicates([*names, *nested]).drop(*nested) if nested else df.dropDuplicates(names)
 
 
 def tidy_text(df: DataFrame) -> DataFrame:

@@ -16,8 +16,10 @@ from plumbline.functions.text import date_text, stripped
 NUMBER, STRING, BOOLEAN, DATETIME, OTHER = "number", "string", "boolean", "datetime", "other"
 ALL_KINDS = (NUMBER, STRING, BOOLEAN, DATETIME, OTHER)
 
-# Columns per unpivot; wider tables take one scan per block, each of its own columns.
-COLUMNS_PER_SCAN = 200
+# Columns per unpivot; wider tables take one scan per block, each of its own columns. The
+# number is fixed, so the plan of a table doesn't depend on its size, and low enough for
+# sketch aggregates, which fall back to sorting above 128 groups in a task.
+COLUMNS_PER_SCAN = 6
 
 
 @dataclass(frozen=True)
@@ -100,6 +102,21 @@ def table_columns(df: DataFrame, *kinds: str, names: Iterable[str] | None = None
             if (not kinds or c.kind in kinds) and (wanted is None or c.name in wanted)]
 
 
+def canonical(value: Column, data_type: T.DataType) -> Column:
+    """The value in a form that can be grouped: maps become sorted entries, variants their JSON text."""
+    if _groupable(data_type):
+        return value
+    if isinstance(data_type, T.VariantType):
+        return F.to_json(value)
+    if isinstance(data_type, T.ArrayType):
+        return F.transform(value, lambda x: canonical(x, data_type.elementType))
+    if isinstance(data_type, T.MapType):
+        return F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(
+            canonical(e["key"], data_type.keyType).alias("key"), canonical(e["value"], data_type.valueType).alias("value"))))
+    fields = [canonical(value[f.name], f.dataType).alias(f.name) for f in data_type.fields]
+    return F.when(value.isNotNull(), F.struct(*fields))
+
+
 def normalise(df: DataFrame) -> DataFrame:
     """Makes NaN a null in float and double columns; one projection, no shuffle."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
@@ -128,17 +145,6 @@ def column_names(spark: SparkSession, columns: list[TableColumn]) -> DataFrame:
                          "slot string, position int, column string, dtype string, kind string")
 
 
-def scans(df: DataFrame, columns: list[TableColumn]) -> list[list[TableColumn]]:
-    """The blocks of columns to scan together.
-
-    All of them if the input has partitions for every core. A small input with few
-    partitions is split by columns instead, so that its scans run side by side.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    shared = -(-len(columns) * df.rdd.getNumPartitions() // cores)
-    return blocks(columns, max(1, min(COLUMNS_PER_SCAN, shared)))
-
-
 FAMILIES = ((STRING,), (NUMBER, BOOLEAN), (DATETIME,), (OTHER,))
 
 
@@ -153,7 +159,7 @@ def column_metrics(df: DataFrame, metrics: list[Metric], columns: list[TableColu
     for family in FAMILIES:
         used = [m for m in metrics if any(k in m.kinds for k in family)]
         aggregates = [(m.build(F.col(m.source)) if m in used else F.lit(None)).cast(m.type).alias(m.name) for m in metrics]
-        for block in scans(df, [c for c in columns if c.kind in family]):
+        for block in blocks([c for c in columns if c.kind in family]):
             data = cells(df, block)
             if family == (STRING,):
                 data = data.withColumns({"text": stripped(F.col("value")), "short": date_text(F.col("value"))})

@@ -63,19 +63,9 @@ def case_issues(df: DataFrame, profile: RuleProfile, labels: DataFrame | None =
 
 
 def date_format_mix(df: DataFrame, profile: RuleProfile, stats: DataFrame | None = None,
-                    labels: DataFrame | None = None, sample_rows: int | None = None,
-                    order_by: str | None = None) -> DataFrame:
-    """Columns whose values follow more than one date pattern.
-
-    Looks at all rows; ``sample_rows`` with ``order_by`` takes the first non-null values
-    of each column instead.
-    """
-    metrics = merge_metrics(date_format_metrics(profile), LABEL_METRICS)
-    if sample_rows is not None:
-        parts = [column_metrics(df.where(c.ref.isNotNull()).orderBy(order_by).limit(sample_rows), metrics, [c])
-                 for c in table_columns(df, STRING)]
-        stats = reduce(DataFrame.unionByName, parts) if parts else None
-    stats = _strings(df, stats, metrics)
+                    labels: DataFrame | None = None) -> DataFrame:
+    """Columns whose values follow more than one date pattern."""
+    stats = _strings(df, stats, merge_metrics(date_format_metrics(profile), LABEL_METRICS))
     hits = [F.when(F.col(f"date_pattern_{i}") >= profile.date_min_hits, 1).otherwise(0)
             for i in range(len(profile.date_patterns))]
     found = sum(hits[1:], hits[0])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import rules
@@ -97,5 +99,9 @@ def strength(r: Column) -> Column:
             .when(size > 0.4, "moderate").when(size.isNotNull(), "weak"))
 
 
+# The summing function goes to the tasks by value: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def correlation_score(n_pairs: Column, penalty: float) -> Column:
     return clamp(100.0 - penalty * n_pairs, low=0)

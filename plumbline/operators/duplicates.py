@@ -10,7 +10,7 @@ from plumbline import rules
 from plumbline.functions.text import group_key
 from plumbline.operators.columns import (
     ALL_KINDS, NUMBER, STRING, Metric, TableColumn,
-    column_metrics, literal_table, table_columns,
+    canonical, column_metrics, literal_table, table_columns,
 )
 from plumbline.sources.staging import staged
 
@@ -19,8 +19,8 @@ from plumbline.sources.staging import staged
 PAIRS_PER_SCAN = 160
 
 
-def _row_key(c: TableColumn) -> Column:
-    return group_key(c.ref) if c.kind == STRING else c.ref
+def _row_key(df: DataFrame, c: TableColumn) -> Column:
+    return group_key(c.ref) if c.kind == STRING else canonical(c.ref, df.schema[c.name].dataType)
 
 
 def duplicate_counts(df: DataFrame) -> DataFrame:
@@ -29,8 +29,8 @@ def duplicate_counts(df: DataFrame) -> DataFrame:
     Groups by all columns with long texts as digests, so the shuffle carries short
     keys, and equal rows are merged before it.
     """
-    keys = [_row_key(c).alias(f"k{c.position}") for c in table_columns(df) if c.groupable]
-    groups = df.select(*keys).groupBy(*[f"k{c.position}" for c in table_columns(df) if c.groupable]).count()
+    keys = [_row_key(df, c).alias(f"k{c.position}") for c in table_columns(df)]
+    groups = df.select(*keys).groupBy(*[f"k{c.position}" for c in table_columns(df)]).count()
     return groups.agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("n_rows"),
         F.count(F.lit(1)).alias("n_distinct_rows"),
@@ -61,8 +61,9 @@ FINGERPRINT = [
 def identical_columns(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """(column_a, column_b): pairs of one type with equal values in every row.
 
-    An order-free fingerprint leaves few candidates; only these are compared row by
-    row, in one aggregate per block of pairs.
+    An order-free fingerprint of the values leaves some candidates, a second one that ties
+    each value to its row fewer; only these are compared row by row, in one aggregate per
+    block of pairs.
     """
     columns = [c for c in table_columns(df) if c.groupable]
     seen: dict[tuple, list[TableColumn]] = {}
@@ -72,6 +73,7 @@ def identical_columns(df: DataFrame, stats: DataFrame | None = None) -> DataFram
         if row.position not in by_name:
             continue
         seen.setdefault((row.dtype, row.nulls, row.fingerprint), []).append(by_name[row.position])
+    seen = _same_places(df, [c for group in seen.values() if len(group) > 1 for c in group])
     pairs = [pair for group in seen.values()
              for pair in combinations(sorted(group, key=lambda c: c.position), 2)]
     confirmed = []
@@ -83,6 +85,18 @@ def identical_columns(df: DataFrame, stats: DataFrame | None = None) -> DataFram
     return literal_table(df.sparkSession, confirmed, "column_a string, column_b string")
 
 
+def _same_places(df: DataFrame, columns: list[TableColumn]) -> dict[tuple, list[TableColumn]]:
+    """Columns by the sum of their cells' hashes, each mixed with the hash of its row."""
+    row = F.xxhash64(*[c.ref for c in columns])
+    groups: dict[tuple, list[TableColumn]] = {}
+    for i in range(0, len(columns), PAIRS_PER_SCAN):
+        block = columns[i:i + PAIRS_PER_SCAN]
+        sums = df.agg(*[F.sum(F.xxhash64(row, c.ref).cast("decimal(38,0)")).alias(c.slot) for c in block]).first()
+        for c in block:
+            groups.setdefault((c.dtype, sums[c.slot]), []).append(c)
+    return groups
+
+
 # Grid widths of the near-duplicate search, in the unit of the data. Whole numbers and
 # decimals with up to four (coarse) or five (fine) places lie in the middle of a cell.
 COARSE_WIDTH = 1e-4

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline import rules
 from plumbline.functions.numeric import pearson, sample_kurtosis, sample_skewness
 from plumbline.operators.columns import (
-    BOOLEAN, NUMBER, STRING, Metric, TableColumn, cells, column_metrics, column_ref, literal_table, scans,
+    BOOLEAN, NUMBER, STRING, Metric, TableColumn, cells, column_metrics, column_ref, literal_table, blocks,
     table_columns,
 )
 from plumbline.operators.correlation import strength
@@ -26,10 +26,14 @@ def _columns(df: DataFrame, names: list[str] | None, *kinds: str) -> list[TableC
 
 def _bin_counts(df: DataFrame, columns: list[TableColumn], bins: int) -> dict[str, int]:
     """min(bins, distinct values) per column; only columns that may have few are counted."""
-    # With few values a HyperLogLog count of 512 registers stays close to their number, so
-    # one above 1.2 times the bins proves that there are more values than bins.
-    row = df.agg(*[F.approx_count_distinct(c.ref, 0.05).alias(f"c{c.position}") for c in columns]).first()
-    few = [c for c in columns if row[f"c{c.position}"] <= 1.2 * bins]
+    # A HyperLogLog count with m >= 4 * bins registers takes -m ln(empty share) while few are filled. As many
+    # values as bins fill a quarter of the registers at most, which gives 1.16 times the bins; a larger
+    # estimate proves more values than bins. Beyond 2^16 registers all columns are counted.
+    bits = max(9, (4 * bins - 1).bit_length())
+    few = columns
+    if bits <= 16:
+        row = df.agg(*[F.approx_count_distinct(c.ref, 1.105 / 2 ** (bits / 2)).alias(f"c{c.position}") for c in columns]).first()
+        few = [c for c in columns if row[f"c{c.position}"] <= 1.16 * bins + 1]
     exact = {r.column: r.n_distinct for r in distinct_counts(df, few).collect()} if few else {}
     return {c.name: min(bins, exact.get(c.name, bins)) for c in columns}
 
@@ -106,7 +110,7 @@ def box_stats(df: DataFrame, names: list[str] | None = None) -> DataFrame:
         cells(df, block).join(bounds, "slot").groupBy("slot").agg(
             F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"),
             (F.count("value") - F.count(inside)).alias("outliers"))
-        for block in scans(df, columns)])
+        for block in blocks(columns)])
     return counted.join(F.broadcast(table), "slot").select(
         "column", "q1", "median", "q3", "whisker_low", "whisker_high", "outliers")
 

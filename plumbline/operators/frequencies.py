@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.text import group_key
 from plumbline.operators.columns import (
-    BOOLEAN, DATETIME, NUMBER, STRING, TableColumn, cells, column_names, scans, table_columns,
+    BOOLEAN, DATETIME, NUMBER, STRING, TableColumn, cells, column_names, blocks, table_columns,
 )
 
 
@@ -50,7 +50,7 @@ def distinct_counts(df: DataFrame, columns: list[TableColumn] | None = None,
     other = [c for c in columns if c not in fixed]
     parts = []
     for group, key in ((fixed, _fixed_width_key), (other, _text_key)):
-        for block in scans(df, group):
+        for block in blocks(group):
             present = cells(df, block, key).where(F.col("value").isNotNull())
             if approx:
                 parts.append(present.groupBy("slot").agg(F.approx_count_distinct("value", 0.01).alias("n")))

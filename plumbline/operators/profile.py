@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.operators.columns import (
     ALL_KINDS, BOOLEAN, DATETIME, NUMBER, OTHER, STRING, Metric, TableColumn, blocks, column_metrics, column_names,
-    column_ref, literal_table, table_columns,
+    column_ref, literal_table, normalise, table_columns,
 )
 from plumbline.operators.frequencies import distinct_counts, modes
 from plumbline.operators.quantiles import exact_quantiles
@@ -59,7 +59,7 @@ def sample_values(df: DataFrame, order_by: str | None = None) -> DataFrame:
         return F.any_value(text, True) if order_by is None else F.min_by(text, F.when(c.ref.isNotNull(), column_ref(order_by)))
 
     parts = []
-    for block in blocks(table_columns(df)):
+    for block in blocks(table_columns(df), 100):
         row = df.agg(*[pick(c).alias(c.slot) for c in block])
         parts.append(row.unpivot([], [c.slot for c in block], "slot", "sample"))
     names = F.broadcast(column_names(df.sparkSession, table_columns(df)).select("slot", "column"))
@@ -71,6 +71,7 @@ def column_details(df: DataFrame, order_by: str | None = None, approx: bool = Fa
 
     The sample is the first non-null value in the order of ``order_by`` (any, if not given).
     """
+    df = normalise(df)
     stats = column_metrics(df, NULL_METRICS).join(sample_values(df, order_by), "column")
     distinct = distinct_counts(df, approx=approx).select("position", "n_distinct")
     return stats.join(distinct, "position", "left").select(
@@ -98,6 +99,7 @@ def describe(df: DataFrame) -> DataFrame:
 
     Timestamps have the same figures in the ``ts_`` columns.
     """
+    df = normalise(df)
     stats = column_metrics(df, DESCRIBE_METRICS)
     classes = table_columns(df, STRING, BOOLEAN)
     ranged = table_columns(df, NUMBER, DATETIME)

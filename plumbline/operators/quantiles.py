@@ -1,8 +1,8 @@
 """Exact quantiles that never gather a column in one task.
 
 ``percentile`` keeps a map of all values of a column in a single task, which fails on
-nearly unique columns of large tables. It is used for tables of at most ``GATHER_LIMIT``
-rows only. Beyond that each wanted rank is narrowed:
+nearly unique columns of large tables. Instead each wanted rank is narrowed, as long as its
+part of the column (the whole column at first) holds more than ``GATHER_LIMIT`` cells:
 
 1. a KLL sketch of a row sample proposes two values around the rank,
 2. one aggregate counts the cells below and at both values, which proves in which
@@ -23,7 +23,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.operators.columns import DATETIME, TableColumn, cells, literal_table, scans, table_columns
+from plumbline.operators.columns import DATETIME, TableColumn, blocks, cells, literal_table, table_columns
 
 GATHER_LIMIT = 20_000
 SKETCH_SIZE = 8192
@@ -85,9 +85,7 @@ def exact_quantiles(df: DataFrame, columns: list[TableColumn], probs: list[float
     """
     if not columns:
         return {}
-    n_rows = df.count()
-    found = (_small_quantiles(df, columns, probs) if n_rows <= GATHER_LIMIT
-             else _large_quantiles(df, columns, probs, n_rows))
+    found = _quantiles(df, columns, probs)
     return {c.name: found[c.slot] for c in columns}
 
 
@@ -98,21 +96,14 @@ def _as_number(c: TableColumn) -> Column:
 
 
 def _cells(df: DataFrame, columns: list[TableColumn]) -> list[DataFrame]:
-    return [cells(df, block, _as_number).where(F.col("value").isNotNull()) for block in scans(df, columns)]
+    return [cells(df, block, _as_number).where(F.col("value").isNotNull()) for block in blocks(columns)]
 
 
-def _small_quantiles(df: DataFrame, columns: list[TableColumn], probs: list[float]) -> dict[str, list[float | None]]:
-    shares = F.array(*[F.lit(p) for p in probs])
-    parts = [part.groupBy("slot").agg(F.percentile("value", shares).alias("q")) for part in _cells(df, columns)]
-    found = {r.slot: list(r.q) for r in reduce(DataFrame.unionByName, parts).collect()}
-    return {c.slot: found.get(c.slot, [None] * len(probs)) for c in columns}
-
-
-def _large_quantiles(df: DataFrame, columns: list[TableColumn], probs: list[float],
-                     n_rows: int) -> dict[str, list[float | None]]:
-    data = _cells(df, columns)
+def _quantiles(df: DataFrame, columns: list[TableColumn], probs: list[float]) -> dict[str, list[float | None]]:
+    data, n_rows = _cells(df, columns), df.count()
     wholes = {(c.slot, None, None): probs for c in columns}
-    sketched = _sketch(data, wholes, n_rows)
+    # The first look inside the whole columns; none of them can need it in a table this small.
+    sketched = _sketch(data, wholes, n_rows) if n_rows > GATHER_LIMIT else {}
     marks = {c.slot: sorted({v for pair in sketched.get((c.slot, None, None), {}).values() for v in pair}) for c in columns}
     counts, sizes = _count(data, marks)
     quantiles: dict[str, list[_Quantile]] = {c.slot: [] for c in columns}

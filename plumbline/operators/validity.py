@@ -10,7 +10,7 @@ from plumbline import rules
 from plumbline.functions.numeric import clamp
 from plumbline.functions.text import DATE_TEXT_BYTES, parsed_date
 from plumbline.operators.columns import (
-    DATETIME, NUMBER, STRING, TableColumn, cells, column_names, literal_table, scans, table_columns,
+    DATETIME, NUMBER, STRING, TableColumn, cells, column_names, literal_table, blocks, table_columns,
 )
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.rules import RuleProfile
@@ -55,7 +55,7 @@ def outlier_counts(df: DataFrame, factor: float = rules.EXTREME_FENCE) -> DataFr
         cells(df, block).join(bounds, "slot").groupBy("slot").agg(
             F.count("value").alias("present"), F.count_if(beyond).alias("beyond"),
             F.min("value").alias("min_value"), F.max("value").alias("max_value"))
-        for block in scans(df, columns)])
+        for block in blocks(columns)])
     outliers = F.when(F.col("present") >= MIN_CELLS, F.col("beyond")).otherwise(F.lit(0)).cast("bigint")
     return counted.join(F.broadcast(table), "slot").select(
         "column", "q1", "q3", "lower_bound", "upper_bound", "present", outliers.alias("outliers"),
@@ -86,7 +86,7 @@ def impossible_values(df: DataFrame, profile: RuleProfile) -> DataFrame:
     counted = reduce(DataFrame.unionByName, [
         cells(df, block).join(F.broadcast(limits), "slot").groupBy("column", "rule").agg(
             F.count("value").alias("present"), F.count_if(broken).alias("bad_values"))
-        for block in scans(df, columns)])
+        for block in blocks(columns)])
     return counted.where((F.col("present") >= MIN_CELLS) & (F.col("bad_values") > 0)).select(
         "column", "rule", "bad_values")
 
@@ -101,10 +101,10 @@ def future_dates(df: DataFrame, as_of: str | None = None) -> DataFrame:
     if not columns:
         return literal_table(df.sparkSession, [], "column string, future_dates bigint")
     parts = []
-    for block in scans(df, [c for c in columns if c.kind == DATETIME]):
+    for block in blocks([c for c in columns if c.kind == DATETIME]):
         parts.append(cells(df, block).groupBy("slot").agg(F.count_if(F.col("value") > limit).alias("future_dates")))
     layouts = range(len(rules.DATE_FORMATS))
-    for block in scans(df, [c for c in columns if c.kind == STRING]):
+    for block in blocks([c for c in columns if c.kind == STRING]):
         short = cells(df, block).where(F.octet_length("value") <= DATE_TEXT_BYTES)
         parsed = short.select("slot", *[
             parsed_date(F.col("value"), *rules.DATE_FORMATS[i]).alias(f"t{i}") for i in layouts])

@@ -78,7 +78,8 @@ def audit(df: DataFrame, profile: str | RuleProfile = "audit", *, weights: dict[
 def _details(df: DataFrame, rule: RuleProfile, as_of: str | None, near_rows: bool) -> dict[str, DataFrame]:
     stats = small_table(column_metrics(df, audit_metrics(rule)))
     label_table = small_table(labels.label_stats(df, stats))
-    pairs = small_table(correlation.correlations(df))
+    # Only strong pairs leave the cluster; all others score nothing.
+    pairs = small_table(correlation.correlations(df).where(F.abs("r") > rules.CORRELATION_LIMIT))
     found = {
         "missing": missing.missing_by_column(df, rule, stats),
         "duplicates": small_table(duplicates.duplicate_counts(df)),

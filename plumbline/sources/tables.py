@@ -3,32 +3,28 @@
 from __future__ import annotations
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from plumbline import rules
 from plumbline.functions.text import is_number_text, stripped
 from plumbline.operators.columns import Metric, STRING, column_metrics, table_columns
 
-REPLACEMENT_CHARACTER = "�"
 EXPORT_SUFFIX = "_cleaned"
 EXTRA_FIELD = "__extra_field"
 
 
 def read_table(spark: SparkSession, path: str, format: str | None = None, *,
-               encoding: str = "auto", infer: bool = True, max_rows: int | None = None) -> DataFrame:
-    """Reads a CSV or Parquet table and checks that it holds data.
-
-    ``max_rows`` keeps the first rows only; it is off by default.
-    """
+               encoding: str = "auto", infer: bool = True, multi_line: bool | None = None) -> DataFrame:
+    """Reads a CSV or Parquet table and checks that it holds data."""
     kind = format or next((k for k in ("csv", "parquet") if path.rstrip("/").lower().endswith("." + k)), None)
     if kind == "csv":
-        df = read_csv(spark, path, encoding=encoding, infer=infer)
+        df = read_csv(spark, path, encoding=encoding, infer=infer, multi_line=multi_line)
     elif kind == "parquet":
         df = spark.read.parquet(path)
     else:
         raise ValueError(f"unsupported format: {path!r}; use a .csv or .parquet path or give format=")
     check_table(df)
-    return df.limit(max_rows) if max_rows else df
+    return df
 
 
 def check_table(df: DataFrame) -> None:
@@ -39,15 +35,21 @@ def check_table(df: DataFrame) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, *, encoding: str = "auto", infer: bool = True,
-             multi_line: bool = False) -> DataFrame:
+             multi_line: bool | None = None) -> DataFrame:
     """A CSV file or folder with a header row, as typed columns.
 
-    ``encoding="auto"`` reads UTF-8 and falls back to Latin-1 if that leaves broken
-    characters. Types are inferred in one aggregate: whole number, decimal number,
-    boolean or text; null tokens become null first. Short rows are filled with nulls,
-    rows with too many fields are an error. ``multi_line`` allows line breaks inside
-    quotes, at the price of one task per file.
+    One look at the raw lines decides two things: ``encoding="auto"`` takes Latin-1 if some
+    line isn't valid UTF-8, and ``multi_line=None`` allows line breaks inside quotes if some
+    line has an odd number of them. A file with such breaks is read by one task, so large
+    ones belong in Parquet first. Types are inferred in one aggregate: whole number, decimal
+    number, boolean or text; null tokens become null first. Short rows are filled with nulls,
+    rows with too many fields are an error.
     """
+    if encoding == "auto" or multi_line is None:
+        raw_lines = _look(spark, path)
+        encoding = ("ISO-8859-1" if raw_lines.broken else "UTF-8") if encoding == "auto" else encoding
+        multi_line = bool(raw_lines.odd) if multi_line is None else multi_line
+
     def scan(charset: str) -> DataFrame:
         reader = (spark.read.option("header", True).option("encoding", charset)
                   .option("escape", '"').option("multiLine", multi_line))
@@ -60,24 +62,22 @@ def read_csv(spark: SparkSession, path: str, *, encoding: str = "auto", infer: b
         schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, EXTRA_FIELD]])
         return reader.schema(schema).csv(path)
 
-    raw = scan("UTF-8" if encoding == "auto" else encoding)
+    raw = scan(encoding)
     names = [c for c in table_columns(raw) if c.name != EXTRA_FIELD]
-    if encoding == "auto" and _has_broken_text(raw):
-        raw = scan("ISO-8859-1")
-        names = [c for c in table_columns(raw) if c.name != EXTRA_FIELD]
     if not raw.where(F.col(EXTRA_FIELD).isNotNull()).limit(1).isEmpty():
         raise ValueError("the CSV can't be parsed: a row has more fields than the header")
     table = raw.select(*[F.when(~c.ref.isin(*rules.NULL_TOKENS), c.ref).alias(c.name) for c in names])
     return infer_types(table) if infer else table
 
 
-def _has_broken_text(df: DataFrame) -> bool:
-    if any(REPLACEMENT_CHARACTER in name for name in df.columns):
-        return True
-    broken = F.lit(False)
-    for c in table_columns(df):
-        broken = broken | F.coalesce(F.contains(c.ref, F.lit(REPLACEMENT_CHARACTER)), F.lit(False))
-    return not df.where(broken).limit(1).isEmpty()
+def _look(spark: SparkSession, path: str) -> Row:
+    """Whether some line isn't valid UTF-8, and whether one has an odd number of quotes; lines keep their bytes."""
+    line = F.col("value")
+    quotes = F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
+    try:
+        return spark.read.text(path).agg(F.bool_or(~F.is_valid_utf8(line)).alias("broken"), F.bool_or(quotes % 2 == 1).alias("odd")).first()
+    except PySparkException as error:
+        raise ValueError(f"the CSV can't be read: {error}") from error
 
 
 def _is_whole(text):

@@ -48,8 +48,15 @@ def test_unknown_format_is_rejected(spark):
         read_table(spark, "/tmp/table.xyz")
 
 
-def test_row_limit(spark, tmp_path):
-    assert read_table(spark, write(tmp_path / "r.csv", "a\n1\n2\n3\n"), max_rows=2).count() == 2
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    text = 'a,b\n1,"line one\nline two"\n2,plain\n3,"say ""x""\n\nend"\n'
+    expected = [(1, "line one\nline two"), (2, "plain"), (3, 'say "x"\n\nend')]
+    assert sorted(map(tuple, read_table(spark, write(tmp_path / "m.csv", text)).collect())) == expected
+
+
+def test_valid_replacement_character_stays_utf8(spark, tmp_path):
+    df = read_csv(spark, write(tmp_path / "u.csv", "a\ncafé\n\ufffd\n"))
+    assert sorted(r.a for r in df.collect()) == ["café", "\ufffd"]
 
 
 def test_export_and_read_back(spark, tmp_path):
