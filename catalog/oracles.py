@@ -190,12 +190,15 @@ def _profile() -> None:
 # ---------------------------------------------------------------- classifier
 
 DUCK_FORMATS = ("%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y/%m/%d", "%m/%d/%Y", "%d/%m/%Y",
-                "%d-%m-%Y", "%d %b %Y", "%d %B %Y", "%b %d, %Y", "%B %d, %Y")
+                "%d-%m-%Y", "%d %b %Y", "%d %B %Y", "%b %d, %Y", "%B %d, %Y",
+                "%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S.%f", None, None, None,
+                "%Y/%m/%d %H:%M:%S", "%m/%d/%Y %H:%M", "%d/%m/%Y %H:%M", "%d %b %Y %H:%M", "%b %d, %Y %H:%M:%S",
+                "%m/%d/%Y", "%d/%m/%Y")
 
 
 def parsed(c: str, i: int) -> str:
-    return (f"CASE WHEN strlen({c}) <= 40 AND regexp_matches({c}, {text(rules.DATE_FORMATS[i][1])}) "
-            f"THEN try_strptime({c}, '{DUCK_FORMATS[i]}') END")
+    time = f"TRY_CAST({c} AS TIMESTAMPTZ)" if DUCK_FORMATS[i] is None else f"try_strptime({c}, '{DUCK_FORMATS[i]}')"
+    return f"CASE WHEN regexp_matches({c}, {text(rules.DATE_FORMATS[i][1])}) THEN CAST({time} AS TIMESTAMP) END"
 
 
 def date_share(c: str) -> str:
@@ -847,5 +850,46 @@ def _sources() -> None:
     ORACLES["csv_dirty_customer"] = with_table("dirty_customer", f"n AS (SELECT * REPLACE ({nulls}) FROM t)") + f"\nSELECT {read} FROM n"
 
 
-for _build in (_profile, _classifier, _explorer, _detectors, _scores, _cleaning, _sources):
+def _layouts() -> None:
+    texts = {"zoned": "strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z'", "shifted": "strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00'",
+             "minutes": "strftime(ts, '%Y-%m-%d %H:%M')", "fraction": "strftime(ts, '%Y-%m-%d %H:%M:%S') || '.25'",
+             "written": "strftime(ts, '%-d %b %Y %H:%M')", "unpadded": "strftime(ts, '%-m/%-d/%Y')"}
+    table = "WITH t AS MATERIALIZED (SELECT " + ", ".join(f"{v} AS {k}" for k, v in texts.items()) + " FROM events)\n"
+    ORACLES["date_layouts"] = table + union([f"SELECT '{c}' AS \"column\", round({date_share(c)}, 6) AS date_share FROM t" for c in texts])
+    branches = []
+    for c in texts:
+        best = " UNION ALL ".join(f"SELECT count({parsed(c, i)}) AS k, {i} AS o, " + count_if(f"{parsed(c, i)} > TIMESTAMP '{AS_OF}'")
+                                  + " AS f FROM t" for i in range(len(DUCK_FORMATS)))
+        branches.append(f"SELECT '{c}' AS \"column\", f AS future_dates FROM ({best} ORDER BY k DESC, o LIMIT 1) AS b")
+    ORACLES["future_dates_layouts"] = table + f"SELECT * FROM ({union(branches)}) AS f WHERE future_dates > 0"
+
+
+def _more() -> None:
+    ORACLES["box_stats_by_role"] = (f"SELECT b.* FROM ({ORACLES['box_stats']}) AS b SEMI JOIN ({with_table('lineitem')} "
+                                    f"{roles('lineitem')}) AS r ON b.\"column\" = r.\"column\" AND r.tag = 'numeric'")
+    names = ["balance_amount", "age", "bal_a", "bal_b", "older"]
+    table = f"WITH t AS MATERIALIZED (SELECT balance_amount, age, bal_a, bal_b, CAST(age > 40 AS INTEGER) AS older FROM {source('dirty_customer')} AS s)\n"
+    ORACLES["corr_by_role"] = table + union([
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, {'CAST(any_value(1) AS DOUBLE)' if a == b else f'round({corr(a, b)}, 6)'} AS r FROM t"
+        for a in names for b in names])
+    ORACLES["worst_outliers"] = f"SELECT * FROM ({ORACLES['outlier_columns']}) AS o ORDER BY outlier_pct DESC, \"column\" LIMIT 6"
+    null = lambda c: f"CASE WHEN {c} NOT IN {words(rules.NULL_TOKENS)} THEN {c} END AS {c}"
+    ORACLES["csv_documents"] = f"SELECT doc_id, {null('text')}, {null('lang')}, {null('source')}, n_chars FROM documents"
+    ORACLES["csv_latin1"] = (f"SELECT doc_id, {null('text')} FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x{{FF}}]', '?', 'g') AS text "
+                             "FROM documents) AS d")
+    ORACLES["csv_replacement_character"] = "SELECT c_custkey, 'caf\u00e9 \ufffd ' || c_name AS c_name FROM customer"
+    ORACLES["csv_export"] = ("SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, round(s_acctbal, 6) AS s_acctbal FROM supplier")
+    ORACLES["report_csv"] = ORACLES["score_report"]
+    ORACLES["clean_nested"] = "SELECT DISTINCT o_orderkey % 100 AS k, o_orderstatus AS status, o_orderpriority AS priority FROM orders"
+    table = "WITH t AS MATERIALIZED (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS value FROM events)\n"
+    ORACLES["describe_nan"] = table + union([
+        f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
+        f"round(CAST(min({c}) AS DOUBLE), 6) AS min, round({quant(c, .25)}, 6) AS q25, round({quant(c, .5)}, 6) AS q50, "
+        f"round({quant(c, .75)}, 6) AS q75, round(CAST(max({c}) AS DOUBLE), 6) AS max FROM t" for c in ("event_id", "value")])
+    ORACLES["classify_nan"] = table + union([
+        f"SELECT '{c}' AS \"column\", '{tag}' AS tag, round((count(*) - count({c})) * 100.0 / count(*), 1) AS null_pct, "
+        f"count(DISTINCT {c}) AS n_distinct FROM t" for c, tag in (("event_id", "id"), ("value", "numeric"))])
+
+
+for _build in (_profile, _classifier, _explorer, _detectors, _scores, _cleaning, _sources, _layouts, _more):
     _build()

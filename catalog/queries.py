@@ -16,7 +16,7 @@ from plumbline.operators.columns import column_ref, normalise, table_columns
 from plumbline.plans import audit as audit_plan, scores
 from plumbline.plans.compare import before_after
 from plumbline.sources.staging import staged_path
-from plumbline.sources.tables import read_csv, write_csv
+from plumbline.sources.tables import export_csv, read_csv, write_csv, write_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,6 +131,17 @@ query("dirty_customer", name="category_summary")(
 query("dirty_customer", name="column_modes")(
     lambda df: frequencies.modes(df, table_columns(df, "string")))
 query("lineitem", name="corr_matrix")(correlation.correlation_matrix)
+query("lineitem", name="box_stats_by_role")(lambda df: explore.box_stats(df, explore.by_role(df, "numeric")))
+
+
+@query("dirty_customer")
+def corr_by_role(df):
+    """Numbers and two-valued columns, a boolean among them."""
+    df = df.select("cust_id", "balance_amount", "age", "bal_a", "bal_b", (F.col("age") > 40).alias("older"))
+    names = explore.by_role(df, "numeric", "binary")
+    return correlation.correlation_matrix(df, table_columns(df, names=names))
+
+
 query("lineitem", name="pair_correlation")(
     lambda df: explore.pair_correlation(df, "l_quantity", "l_extendedprice"))
 query("lineitem", name="ols_trend")(lambda df: explore.ols_trend(df, "l_quantity", "l_extendedprice"))
@@ -193,6 +204,8 @@ def label_noise(df):
 
 query("dirty_customer", name="outlier_columns")(lambda df: validity.outlier_columns(validity.outlier_counts(df)))
 query("events", name="outlier_columns_events")(lambda df: validity.outlier_columns(validity.outlier_counts(df)))
+query("dirty_customer", name="worst_outliers")(
+    lambda df: audit_plan.worst_outliers(audit_plan.audit(df)))
 query("events", name="future_dates")(lambda df: validity.future_dates(df, AS_OF))
 query("dirty_customer", name="future_dates_text")(lambda df: validity.future_dates(df, AS_OF))
 
@@ -285,3 +298,77 @@ def csv_dirty_customer(df):
     path = staged_path(df.sparkSession, "dirty.csv")
     write_csv(df, path)
     return read_csv(df.sparkSession, path)
+
+
+def _through_csv(df: DataFrame, encoding: str = "UTF-8") -> DataFrame:
+    path = staged_path(df.sparkSession, "table.csv")
+    df.write.option("header", True).option("escape", '"').option("encoding", encoding).csv(path)
+    return read_csv(df.sparkSession, path)
+
+
+@query("documents")
+def csv_documents(df):
+    """Texts with line breaks, quotes and commas."""
+    return _through_csv(df)
+
+
+@query("documents")
+def csv_latin1(df):
+    """A file in another encoding than UTF-8; a character that it lacks is written as a question mark."""
+    return _through_csv(df.select("doc_id", F.regexp_replace("text", r"[^\x00-\xFF]", "?").alias("text")), "ISO-8859-1")
+
+
+@query("customer")
+def csv_replacement_character(df):
+    """Valid UTF-8 stays UTF-8, whatever characters it holds."""
+    return _through_csv(df.select("c_custkey", F.concat(F.lit("caf\u00e9 \ufffd "), "c_name").alias("c_name")))
+
+
+@query("supplier")
+def csv_export(df):
+    """The cleaned copy beside the original name."""
+    folder = staged_path(df.sparkSession, "export")
+    return read_csv(df.sparkSession, export_csv(df, folder, "supplier.csv"))
+
+
+@query("dirty_customer", digits=4)
+def report_csv(df):
+    """The score report, written and read back."""
+    path = staged_path(df.sparkSession, "report.csv")
+    write_report(audit_plan.score_report(audit_plan.audit(df, "universal", as_of=AS_OF)), path)
+    return read_csv(df.sparkSession, path)
+
+
+@query("orders")
+def clean_nested(df):
+    """Rows that differ in a map only are no duplicates."""
+    keyed = df.select((F.col("o_orderkey") % 100).alias("k"), F.create_map("o_orderstatus", "o_orderpriority").alias("m"))
+    return clean.clean(keyed).select("k", F.map_keys("m")[0].alias("status"), F.map_values("m")[0].alias("priority"))
+
+
+def _with_nan(df: DataFrame) -> DataFrame:
+    return df.select("event_id", F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
+
+
+query("events", name="describe_nan")(lambda df: profile.describe(_with_nan(df)).select(
+    "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
+query("events", name="classify_nan")(lambda df: classify.classify_columns(_with_nan(df)).select(
+    "column", "tag", "null_pct", "n_distinct"))
+
+# One time in the layouts that date texts come in.
+LAYOUTS = {
+    "zoned": "concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), 'Z')",
+    "shifted": "concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), '+00:00')",
+    "minutes": "date_format(ts, 'yyyy-MM-dd HH:mm')",
+    "fraction": "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), '.25')",
+    "written": "date_format(ts, 'd MMM yyyy HH:mm')",
+    "unpadded": "date_format(ts, 'M/d/yyyy')",
+}
+
+
+def _layouts(df: DataFrame) -> DataFrame:
+    return df.select(*[F.expr(text).alias(name) for name, text in LAYOUTS.items()])
+
+
+query("events", name="date_layouts")(lambda df: classify.date_parse_share(_layouts(df)))
+query("events", name="future_dates_layouts")(lambda df: validity.future_dates(_layouts(df), AS_OF))

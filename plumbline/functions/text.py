@@ -7,6 +7,8 @@ always that of the test on the whole text.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from plumbline import rules
@@ -74,13 +76,21 @@ def is_garbled(c: Column, any_non_ascii: bool) -> Column:
     return non_ascii & found
 
 
-# The longest text that can follow one of the date layouts.
-DATE_TEXT_BYTES = 40
+def _longest(layout: str) -> int:
+    """The length of the longest text that follows a date layout."""
+    size = 0
+    for run in re.finditer(r"(.)\1*", layout.replace("'", "")):
+        letter, count = run.group(1), len(run.group())
+        size += (2, 2, 3, 9)[count - 1] if letter == "M" else {"d": 2, "H": 2, "X": 6}.get(letter, count)
+    return size
+
+
+SHORTEST_DATE, LONGEST_DATE = 8, max(_longest(layout) for layout, _ in rules.DATE_FORMATS)
 
 
 def date_text(c: Column) -> Column:
-    """The text if it is short enough to be a date, else null."""
-    return F.when(F.octet_length(c) <= DATE_TEXT_BYTES, c)
+    """The text if it may be a date (a length that some layout has, and a year), else null."""
+    return F.when(F.octet_length(c).between(SHORTEST_DATE, LONGEST_DATE) & c.rlike(r"\d{4}"), c)
 
 
 def parsed_date(short: Column, layout: str, shape: str) -> Column:

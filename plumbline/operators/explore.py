@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline import rules
 from plumbline.functions.numeric import pearson, sample_kurtosis, sample_skewness
+from plumbline.operators.classify import classify_columns
 from plumbline.operators.columns import (
     BOOLEAN, NUMBER, STRING, Metric, TableColumn, cells, column_metrics, column_ref, literal_table, blocks,
     table_columns,
@@ -20,6 +21,13 @@ from plumbline.operators.validity import outside, quartiles
 MAX_BINS = 50
 
 
+def by_role(df: DataFrame, *tags: str) -> list[str]:
+    """The columns with one of these roles, for the ``names`` of the functions below: ``numeric`` for
+    histograms, moments and boxes, ``numeric`` and ``binary`` for correlations."""
+    found = classify_columns(df).where(F.col("tag").isin(*tags)).select("position", "column").collect()
+    return [r.column for r in sorted(found)]
+
+
 def _columns(df: DataFrame, names: list[str] | None, *kinds: str) -> list[TableColumn]:
     return table_columns(df, *(kinds or (NUMBER,)), names=names)
 

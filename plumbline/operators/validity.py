@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import rules
 from plumbline.functions.numeric import clamp
-from plumbline.functions.text import DATE_TEXT_BYTES, parsed_date
+from plumbline.functions.text import date_text, parsed_date
 from plumbline.operators.columns import (
     DATETIME, NUMBER, STRING, TableColumn, cells, column_names, literal_table, blocks, table_columns,
 )
@@ -105,7 +105,7 @@ def future_dates(df: DataFrame, as_of: str | None = None) -> DataFrame:
         parts.append(cells(df, block).groupBy("slot").agg(F.count_if(F.col("value") > limit).alias("future_dates")))
     layouts = range(len(rules.DATE_FORMATS))
     for block in blocks([c for c in columns if c.kind == STRING]):
-        short = cells(df, block).where(F.octet_length("value") <= DATE_TEXT_BYTES)
+        short = cells(df, block).where(date_text(F.col("value")).isNotNull())
         parsed = short.select("slot", *[
             parsed_date(F.col("value"), *rules.DATE_FORMATS[i]).alias(f"t{i}") for i in layouts])
         counted = parsed.groupBy("slot").agg(

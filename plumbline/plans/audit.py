@@ -259,6 +259,7 @@ FINDINGS = (
     ("odd_names", "structure", 2, "medium", "{n} column name(s) with blanks or special characters: {columns}"),
     ("text_numbers", "structure", 3, "medium", "{n} column(s) keep numbers as text: {columns}"),
     ("few_rows", "structure", 4, "medium", "only {n} rows for the number of columns"),
+    ("too_few_rows", "structure", 4, "high", "only {n} rows, fewer than two for each column: results can't be trusted"),
     ("empty_rows", "structure", 5, "medium", "{n} completely empty rows"),
     ("uniform_rows", "structure", 6, "low", "{n} rows hold the same value in every column"),
     ("near_identical", "correlation", 1, "high", "{n} near-identical column pair(s): {columns}"),
@@ -266,11 +267,14 @@ FINDINGS = (
 )
 # Label noise belongs to the audit profile alone.
 AUDIT_ONLY = ("noisy_columns",)
+UNIVERSAL_ONLY = ("too_few_rows",)
+FEWEST_ROWS_PER_COLUMN = 2.0
 
 
 def _findings(rule: RuleProfile, totals: DataFrame, facts: DataFrame) -> DataFrame:
     """(dimension, finding_rank, severity, finding_type, n, columns, message)."""
-    known = [f for f in FINDINGS if rule.name == "audit" or f[0] not in AUDIT_ONLY]
+    foreign = UNIVERSAL_ONLY if rule.name == "audit" else AUDIT_ONLY
+    known = [f for f in FINDINGS if f[0] not in foreign]
     texts = literal_table(facts.sparkSession, known,
                           "kind string, dimension string, finding_rank int, severity string, text string")
     none = F.lit("")
@@ -278,6 +282,8 @@ def _findings(rule: RuleProfile, totals: DataFrame, facts: DataFrame) -> DataFra
     extra = facts.select(F.inline(F.array(
         F.struct(F.lit("disguised").alias("kind"), disguised.cast("double").alias("amount"), none.alias("columns")),
         F.struct(F.lit("few_rows").alias("kind"), F.when(F.col("rows_per_column") < rule.rows_per_column, F.col("n_rows"))
+                 .cast("double").alias("amount"), none.alias("columns")),
+        F.struct(F.lit("too_few_rows").alias("kind"), F.when(F.col("rows_per_column") < FEWEST_ROWS_PER_COLUMN, F.col("n_rows"))
                  .cast("double").alias("amount"), none.alias("columns")))))
     found = totals.select("kind", "amount", "columns").unionByName(extra).where(F.col("amount") > 0)
     n = F.col("amount").cast("bigint")
@@ -298,14 +304,14 @@ def action_list(table: DataFrame, findings: DataFrame) -> DataFrame:
 
 # (fact, limit, priority, dimension, advice): a fix is due if the fact exceeds the limit.
 FIXES = (
-    ("missing_pct", 5.0, "HIGH", "completeness", "Handle the missing values: impute, drop or flag"),
-    ("duplicate_rows", 0.0, "HIGH", "uniqueness", "Remove exact duplicate rows"),
-    ("case_columns", 0.0, "MED", "consistency", "Standardise text case and padding"),
-    ("rules_hit", 0.0, "HIGH", "validity", "Investigate and remove impossible values"),
-    ("outlier_columns", 0.0, "MED", "validity", "Investigate outliers; cap or transform them"),
-    ("text_numbers", 0.0, "MED", "structure", "Convert numbers kept as text"),
-    ("redundant_columns", 0.0, "LOW", "correlation", "Drop redundant columns"),
-    ("skewed_columns", 0.0, "LOW", "accuracy", "Transform heavily skewed number columns"),
+    ("missing_pct", 5.0, "HIGH", "completeness", "fill_missing or drop_sparse_columns, or keep a column that marks the gaps"),
+    ("duplicate_rows", 0.0, "HIGH", "uniqueness", "drop_duplicate_rows keeps one of each group"),
+    ("case_columns", 0.0, "MED", "consistency", "tidy_text makes labels equal that differ in case or padding"),
+    ("rules_hit", 0.0, "HIGH", "validity", "impossible_values lists the broken rules; correct them at the source or make them null"),
+    ("outlier_columns", 0.0, "MED", "validity", "outlier_rows shows them; cap_outliers moves them to the fence"),
+    ("text_numbers", 0.0, "MED", "structure", "Cast the columns that numbers_as_text lists"),
+    ("redundant_columns", 0.0, "LOW", "correlation", "Keep one of each pair that high_pairs calls perfect"),
+    ("skewed_columns", 0.0, "LOW", "accuracy", "Take a logarithm or ranks of the columns that skewed_columns lists"),
 )
 
 

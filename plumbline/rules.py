@@ -70,6 +70,20 @@ DATE_FORMATS = (
     ("d MMMM yyyy", r"^\d{1,2} [A-Za-z]{3,9} \d{4}$"),
     ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
     ("MMMM d, yyyy", r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$"),
+    ("yyyy-MM-dd HH:mm", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$"),
+    ("yyyy-MM-dd'T'HH:mm", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}$"),
+    ("yyyy-MM-dd HH:mm:ss.SSSSSS", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{1,6}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,6}$"),
+    ("yyyy-MM-dd HH:mm:ssXXX", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})$"),
+    ("yyyy-MM-dd'T'HH:mm:ssXXX", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})$"),
+    ("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,6}(Z|[+-]\d{2}:\d{2})$"),
+    ("yyyy/MM/dd HH:mm:ss", r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}$"),
+    ("MM/dd/yyyy HH:mm", r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}$"),
+    ("dd/MM/yyyy HH:mm", r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}$"),
+    ("d MMM yyyy HH:mm", r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}$"),
+    ("MMM d, yyyy HH:mm:ss", r"^[A-Za-z]{3} \d{1,2}, \d{4} \d{2}:\d{2}:\d{2}$"),
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
 )
 DATE_PARSE_SHARE = 0.7
 
@@ -81,30 +95,6 @@ NEAR_DISTANCE = 1e-6
 KEEP_COLUMN_SHARE = 0.3
 DISPLAY_ROWS = 50
 
-TAG_LABELS = {
-    "numeric": "Numeric Feature",
-    "categorical": "Categorical Feature",
-    "binary": "Binary",
-    "id": "ID / Index (drop this)",
-    "constant": "Constant (useless)",
-    "datetime": "DateTime",
-    "high_cardinality": "High Cardinality",
-    "text": "Free Text",
-    "unknown": "Unknown",
-}
-ENCODING_ADVICE = {
-    "numeric": ("Ready to use", "No encoding needed; scale if the model wants it"),
-    "binary": ("Ready to use", "Encode as 0/1 if not numeric yet"),
-    "categorical": ("One-Hot Encode", "Low cardinality: one column per value"),
-    "high_cardinality": ("Target Encode", "Target or frequency encoding, not one-hot"),
-    "id": ("Drop this column", "Identifiers leak into models and don't generalise"),
-    "constant": ("Drop this column", "No variance, no information"),
-    "datetime": ("Feature Engineer", "Take year, month, day, weekday, hour; drop the raw column"),
-    "text": ("NLP Encoding", "TF-IDF, word vectors or a sentence encoder"),
-    "unknown": ("Review manually", "No type could be determined"),
-}
-
-
 @dataclass(frozen=True)
 class RangeRule:
     """Values a numeric column may not hold, chosen by a substring of its name."""
@@ -183,6 +173,30 @@ UNIVERSAL = RuleProfile(
 PROFILES = {"audit": AUDIT, "universal": UNIVERSAL}
 # ------------------------------------------------------------ end fixed values
 
+# What reports call a role, and what to do with a column of it. Nothing depends on the wording.
+TAG_LABELS = {
+    "numeric": "measure",
+    "categorical": "category",
+    "binary": "two-valued",
+    "id": "row identifier",
+    "constant": "single value",
+    "datetime": "date or time",
+    "high_cardinality": "category with many values",
+    "text": "prose",
+    "unknown": "not recognised",
+}
+ENCODING_ADVICE = {
+    "numeric": ("keep", "A model can read it as it stands; numeric_details shows whether its scale or skew calls for a transform"),
+    "binary": ("map to 0 and 1", "value_counts gives the two values; numbers and booleans can stay"),
+    "categorical": ("one column per value", "top_values lists the few values it holds"),
+    "high_cardinality": ("replace by a statistic", "Join the frequency of each value, or the target's mean computed on other rows"),
+    "id": ("leave out", "It names a row and tells nothing about new ones; keep it only as a join key"),
+    "constant": ("leave out", "constant_columns shows that all rows agree"),
+    "datetime": ("derive parts", "Calendar fields and time differences carry the signal, not the raw value"),
+    "text": ("turn into vectors", "Term weights or embeddings; exact values hardly repeat"),
+    "unknown": ("look at it", "Nested or empty; select a field of it first"),
+}
+
 
 def profile_named(name: str | RuleProfile) -> RuleProfile:
     if isinstance(name, RuleProfile):
