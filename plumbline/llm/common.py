@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.sources.staging import staged, staged_path
 
-__all__ = ["BLANKS", "NOT_BLANK", "by_value", "column_or_null", "drop_staged", "let", "map_batches", "packed", "release", "split_words",
+__all__ = ["BLANKS", "NOT_BLANK", "by_value", "collapsed", "column_or_null", "drop_staged", "let", "map_batches", "packed", "release", "split_collapsed", "split_words",
            "staged", "staged_path", "word_count"]
 
 # ASCII white space, and a run of anything else: what the operators call a word.
@@ -31,10 +31,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def collapsed(text: Column) -> Column:
+    """The words of a text without nulls, one space between them."""
+    return F.trim(F.regexp_replace(text, BLANKS, " "))
+
+
+def split_collapsed(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+
+
 def split_words(text: Column) -> Column:
     """The words of a text without nulls, as an array; an empty array where there is none."""
-    collapsed = F.trim(F.regexp_replace(text, BLANKS, " "))
-    return F.when(collapsed == "", F.array().cast("array<string>")).otherwise(F.split(collapsed, " "))
+    return let(collapsed(text), split_collapsed)
 
 
 def word_count(text: Column) -> Column:

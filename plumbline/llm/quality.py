@@ -23,12 +23,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import NOT_BLANK, column_or_null, let, split_words, staged
+from plumbline.llm.common import NOT_BLANK, collapsed, column_or_null, let, split_collapsed, staged
 
 LIMIT = 0.05
 DELTA = 0.05
 LEAST_WORDS = 50
 WINDOW_WORDS = 3
+LISTED_HASHES = 64
 SYMBOLS = "#*$%&|<>"
 RATIOS = {
     "symbols": "n_symbols / word_chars",
@@ -42,22 +43,36 @@ CUTOFFS = (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.175, 0.15, 0.125, 0.1, 0.08,
 
 
 def _repeat_words(words: Column, width: int) -> Column:
-    """Number of words in windows of ``width`` words that the text has twice or more."""
+    """Number of words in windows of ``width`` words that the text has twice or more.
+
+    Hashes choose the windows that may be repeated; only these are compared word by word."""
     last = F.size(words) - width
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
-        F.concat_ws(" ", *[F.get(words, i + j) for j in range(width)]).alias("g"), i.alias("p")))
+    everywhere = F.sequence(F.lit(0), last)
+
+    def by_hash(hashes: Column) -> Column:
+        twice = let(F.sort_array(hashes), lambda o: F.array_distinct(F.array_compact(
+            F.transform(o, lambda h, i: F.when(h == F.get(o, i + 1), h)))))
+        return let(twice, lambda t: F.when(F.size(t) == 0, F.lit(0)).otherwise(let(let(windows(hashes, t), places), covered)))
+
+    def windows(hashes: Column, twice: Column) -> Column:
+        # A long list isn't searched once for each word: then every window is compared.
+        chosen = F.when(F.size(twice) > LISTED_HASHES, everywhere).otherwise(
+            F.filter(everywhere, lambda i: F.array_contains(twice, F.get(hashes, i))))
+        return F.sort_array(F.transform(chosen, lambda i: F.struct(
+            F.concat_ws(" ", *[F.get(words, i + j) for j in range(width)]).alias("g"), i.alias("p"))))
 
     def places(ordered: Column) -> Column:
         same = lambda i, j: F.get(ordered, i)["g"] == F.get(ordered, j)["g"]
-        twice = F.filter(F.sequence(F.lit(0), last), lambda i: F.coalesce(same(i, i + 1), F.lit(False)) | (
+        equal = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: F.coalesce(same(i, i + 1), F.lit(False)) | (
             (i > 0) & F.coalesce(same(i, F.greatest(i - 1, F.lit(0))), F.lit(False))))
-        return F.sort_array(F.transform(twice, lambda i: F.get(ordered, i)["p"]))
+        return F.sort_array(F.transform(equal, lambda i: F.get(ordered, i)["p"]))
 
     def covered(found: Column) -> Column:
         steps = F.transform(found, lambda p, i: F.least(F.lit(width), F.coalesce(F.get(found, i + 1) - p, F.lit(width))))
         return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
-    return F.when(F.size(words) <= width, F.lit(0)).otherwise(let(let(F.sort_array(windows), places), covered))
+    hashes = F.transform(everywhere, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(width)]))
+    return F.when(F.size(words) <= width, F.lit(0)).otherwise(let(hashes, by_hash))
 
 
 def measured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", stratum_column: str = "lang",
@@ -66,17 +81,21 @@ def measured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     text = F.coalesce(docs[text_column], F.lit(""))
     lines = let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NOT_BLANK)), lambda x: F.struct(
         F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
-    words = let(split_words(text), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w, WINDOW_WORDS).alias("repeat")))
-    chars = F.char_length(text)
-    without = lambda these: (chars - F.char_length(F.translate(text, these, ""))).cast("long")
+    words = let(collapsed(text), lambda c: let(split_collapsed(c), lambda w: F.struct(
+        F.size(w).alias("n"), (F.char_length(c) - F.greatest(F.size(w) - 1, F.lit(0))).alias("chars"),
+        _repeat_words(w, WINDOW_WORDS).alias("repeat"))))
+    marks = let(F.regexp_replace(text, f"[^A-Z!{SYMBOLS}]+", ""), lambda m: F.struct(
+        (F.char_length(m) - F.char_length(F.translate(m, SYMBOLS, ""))).alias("symbols"),
+        (F.char_length(m) - F.char_length(F.replace(m, F.lit("!"), F.lit("")))).alias("exclamations"),
+        F.char_length(F.regexp_replace(m, "[^A-Z]+", "")).alias("capitals")))
     counted = docs.select(
         *carried, docs[id_column].alias("id"), F.coalesce(column_or_null(docs, stratum_column, "string"), F.lit("")).alias("stratum"),
-        words.alias("w"), lines.alias("l"), F.char_length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        without(SYMBOLS).alias("n_symbols"), (chars - F.char_length(F.regexp_replace(text, "[A-Z]+", ""))).cast("long").alias("n_capitals"),
-        without("!").alias("n_exclamations"))
-    return counted.select(*counted.columns[:len(carried)], "id", "stratum", F.col("w.n").cast("long").alias("n_words"), "word_chars", "n_symbols",
-                          F.col("l.dup").cast("long").alias("n_dup_lines"), F.col("w.repeat").cast("long").alias("n_repeat_words"),
-                          F.col("l.n").cast("long").alias("n_lines"), "n_capitals", "n_exclamations")
+        words.alias("w"), lines.alias("l"), marks.alias("m"))
+    number = lambda name: F.col(name).cast("long")
+    return counted.select(
+        *counted.columns[:len(carried)], "id", "stratum", number("w.n").alias("n_words"), number("w.chars").alias("word_chars"),
+        number("m.symbols").alias("n_symbols"), number("l.dup").alias("n_dup_lines"), number("w.repeat").alias("n_repeat_words"),
+        number("l.n").alias("n_lines"), number("m.capitals").alias("n_capitals"), number("m.exclamations").alias("n_exclamations"))
 
 
 def _log_gamma(x: Column) -> Column:
