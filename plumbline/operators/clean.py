@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from plumbline import rules
 from plumbline.functions.text import is_placeholder, normalised, stripped
@@ -56,21 +56,25 @@ def null_placeholders(df: DataFrame) -> DataFrame:
     return df.withColumns({c.name: F.when(~is_placeholder(stripped(c.ref)), c.ref) for c in table_columns(df, STRING)})
 
 
-def sparse_columns(df: DataFrame) -> list[str]:
+def present_cells(df: DataFrame) -> dict[str, Row]:
+    """Non-null cells and rows of each column."""
+    return {r.column: r for r in sorted(column_metrics(df, PRESENT).collect(), key=lambda r: r.position)}
+
+
+def sparse_columns(df: DataFrame, stats: dict[str, Row] | None = None) -> list[str]:
     """Columns with fewer non-null cells than 30 % of the rows, rounded down."""
-    stats = column_metrics(df, PRESENT).collect()
-    return [r.column for r in sorted(stats, key=lambda r: r.position)
-            if r.present < int(rules.KEEP_COLUMN_SHARE * r.n_rows)]
+    stats = present_cells(df) if stats is None else stats
+    return [name for name, r in stats.items() if r.present < int(rules.KEEP_COLUMN_SHARE * r.n_rows)]
 
 
-def drop_sparse_columns(df: DataFrame) -> DataFrame:
-    dropped = set(sparse_columns(df))
+def drop_sparse_columns(df: DataFrame, stats: dict[str, Row] | None = None) -> DataFrame:
+    dropped = set(sparse_columns(df, stats))
     return df.select(*[c.ref for c in table_columns(df) if c.name not in dropped])
 
 
-def fill_values(df: DataFrame) -> dict[str, float | str]:
+def fill_values(df: DataFrame, stats: dict[str, Row] | None = None) -> dict[str, float | str]:
     """What fills each column with nulls: the median of numbers, the mode of text."""
-    stats = {r.column: r for r in column_metrics(df, PRESENT, table_columns(df, NUMBER, STRING)).collect()}
+    stats = present_cells(df) if stats is None else stats
     gaps = [c for c in table_columns(df, NUMBER, STRING) if stats[c.name].present < stats[c.name].n_rows]
     numbers = [c for c in gaps if c.kind == NUMBER]
     texts = [c for c in gaps if c.kind == STRING]
@@ -82,9 +86,9 @@ def fill_values(df: DataFrame) -> dict[str, float | str]:
     return found
 
 
-def fill_missing(df: DataFrame) -> DataFrame:
+def fill_missing(df: DataFrame, stats: dict[str, Row] | None = None) -> DataFrame:
     """Number columns with nulls become double; all-null number columns stay null."""
-    fills = fill_values(df)
+    fills = fill_values(df, stats)
     return df.withColumns({c.name: F.coalesce(c.ref.cast("double") if c.kind == NUMBER else c.ref, F.lit(fills[c.name]))
                            for c in table_columns(df, NUMBER, STRING) if c.name in fills})
 
@@ -125,8 +129,9 @@ def cap_outliers(df: DataFrame) -> DataFrame:
 
 def clean(df: DataFrame) -> DataFrame:
     """All eight steps; the last two are lazy over the staged, deduplicated table."""
-    df = drop_empty_rows(rename_columns(normalise(df)))
-    df = fill_missing(drop_sparse_columns(null_placeholders(df)))
+    df = null_placeholders(drop_empty_rows(rename_columns(normalise(df))))
+    stats = present_cells(df)  # for both of the next steps, which change no row
+    df = fill_missing(drop_sparse_columns(df, stats), stats)
     return cap_outliers(tidy_text(staged(drop_duplicate_rows(df), "deduplicated")))
 
 

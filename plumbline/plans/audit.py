@@ -16,9 +16,11 @@ findings are DataFrame expressions over those.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import rules
@@ -76,18 +78,33 @@ def audit(df: DataFrame, profile: str | RuleProfile = "audit", *, weights: dict[
 
 
 def _details(df: DataFrame, rule: RuleProfile, as_of: str | None, near_rows: bool) -> dict[str, DataFrame]:
-    stats = small_table(column_metrics(df, audit_metrics(rule)))
-    label_table = small_table(labels.label_stats(df, stats))
-    # Only strong pairs leave the cluster; all others score nothing.
-    pairs = small_table(correlation.correlations(df).where(F.abs("r") > rules.CORRELATION_LIMIT))
-    found = {
+    none_near = literal_table(df.sparkSession, [(0, 0, 0.0)], "n_rows bigint, near_rows bigint, near_pct double")
+    # These need nothing from each other, so their jobs run side by side. Only strong pairs
+    # leave the cluster; all others score nothing.
+    apart = {
+        "pairs": lambda: small_table(correlation.correlations(df).where(F.abs("r") > rules.CORRELATION_LIMIT)),
+        "duplicates": lambda: small_table(duplicates.duplicate_counts(df)),
+        "outliers": lambda: small_table(validity.outlier_counts(df)),
+        "impossible": lambda: small_table(validity.impossible_values(df, rule)),
+    }
+    if rule.name == "universal":
+        apart |= {
+            "future": lambda: small_table(validity.future_dates(df, as_of)),
+            "rows": lambda: small_table(structure.row_shape(df)),
+            "near": lambda: duplicates.near_duplicates(df) if near_rows else none_near,
+        }
+    with ThreadPoolExecutor(len(apart)) as pool:
+        running = {name: pool.submit(inheritable_thread_target(df.sparkSession)(step)) for name, step in apart.items()}
+        stats = small_table(column_metrics(df, audit_metrics(rule)))
+        label_table = small_table(labels.label_stats(df, stats))
+        identical = duplicates.identical_columns(df, stats)
+        done = {name: step.result() for name, step in running.items()}
+    pairs = done.pop("pairs")
+    found = done | {
         "missing": missing.missing_by_column(df, rule, stats),
-        "duplicates": small_table(duplicates.duplicate_counts(df)),
         "constant": uniqueness.constant_columns(df, stats, label_table),
-        "identical": duplicates.identical_columns(df, stats),
+        "identical": identical,
         "issues": consistency.consistency_issues(df, rule, stats, label_table),
-        "outliers": small_table(validity.outlier_counts(df)),
-        "impossible": small_table(validity.impossible_values(df, rule)),
         "skewed": accuracy.skewed_columns(df, rule, stats),
         "noise": accuracy.noisy_labels(label_table),
         "names": structure.bad_names(df, rule),
@@ -96,13 +113,7 @@ def _details(df: DataFrame, rule: RuleProfile, as_of: str | None, near_rows: boo
         "redundant": correlation.redundant_columns(pairs),
     }
     if rule.name == "universal":
-        found |= {
-            "imbalanced": small_table(accuracy.imbalanced_columns(df, stats)),
-            "future": small_table(validity.future_dates(df, as_of)),
-            "rows": small_table(structure.row_shape(df)),
-            "near": duplicates.near_duplicates(df) if near_rows else literal_table(
-                df.sparkSession, [(0, 0, 0.0)], "n_rows bigint, near_rows bigint, near_pct double"),
-        }
+        found["imbalanced"] = small_table(accuracy.imbalanced_columns(df, stats))
     return found
 
 
