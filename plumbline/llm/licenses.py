@@ -25,7 +25,7 @@ from plumbline.llm.common import let, staged
 
 GRAM_WORDS = 3
 SHIFT = 3
-LEAST_SHARE = 0.8
+LEAST_SHARE = 0.85
 LONGEST = 1.5
 # Phrases that label a text by themselves (fixed values).
 PHRASES = {

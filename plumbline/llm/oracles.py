@@ -95,7 +95,7 @@ k AS (SELECT *, sum(apart::INT) OVER (PARTITION BY doc_id, template ORDER BY dia
 m AS (SELECT doc_id, template, label, grams, cluster, min(first) AS first, max(last) + 2 AS last, len(list_distinct(flatten(list(seen)))) AS matched
       FROM k GROUP BY ALL),
 s AS (SELECT doc_id, list(DISTINCT label) AS labels, max(matched / grams) AS share FROM m
-      WHERE matched / grams >= 0.8 AND last - first + 1 <= (grams + 2) * 1.5 GROUP BY 1)
+      WHERE matched / grams >= 0.85 AND last - first + 1 <= (grams + 2) * 1.5 GROUP BY 1)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(z AS BIGINT) AS last_word,
   coalesce(array_to_string(base.labels, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(s.labels, [])))), ','), '') AS labels,
