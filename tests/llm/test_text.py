@@ -170,7 +170,7 @@ def test_license_spans(spark):
              (7, "M\u0130T LICENSE \u212aelvin \u00c9")]
     got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in licenses.scanned(table(spark, texts)).collect()}
     assert got[0][4:] == ("gpl", "gpl", 1.0) and got[1][4:6] == ("gpl", "gpl") and got[2][5] == "" and got[3][5] == ""
-    assert got[4] == (5, 1, 2, 2, "cc-by", "cc-by,cc-by-nc", 1.0) and got[5] == (0, 0, None, None, "", "", 0.0)
+    assert got[4] == (7, 1, 2, 2, "cc-by", "cc-by,cc-by-nc", 1.0) and got[5] == (0, 0, None, None, "", "", 0.0)
     assert got[6] == (4, 2, 0, 2, "mit", "mit", 1.0) and got[7][:2] == (4, 0)
     spans = {r.id: (r.first, r.last) for r in licenses.spans(table(spark, texts)).where("template = 5").collect()}
     assert spans[0] == (1, len(gpl)) and spans[1] == (1, len(gpl) + 1)
