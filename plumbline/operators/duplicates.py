@@ -102,6 +102,8 @@ def _same_places(df: DataFrame, columns: list[TableColumn]) -> dict[tuple, list[
 COARSE_WIDTH = 1e-4
 FINE_WIDTH = 5e-6
 CROWDED_CELL = 200
+# Columns of a grid: a box lies in at most two cells a column, so in eight at most.
+KEY_COLUMNS = 3
 # Above this size neighbouring doubles are further apart than a sub-cell can resolve.
 LARGE_NUMBER = 1e8
 
@@ -116,8 +118,8 @@ def near_duplicates(df: DataFrame, columns: list[str] | None = None,
     * rows are grouped into sub-cells whose diagonal is below ``distance``. A sub-cell
       with two rows settles all of them, however many it holds;
     * each sub-cell leaves one row, its bounding box. Lone rows look for boxes in the
-      same cell of a coarser grid over *all* number columns with a semi-join. Cells that
-      are crowded even so use a finer grid;
+      same cell of a coarser grid over three columns with a semi-join. Lone rows in crowded
+      cells look again in the grid over the next three columns, and at last in finer grids;
     * a box whose distance to a lone row is not certain (several different points in it)
       is opened, and only then are single rows compared.
     """
@@ -171,18 +173,30 @@ def _placed(boxes: DataFrame, xs: list[str], width: float, distance: float) -> D
     return placed
 
 
+def _key_groups(boxes: DataFrame, xs: list[str]) -> list[list[str]]:
+    """The columns in groups of ``KEY_COLUMNS``, those with the most cells first."""
+    row = boxes.agg(*[F.approx_count_distinct(_cell(F.col(f"lo_{x}"), COARSE_WIDTH)).alias(x) for x in xs]).first()
+    ordered = sorted(xs, key=lambda x: -row[x])
+    return [ordered[i:i + KEY_COLUMNS] for i in range(0, len(ordered), KEY_COLUMNS)]
+
+
 def _near_lone_rows(rows: DataFrame, boxes: DataFrame, xs: list[str], distance: float) -> int:
-    lone = boxes.where(F.col("rows") == 1)
-    coarse_lone = lone.withColumn("cell", _home(xs, COARSE_WIDTH))
-    coarse = _placed(boxes, xs, COARSE_WIDTH, distance)
-    crowded = coarse.groupBy("cell").count().where(F.col("count") > CROWDED_CELL).select("cell")
-    if crowded.isEmpty():
-        return _search(rows, coarse_lone, coarse, xs, distance)
-    crowded = staged(crowded, "crowded")
-    calm = _search(rows, coarse_lone.join(crowded, "cell", "left_anti"), coarse, xs, distance)
-    dense_lone = coarse_lone.join(crowded, "cell", "left_semi").withColumn("cell", _home(xs, FINE_WIDTH))
-    dense = coarse.join(crowded, "cell", "left_semi").drop("cell").distinct()
-    return calm + _search(rows, dense_lone, _placed(dense, xs, FINE_WIDTH, distance), xs, distance)
+    """A row and a box close to it share a cell in the grid over any group of columns. Lone rows in
+    crowded cells go on to the grid over the next columns, and at last to the finer grids."""
+    lone, among, found = boxes.where(F.col("rows") == 1), boxes, 0
+    groups = _key_groups(boxes, xs)
+    grids = [(key, width) for width in (COARSE_WIDTH, FINE_WIDTH) for key in groups]
+    for key, width in grids:
+        placed = _placed(among, key, width, distance)
+        homed = lone.withColumn("cell", _home(key, width))
+        crowded = placed.groupBy("cell").count().where(F.col("count") > CROWDED_CELL).select("cell")
+        if (key, width) == grids[-1] or crowded.isEmpty():
+            break
+        crowded = staged(crowded, "crowded")
+        found += _search(rows, homed.join(crowded, "cell", "left_anti"), placed, xs, distance)
+        lone = staged(homed.join(crowded, "cell", "left_semi").drop("cell"), "lone")
+        among = staged(placed.join(crowded, "cell", "left_semi").drop("cell").distinct(), "among")
+    return found + _search(rows, homed, placed, xs, distance)
 
 
 def _search(rows: DataFrame, lone: DataFrame, placed: DataFrame, xs: list[str], distance: float) -> int:

@@ -7,6 +7,8 @@ columns they need.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -16,7 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 @cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="plumbline-")
+    folder = tempfile.mkdtemp(prefix="plumbline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def staging_folder(spark: SparkSession) -> str:
@@ -28,8 +32,21 @@ def staging_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+_made: list[str] = []
+
+
 def staged_path(spark: SparkSession, name: str) -> str:
-    return f"{staging_folder(spark)}/plumbline-{uuid.uuid4().hex}/{name}"
+    folder = f"{staging_folder(spark)}/plumbline-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return f"{folder}/{name}"
+
+
+def drop_staged_tables(spark: SparkSession) -> None:
+    """Deletes every table staged so far in this process. Results that still read one are lost, so call it
+    when they are written."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -41,6 +41,28 @@ def test_quantiles_of_empty_and_single_columns(spark):
     assert quantiles.exact_quantiles(df, table_columns(df), [0.5]) == {"a": [None], "b": [1.0]}
 
 
+def test_boxes_have_few_copies_on_cell_borders(spark):
+    from plumbline.operators import duplicates
+    xs = [f"x{i}" for i in range(14)]
+    border = 0.5 * duplicates.COARSE_WIDTH
+    boxes = spark.range(20).select(F.lit(1).alias("rows"), *[
+        (F.lit(border) + F.col("id") * duplicates.COARSE_WIDTH * int(i == 0)).alias(f"{end}_{x}") for i, x in enumerate(xs) for end in ("lo", "hi")])
+    for key in duplicates._key_groups(boxes, xs):
+        assert duplicates._placed(boxes, key, duplicates.COARSE_WIDTH, 1e-6).count() <= 8 * 20
+
+
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_crowded_cells_move_on_to_other_columns(spark, monkeypatch, k):
+    from plumbline.operators import duplicates
+    monkeypatch.setattr(duplicates, "CROWDED_CELL", 4)
+    rng = np.random.default_rng(k)
+    rows = rng.integers(0, 3, (120, k)) * 1e-4 + rng.integers(0, 4, (120, k)) * 0.6e-6
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rows], ", ".join(f"c{i} double" for i in range(k)))
+    apart = np.sqrt(((rows[:, None] - rows[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(apart, 1)
+    assert duplicates.near_duplicates(df).first().near_rows == int((apart.min(axis=1) < 1e-6).sum())
+
+
 def brute_near(rows, distance=1e-6):
     x = np.array(rows, dtype=float)
     apart = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
