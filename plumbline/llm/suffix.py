@@ -6,8 +6,8 @@ grams (the leftmost of equal ones), so equal strings have equal anchors at the s
 
 1. Each text is cut into the stretches of strings that share an anchor. Equal texts meet by digest: all but the
    first are removed whole. Of the rest, only anchors that two texts share, or that a text has twice, can
-   hold a repeat. (Texts are told apart by length and hash here; a wrong "equal" would take two different texts
-   that share a passage, have one length and agree in 64 bits.)
+   hold a repeat. (Texts are told apart by hash here: a wrong "equal" would take two different texts that share a
+   passage and agree in 64 bits, and no third one.)
 2. For these, the stretches (about 135 bytes) are read. Equal stretches meet by digest with the least
    position kept, before the shuffle; all but the first are removed whole.
 3. Different stretches with one anchor are dealt to shards by anchor. A shard is the text of a run-length
@@ -244,12 +244,10 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts = _keyed(docs, id_column, text_column)
     listed, listed_path = packed(_anchor_lists(texts, kind, length, gram), "anchors")
     copies = _copies(listed)
-    text = F.struct("size", "text_hash")
-    single = (listed.select(F.explode("anchors").alias("anchor"), text.alias("text"), F.lit(False).alias("twice"))
-              .unionByName(listed.select(F.explode("again").alias("anchor"), text.alias("text"), F.lit(True).alias("twice"))))
-    counted = single.groupBy("anchor").agg(F.min("text.size").alias("a"), F.max("text.size").alias("b"), F.min("text.text_hash").alias("c"),
-                                           F.max("text.text_hash").alias("d"), F.max("twice").alias("twice"))
-    repeated, repeated_path = packed(counted.where("a < b OR c < d OR twice").select("anchor"), "repeated")
+    single = (listed.select(F.explode("anchors").alias("anchor"), "text_hash", F.lit(False).alias("twice"))
+              .unionByName(listed.select(F.explode("again").alias("anchor"), "text_hash", F.lit(True).alias("twice"))))
+    counted = single.groupBy("anchor").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b"), F.max("twice").alias("twice"))
+    repeated, repeated_path = packed(counted.where("a < b OR twice").select("anchor"), "repeated")
     release(spark)
     placed = listed.select("id", "text_hash", F.explode("anchors").alias("anchor")).join(repeated, "anchor")
     held = placed.groupBy("id", "text_hash").agg(F.collect_set("anchor").alias("held"))
