@@ -150,7 +150,7 @@ class Encoder:
         found = []
         for words in cut:
             at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            found.append(self.flat[_slices(start[at], self.length[at])])
+            found.append(self.flat[_slices(start[at], self.length[at])].astype(np.int32))
         return found
 
 
@@ -160,7 +160,7 @@ def decode_ids(ids: np.ndarray, vocabulary: Vocabulary) -> str:
     return vocabulary.piece_bytes[_slices(vocabulary.piece_start[ids], vocabulary.piece_length[ids])].tobytes().decode("utf-8", "replace")
 
 
-_PART_CHARACTERS = 1 << 22
+_PART_CHARACTERS = 1 << 20
 
 
 def _parts(texts: list[str]) -> Iterable[list[str]]:
@@ -196,7 +196,7 @@ def with_tokens(docs: DataFrame, path: str, text_column: str = "text", tokens_co
         encoder = _once(state, vocabulary)
         ids = [x for part in _parts(batch.column(batch.num_columns - 1).to_pylist()) for x in encoder.encode(part)]
         ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-        flat = np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int32)
+        flat = np.concatenate([*ids, np.zeros(0, np.int32)])
         tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], tokens], names)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)

@@ -19,6 +19,7 @@ labels only the base rules reject. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,11 +33,11 @@ WINDOW_WORDS = 3
 LISTED_HASHES = 64
 SYMBOLS = "#*$%&|<>"
 RATIOS = {
-    "symbols": "n_symbols / word_chars",
-    "dup_lines": "n_dup_lines / n_lines",
-    "repeats": "n_repeat_words / n_words",
-    "capitals": "n_capitals / word_chars",
-    "exclamations": "n_exclamations / word_chars",
+    "symbols": ("n_symbols", "word_chars"),
+    "dup_lines": ("n_dup_lines", "n_lines"),
+    "repeats": ("n_repeat_words", "n_words"),
+    "capitals": ("n_capitals", "word_chars"),
+    "exclamations": ("n_exclamations", "word_chars"),
 }
 # Candidate cutoffs of every ratio, most lenient first.
 CUTOFFS = (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.175, 0.15, 0.125, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03)
@@ -75,9 +76,8 @@ def _repeat_words(words: Column, width: int) -> Column:
     return F.when(F.size(words) <= width, F.lit(0)).otherwise(let(hashes, by_hash))
 
 
-def measured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", stratum_column: str = "lang",
-             *carried: Column) -> DataFrame:
-    """id, stratum and the counts of every whole text, and what is carried along."""
+def _counted(docs: DataFrame, id_column: str, text_column: str, stratum_column: str, *carried: Column) -> DataFrame:
+    """What is carried along, id, stratum, and the counts of words, lines and marks as structs."""
     text = F.coalesce(docs[text_column], F.lit(""))
     lines = let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NOT_BLANK)), lambda x: F.struct(
         F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
@@ -88,14 +88,19 @@ def measured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         (F.char_length(m) - F.char_length(F.translate(m, SYMBOLS, ""))).alias("symbols"),
         (F.char_length(m) - F.char_length(F.replace(m, F.lit("!"), F.lit("")))).alias("exclamations"),
         F.char_length(F.regexp_replace(m, "[^A-Z]+", "")).alias("capitals")))
-    counted = docs.select(
-        *carried, docs[id_column].alias("id"), F.coalesce(column_or_null(docs, stratum_column, "string"), F.lit("")).alias("stratum"),
-        words.alias("w"), lines.alias("l"), marks.alias("m"))
-    number = lambda name: F.col(name).cast("long")
-    return counted.select(
-        *counted.columns[:len(carried)], "id", "stratum", number("w.n").alias("n_words"), number("w.chars").alias("word_chars"),
-        number("m.symbols").alias("n_symbols"), number("l.dup").alias("n_dup_lines"), number("w.repeat").alias("n_repeat_words"),
-        number("l.n").alias("n_lines"), number("m.capitals").alias("n_capitals"), number("m.exclamations").alias("n_exclamations"))
+    stratum = F.coalesce(column_or_null(docs, stratum_column, "string"), F.lit(""))
+    return docs.select(*carried, docs[id_column].alias("id"), stratum.alias("stratum"), words.alias("w"), lines.alias("l"), marks.alias("m"))
+
+
+# Where each measure stands in the columns of ``_counted``.
+MEASURES = {"n_words": ("w", "n"), "word_chars": ("w", "chars"), "n_symbols": ("m", "symbols"), "n_dup_lines": ("l", "dup"),
+            "n_repeat_words": ("w", "repeat"), "n_lines": ("l", "n"), "n_capitals": ("m", "capitals"), "n_exclamations": ("m", "exclamations")}
+
+
+def measured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", stratum_column: str = "lang") -> DataFrame:
+    """id, stratum and the counts of every whole text."""
+    return _counted(docs, id_column, text_column, stratum_column).select(
+        "id", "stratum", *[F.col(f"{a}.{b}").cast("long").alias(name) for name, (a, b) in MEASURES.items()])
 
 
 def _log_gamma(x: Column) -> Column:
@@ -125,8 +130,8 @@ def cutoffs(measures: DataFrame, labels: DataFrame, limit: float = LIMIT, delta:
             label_id: str = "doc_id", label: str = "quality") -> DataFrame:
     """The certified cutoffs: stratum, ratio, cutoff, good, rejected. No row where none is certified."""
     good = labels.where(labels[label] == 1).select(labels[label_id].alias("id")).distinct()
-    listed = F.array(*[F.struct(F.lit(name).alias("ratio"), F.expr(f"coalesce(try_divide({x.split(' / ')[0]}, {x.split(' / ')[1]}), 0D)")
-                                .cast("double").alias("value")) for name, x in RATIOS.items()])
+    listed = F.array(*[F.struct(F.lit(name).alias("ratio"), F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)).alias("value"))
+                       for name, (a, b) in RATIOS.items()])
     grid = F.array(*[F.lit(c) for c in CUTOFFS])
     beyond = F.size(F.filter(grid, lambda c: F.col("x.value") <= c))  # how many of the most lenient keep it
     counts = (measures.join(good, "id").select("stratum", F.explode(listed).alias("x"))
@@ -154,7 +159,7 @@ def judged(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: floa
     chosen = staged(_by_stratum(cutoffs(measures, labels, limit, delta, label_id, label)), "cutoffs")
     found = measures.join(chosen, measures["stratum"] == chosen["s"], "left")
     return found.select(F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                        base_failed().alias("base_failed"), (~(base_failed() | _rejected())).alias("kept"))
+                        base_failed().alias("base_failed"), (~(base_failed() | _rejected(F.col("c")))).alias("kept"))
 
 
 def _by_stratum(chosen: DataFrame) -> DataFrame:
@@ -162,13 +167,19 @@ def _by_stratum(chosen: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("ratio", "cutoff"))).alias("c"))
 
 
-def base_failed() -> Column:
-    return F.expr(f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words")
+Measure = Callable[[str], Column]
 
 
-def _rejected() -> Column:
-    tests = [f"coalesce(try_divide({x.split(' / ')[0]}, {x.split(' / ')[1]}) > c['{name}'], false)" for name, x in RATIOS.items()]
-    return F.expr(" OR ".join(tests))
+def base_failed(measure: Measure = F.col) -> Column:
+    return (measure("n_words") < LEAST_WORDS) | (100 * measure("n_repeat_words") > 50 * measure("n_words"))
+
+
+def _rejected(cutoff: Column, measure: Measure = F.col) -> Column:
+    """Whether a ratio is beyond its certified cutoff, if there is one."""
+    found = F.lit(False)
+    for name, (a, b) in RATIOS.items():
+        found = found | F.coalesce(F.try_divide(measure(a), measure(b)) > F.try_element_at(cutoff, F.lit(name)), F.lit(False))
+    return found
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -178,6 +189,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", tex
     measures = staged(measured(docs, id_column, text_column, stratum_column), "measures")
     chosen = staged(_by_stratum(cutoffs(measures, labels, label_id=label_id, label=label)), "cutoffs")
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("_doc")
-    again = measured(docs, id_column, text_column, stratum_column, whole)
+    again = _counted(docs, id_column, text_column, stratum_column, whole)
     found = again.join(chosen, again["stratum"] == chosen["s"], "left")
-    return found.where(~(base_failed() | _rejected())).select("_doc.*")
+    # Bound once: a filter that named the measures one by one would count the text again for each.
+    good = let(F.struct("w", "l", "m"), lambda x: ~(base_failed(_within(x)) | _rejected(F.col("c"), _within(x))))
+    return found.where(good).select("_doc.*")
+
+
+def _within(counts: Column) -> Measure:
+    return lambda name: counts[MEASURES[name][0]][MEASURES[name][1]].cast("long")

@@ -89,7 +89,7 @@ def _counts(urls: DataFrame) -> np.ndarray:
                 grams[order] + shift + _TABLE, minlength=len(total))
         slot = np.flatnonzero(total)
         return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
-    summed = map_batches(urls, run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    summed = map_batches(urls, run, "slot long, n long", 10_000).groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(4 * _TABLE)
     total[summed["slot"].to_numpy(np.int64)] = summed["n"].to_numpy(np.float64)
     return total.reshape(2, 2, _TABLE)
