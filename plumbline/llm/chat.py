@@ -56,18 +56,20 @@ def chosen_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     reach = staged(rooted.select("tree", "id", F.col("i").alias("up"), F.lit(1).cast("long").alias("depth"), "score"), "reach")
     # A path has no more messages than its tree; whoever still climbs then is on a cycle.
     most = reach.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
-    jumps = []
+    ended, climbing, jumps = reach.where("up IS NULL"), reach.where("up IS NOT NULL"), []
     for _ in range(most.bit_length()):
-        jumps.append(reach.where("up IS NOT NULL").select("tree", "id", "up"))
-        if jumps[-1].isEmpty():
+        if climbing.isEmpty():
             break
-        above = reach.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"),
-                             F.col("depth").alias("d2"), F.col("score").alias("s2"))
-        higher = reach.join(above, (reach["tree"] == above["t"]) & (reach["up"] == above["i"]), "left")
-        reach = staged(higher.select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-                                     (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score")), "reach")
+        jumps.append(climbing.select("tree", "id", "up"))
+        above = ended.unionByName(climbing).select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"),
+                                                   F.col("depth").alias("d2"), F.col("score").alias("s2"))
+        higher = climbing.join(above, (climbing["tree"] == above["t"]) & (climbing["up"] == above["i"]))
+        reach = staged(higher.select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"),
+                                     (F.col("score") + F.col("s2")).alias("score")), "reach")
+        # Only messages that haven't reached their root climb on.
+        ended, climbing = ended.unionByName(reach.where("up IS NULL")), reach.where("up IS NOT NULL")
     answered = messages.where("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("i"))
-    leaves = reach.where("up IS NULL").join(answered, (reach["tree"] == answered["t"]) & (reach["id"] == answered["i"]), "left_anti")
+    leaves = ended.join(answered, (ended["tree"] == answered["t"]) & (ended["id"] == answered["i"]), "left_anti")
     order = Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("depth").desc(), "id")
     ranked = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
     walked = staged(ranked.select("tree", F.col("id").alias("leaf"), "rank", "id", F.lit(0).cast("long").alias("distance")), "walked")
