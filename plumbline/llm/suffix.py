@@ -110,22 +110,33 @@ def run_length_index(stretches: list[bytes], length: int) -> np.ndarray:
     symbols[np.arange(n - len(stretches)) + np.repeat(np.arange(len(stretches)), size)] = (
         np.frombuffer(b"".join(stretches), np.uint8).astype(np.int64) + 1)
     left = np.repeat(ends - 1, size + 1) - np.arange(n)  # bytes up to the separator
-    # Suffix array by prefix doubling. A suffix ends at its separator; separators are ordered by their place.
+
+    def ahead(values: np.ndarray, step: int) -> np.ndarray:
+        """What stands ``step`` bytes further on, in the same stretch; else 0."""
+        found = np.zeros(n, np.int64)
+        found[:n - step] = values[step:]
+        return np.where(left >= step, found, 0)
+
+    # Ranks by the first 28 bytes, by prefix doubling. A suffix ends at its separator.
     key, width = np.zeros(n, np.int64), 7
     for j in range(width):
-        ahead = np.zeros(n, np.int64)
-        ahead[:n - j] = symbols[j:]
-        key = (key << 9) | np.where(left >= j, ahead, 0)
-    rank, kinds = _rank(key)
-    while width <= int(size.max()):
-        ahead = np.zeros(n, np.int64)
-        ahead[:n - width] = rank[width:] + 1
-        rank, more = _rank(rank * (n + 1) + np.where(left >= width, ahead, 0))
+        key = (key << 9) | ahead(symbols, j)
+    rank, _ = _rank(key)
+    while width < 28:
+        rank, _ = _rank(rank * (n + 1) + ahead(rank + 1, width))
         width *= 2
-        if more == kinds:
-            break
-        kinds = more
-    suffixes = np.argsort(rank * n + np.arange(n))
+    # Only where a string of the length starts does a suffix count; these are sorted to their ends, in steps of the ranks.
+    # Separators are ordered by their place. (The byte after a stretch's last start is left out: a match
+    # followed there from the start before is shorter than the length either way.)
+    starts = np.flatnonzero(left >= length)
+    order = rank[starts]
+    for step in range(width, int(size.max()) + 1, width):
+        order, _ = _rank(order * (n + 1) + ahead(rank + 1, step)[starts])
+    m = len(starts)
+    if not m:
+        return np.zeros(n, bool)
+    by_order = np.argsort(order * m + np.arange(m))
+    suffixes = starts[by_order]
     # Runs of the transform; a place where a stretch begins has no byte before it and is a run by itself.
     before = np.where(suffixes > 0, symbols[suffixes - 1], 0)
     head = np.concatenate(([True], (before[1:] != before[:-1]) | (before[1:] == 0)))
@@ -142,13 +153,13 @@ def run_length_index(stretches: list[bytes], length: int) -> np.ndarray:
         shared[active] += 1
         reach += 1
     # Stream over the text: within a run's reach the match loses one byte a step.
-    order = np.argsort(here)
-    last = np.repeat(np.arange(len(order)), np.diff(np.append(here[order], n)))
-    match = shared[order][last] - (np.arange(n) - here[order][last])
-    start = np.flatnonzero(match[suffixes] < length)
-    first = np.minimum.reduceat(suffixes, start)
+    in_text = np.argsort(here)
+    last = np.searchsorted(here[in_text], starts, side="right") - 1
+    match = shared[in_text][last] - (starts - here[in_text][last])
+    begin = np.flatnonzero(match[by_order] < length)
+    first = np.minimum.reduceat(suffixes, begin)
     earlier = np.zeros(n, bool)
-    earlier[suffixes] = np.repeat(first, np.diff(np.append(start, n))) < suffixes
+    earlier[suffixes] = np.repeat(first, np.diff(np.append(begin, m))) < suffixes
     return earlier
 
 
@@ -207,19 +218,21 @@ def _copies(listed: DataFrame) -> DataFrame:
 def _read_stretches(texts: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
     """The stretches of the anchors in column ``held``."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        owner, columns = [], [[] for _ in range(5)]
+        owner, numbers, digests, stretches = [], [], [], []
         for at, (text, held) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
             hashes, places, first = anchors(text, length, gram)
             stop = np.append(first[1:], len(text) - length + 1) + length - 1
-            for i in np.flatnonzero(np.isin(hashes, held.values.to_numpy())).tolist():
-                stretch = text[first[i]:stop[i]]
-                owner.append(at)
-                for column, value in zip(columns, (hashes[i], places[i] - first[i], first[i], hashlib.md5(stretch).digest(), stretch)):
-                    column.append(value)
-        taken = pa.array(owner, pa.int32())
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            kept = np.flatnonzero(np.isin(hashes, held.values.to_numpy()))
+            numbers.append(np.stack((hashes[kept], places[kept] - first[kept], first[kept])))
+            owner.append(np.full(len(kept), at, np.int32))
+            own = [text[a:b] for a, b in zip(first[kept].tolist(), stop[kept].tolist())]
+            digests += [hashlib.md5(x).digest() for x in own]
+            stretches += own
+        taken = pa.array(np.concatenate(owner))
+        anchor, lead, start = np.concatenate(numbers, axis=1)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(taken), batch.column(1).take(taken), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+            [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(anchor), pa.array(lead), pa.array(start),
+             pa.array(digests, pa.binary()), pa.array(stretches, pa.binary())],
             ["id", "text_hash", "anchor", "lead", "first", "digest", "stretch"])
     found = map_batches(texts, run, f"id {kind}, text_hash long, anchor long, lead long, first long, digest binary, stretch binary")
     return found.withColumn("size", F.octet_length("stretch"))
