@@ -415,7 +415,8 @@ def label_select(name: str) -> str:
             f"SELECT '{c}' AS \"column\", (SELECT count(DISTINCT {c}) FROM t) AS n_values, "
             f"(SELECT count(DISTINCT {strip(c)}) FROM t) AS n_stripped, "
             f"(SELECT count(DISTINCT lower({strip(c)})) FROM t) AS n_labels, "
-            f"{big('coalesce(sum(k - 1), 0)')} AS noisy_labels FROM (SELECT count(*) AS k FROM "
+            f"{big('coalesce(sum(k - 1), 0)')} AS noisy_labels, min(a || ' ~ ' || z) FILTER (WHERE k > 1) AS noisy_example "
+            f"FROM (SELECT count(*) AS k, min(v) AS a, max(v) AS z FROM "
             f"(SELECT DISTINCT lower({strip(c)}) AS v FROM t WHERE {c} IS NOT NULL) AS l WHERE length(v) >= 2 "
             f"GROUP BY substring(v, 1, 2)) AS g")
     return f"SELECT * FROM ({union(branches)}) AS l WHERE n_values > 0"
@@ -569,7 +570,7 @@ def _detectors() -> None:
     few = "n_labels <= 100"
     ORACLES["label_stats"] = with_table("dirty_customer", labels) + f"\nSELECT * FROM labels WHERE {few}"
     ORACLES["label_noise"] = with_table("dirty_customer", labels) + (
-        "\nSELECT \"column\", n_labels, noisy_labels FROM labels WHERE n_labels BETWEEN 2 AND 30 AND noisy_labels > 0")
+        "\nSELECT \"column\", n_labels, noisy_labels, noisy_example FROM labels WHERE n_labels BETWEEN 2 AND 30 AND noisy_labels > 0")
     for key, name in (("outlier_columns", "dirty_customer"), ("outlier_columns_events", "events")):
         ORACLES[key] = with_table(name) + (
             "\nSELECT \"column\", outliers, round(outliers * 100.0 / present, 6) AS outlier_pct, "
@@ -756,8 +757,16 @@ def _scores() -> None:
         ("LOW", "correlation", "(SELECT count(DISTINCT column_b) FROM pairs WHERE abs(r) > 0.999)", 0),
         ("LOW", "accuracy", "(SELECT count(*) FROM skewed)", 0),
     ]
-    ORACLES["fixes"] = universal + "\nSELECT fix_rank, priority, dimension, amount FROM (" + union([
-        f"SELECT {i} AS fix_rank, '{p}' AS priority, '{d}' AS dimension, CAST({x} AS DOUBLE) AS amount, {low} AS low"
+    advice = ("fill_missing or drop_sparse_columns, or keep a column that marks the gaps",
+              "drop_duplicate_rows keeps one of each group",
+              "tidy_text makes labels equal that differ in case or padding",
+              "impossible_values lists the broken rules; correct them at the source or make them null",
+              "outlier_rows shows them; cap_outliers moves them to the fence",
+              "Cast the columns that numbers_as_text lists",
+              "Keep one of each pair that high_pairs calls perfect",
+              "Take a logarithm or ranks of the columns that skewed_columns lists")
+    ORACLES["fixes"] = universal + "\nSELECT fix_rank, priority, dimension, amount, advice FROM (" + union([
+        f"SELECT {i} AS fix_rank, '{p}' AS priority, '{d}' AS dimension, CAST({x} AS DOUBLE) AS amount, {low} AS low, {text(advice[i - 1])} AS advice"
         for i, (p, d, x, low) in enumerate(amounts, 1)]) + ") AS f WHERE amount > low"
 
 

@@ -194,12 +194,12 @@ query("part", name="near_duplicates")(lambda df: duplicates.near_duplicates(df,
 query("dirty_customer", name="near_duplicates_dirty")(duplicates.near_duplicates)
 query("dirty_customer", name="mixed_types")(consistency.mixed_types)
 query("documents", name="mixed_types_documents")(consistency.mixed_types)
-query("dirty_customer", name="label_stats")(lambda df: labels.label_stats(df).drop("noisy_example"))
+query("dirty_customer", name="label_stats")(labels.label_stats)
 
 
 @query("dirty_customer")
 def label_noise(df):
-    return accuracy.noisy_labels(labels.label_stats(df)).drop("noisy_example")
+    return accuracy.noisy_labels(labels.label_stats(df))
 
 
 query("dirty_customer", name="outlier_columns")(lambda df: validity.outlier_columns(validity.outlier_counts(df)))
@@ -257,7 +257,7 @@ query("dirty_customer", name="user_weights")(lambda df: audit_plan.audit(
 query("dirty_customer", name="action_list")(lambda df: audit_plan.audit(df, "audit").actions.drop("top_issue"))
 query("dirty_customer", name="findings")(
     lambda df: audit_plan.audit(df, "audit").findings.select("dimension", "finding_rank", "severity", "finding_type", "n"))
-query("dirty_customer", name="fixes")(lambda df: audit_plan.audit(df, "universal", as_of=AS_OF).fixes.drop("advice"))
+query("dirty_customer", name="fixes")(lambda df: audit_plan.audit(df, "universal", as_of=AS_OF).fixes)
 query("dirty_customer", name="score_report")(
     lambda df: audit_plan.score_report(audit_plan.audit(df, "universal", as_of=AS_OF)).drop("position"))
 query("dirty_customer", name="worst_columns")(
