@@ -57,7 +57,7 @@ def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def _named_blocks(texts: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """One row per document with its signatures, and the name of each signature."""
     spark = texts.sparkSession
-    blocks = F.transform(_blocks(F.col("text").cast("binary"), block_bytes), lambda b: b)
+    blocks = _blocks(F.col("text").cast("binary"), block_bytes)
     for seed in range(_SEEDS):
         distinct = (texts.select(F.explode(blocks).alias("block"))
                     .select(_signature(F.col("block"), seed).alias("signature"), "block")

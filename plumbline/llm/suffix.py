@@ -11,8 +11,8 @@ grams (the leftmost of equal ones), so equal strings have equal anchors at the s
 2. For these, the stretches (about 135 bytes) are read. Equal stretches meet by digest with the least
    position kept, before the shuffle; all but the first are removed whole.
 3. Different stretches with one anchor are dealt to shards by anchor. A shard is the text of a run-length
-   index: suffixes are sorted by prefix doubling, the Burrows-Wheeler transform is compressed to runs, and
-   matching lengths are kept at run ends only. Streaming over the text, the match of each place follows from the
+   index: the suffixes at which whole strings start are sorted, by prefix doubling and then in steps; their
+   Burrows-Wheeler transform is compressed to runs, and matching lengths are kept at run ends only. Streaming over the text, the match of each place follows from the
    last run end (its length less the bytes since). Matches of ``length`` or more form classes; all but the first
    place of a class are removed.
 4. An anchor with more different stretches than a shard holds goes another way: all its strings meet by

@@ -21,6 +21,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +108,7 @@ def _scores(texts: list[bytes], counts: np.ndarray) -> np.ndarray:
     return np.bincount(owner, log[1] - log[0], len(texts)) / np.bincount(owner, minlength=len(texts))
 
 
-def scored(urls: DataFrame, counts) -> DataFrame:
+def scored(urls: DataFrame, counts: Broadcast) -> DataFrame:
     """Adds the length-normalised log-likelihood difference of column ``_url``."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = batch.schema.get_field_index("_url")
