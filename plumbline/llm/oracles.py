@@ -103,10 +103,41 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base,
 FROM w LEFT JOIN base USING (doc_id) LEFT JOIN s USING (doc_id)
 """.replace("TEMPLATE_ROWS", ", ".join(f"({i}, '{label}', {text.split(' ')})" for i, (label, text) in enumerate(TEMPLATES)))
 
+_OP11 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT DISTINCT doc_id, words[p] || ' ' || words[p + 1] || ' ' || words[p + 2] || ' ' || words[p + 3] AS gram
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 2)) AS p FROM w WHERE len(words) > 3)
+      UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 3),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2),
+k AS (SELECT a, b FROM l JOIN c p ON p.doc_id = a JOIN c q ON q.doc_id = b WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+e AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r AS (SELECT doc_id, doc_id AS root FROM w UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id WHERE e.b > r.root),
+m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(c.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN c USING (doc_id)
+"""
+
+_OP12 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS documents, CAST(sum(len(terms)) AS BIGINT) AS total FROM d),
+t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM t, s GROUP BY term, documents),
+v AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * documents) // total)))) AS BIGINT) AS score
+      FROM t JOIN f USING (term) JOIN i USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER b AS INTEGER) AS rank, doc_id, score FROM v WHERE score > 0
+WINDOW b AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER b <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op2_reply_trees": _OP2,
     "op3_certified_cutoffs": _OP3,
     "op4_budget_cut": _OP4,
     "op5_block_naming": _OP5,
     "op6_diagonal_votes": _OP6,
+    "op11_minhash_bands": _OP11,
+    "op12_dual_tree": _OP12,
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 import corpus_pipeline
-from plumbline.llm import bpe, chat, licenses, mixing, naming, quality, simhash, suffix, toxicity, urls
+from plumbline.llm import bpe, chat, lexical, licenses, minhash, mixing, naming, quality, simhash, spelling, suffix, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,18 @@ def op10_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_word_convolution": op1_word_convolution,
     "op2_reply_trees": op2_reply_trees,
@@ -75,5 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_merge_rounds": op8_merge_rounds,
     "op9_run_length_index": op9_run_length_index,
     "op10_simhash_balls": op10_simhash_balls,
+    "op11_minhash_bands": op11_minhash_bands,
+    "op12_dual_tree": op12_dual_tree,
+    "op13_fm_index": op13_fm_index,
     "pipeline": corpus_pipeline.run,
 }
