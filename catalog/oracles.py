@@ -902,3 +902,5 @@ def _more() -> None:
 
 for _build in (_profile, _classifier, _explorer, _detectors, _scores, _cleaning, _sources, _layouts, _more):
     _build()
+
+from catalog import features_sql  # noqa: E402, F401  (adds its SQL)

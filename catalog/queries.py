@@ -372,3 +372,5 @@ def _layouts(df: DataFrame) -> DataFrame:
 
 query("events", name="date_layouts")(lambda df: classify.date_parse_share(_layouts(df)))
 query("events", name="future_dates_layouts")(lambda df: validity.future_dates(_layouts(df), AS_OF))
+
+from catalog import features  # noqa: E402, F401  (registers its queries)

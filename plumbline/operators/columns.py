@@ -125,14 +125,15 @@ def normalise(df: DataFrame) -> DataFrame:
     return df.withColumns({n: without_nan(column_ref(n)).cast(df.schema[n].dataType) for n in floats})
 
 
-def cells(df: DataFrame, columns: list[TableColumn], value: Callable[[TableColumn], Column] | None = None) -> DataFrame:
-    """(slot, value): one row per cell of the given columns, nulls included.
+def cells(df: DataFrame, columns: list[TableColumn], value: Callable[[TableColumn], Column] | None = None,
+          keep: Iterable[str] = ()) -> DataFrame:
+    """(slot, value): one row per cell of the given columns, nulls included; columns to ``keep`` come first.
 
     One scan of just these columns. Grouping by slot keeps the plan the same size for any
     number of columns, and is combined on the map side to a row per column and task.
     """
     slots = [(c.cell if value is None else value(c)).alias(c.slot) for c in columns]
-    return df.select(*slots).unpivot([], [c.slot for c in columns], "slot", "value")
+    return df.select(*keep, *slots).unpivot(list(keep), [c.slot for c in columns], "slot", "value")
 
 
 def blocks(columns: list, size: int = COLUMNS_PER_SCAN) -> list[list]:

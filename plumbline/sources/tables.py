@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
@@ -27,6 +29,16 @@ def read_table(spark: SparkSession, path: str, format: str | None = None, *,
     return df
 
 
+def read_sources(spark: SparkSession, paths: dict[str, str] | list[str], source_column: str = "source", **options) -> DataFrame:
+    """Several files as one table: columns are matched by name, those that a file lacks are null, and ``source_column``
+    names the file, by its key or by its path. Types must agree or widen to a common one; ``options`` are those of ``read_table``."""
+    named = paths if isinstance(paths, dict) else {p: p for p in paths}
+    if not named:
+        raise ValueError("no files to read")
+    tables = [read_table(spark, path, **options).withColumn(source_column, F.lit(name)) for name, path in named.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def check_table(df: DataFrame) -> None:
     if not df.columns:
         raise ValueError("no columns: the file is blank or not formatted as a table")
