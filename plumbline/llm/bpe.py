@@ -68,6 +68,17 @@ class Vocabulary:
         self.piece_start = np.cumsum(self.piece_length) - self.piece_length
 
 
+def _broadcast(df: DataFrame, path: str) -> Broadcast:
+    """The tables of a file as plain values: an object of a class of this package would need the package on every worker."""
+    return df.sparkSession.sparkContext.broadcast(vars(Vocabulary(path)))
+
+
+def _received(shared: Broadcast) -> Vocabulary:
+    vocabulary = object.__new__(Vocabulary)
+    vars(vocabulary).update(shared.value)
+    return vocabulary
+
+
 def _slices(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The positions of many slices, one after the other."""
     ends = np.cumsum(length)
@@ -178,7 +189,7 @@ def _parts(texts: list[str]) -> Iterable[list[str]]:
 def _once(state: dict[str, Encoder], vocabulary: Broadcast) -> Encoder:
     """The encoder of this task."""
     if "encoder" not in state:
-        state["encoder"] = Encoder(vocabulary.value)
+        state["encoder"] = Encoder(_received(vocabulary))
     return state["encoder"]
 
 
@@ -186,30 +197,40 @@ def _texts(df: DataFrame, text_column: str) -> Column:
     return F.coalesce(df[text_column], F.lit(""))
 
 
-def with_tokens(docs: DataFrame, path: str, text_column: str = "text", tokens_column: str = "tokens") -> DataFrame:
-    """Adds a column with the token ids of each whole text."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+def _digest(ids: np.ndarray, vocabulary: Vocabulary) -> str:
+    return hashlib.sha256(decode_ids(ids, vocabulary).encode()).hexdigest()
+
+
+def with_tokens(docs: DataFrame, path: str, text_column: str = "text", tokens_column: str = "tokens", decoded_column: str | None = None) -> DataFrame:
+    """Adds a column with the token ids of each whole text and, if named, one with the SHA-256 of the text that the ids
+    decode to. Columns of these names are replaced."""
+    vocabulary = _broadcast(docs, path)
     state: dict[str, Encoder] = {}
-    names = [*docs.columns, tokens_column]
+    added = [tokens_column] + ([decoded_column] if decoded_column else [])
+    kept = [c for c in docs.columns if c not in added]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = _once(state, vocabulary)
         ids = [x for part in _parts(batch.column(batch.num_columns - 1).to_pylist()) for x in encoder.encode(part)]
         ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
         flat = np.concatenate([*ids, np.zeros(0, np.int32)])
-        tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], tokens], names)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
-    return map_batches(docs.select(*docs.columns, _texts(docs, text_column).alias("_text")), run,
-                       f"{kinds}, `{tokens_column}` array<int>")
+        found = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+        if decoded_column:
+            found.append(pa.array([_digest(x, encoder.vocabulary) for x in ids], pa.string()))
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], [*kept, *added])
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"`{tokens_column}` array<int>"]
+    if decoded_column:
+        kinds.append(f"`{decoded_column}` string")
+    return map_batches(docs.select(*[docs[f"`{c}`"] for c in kept], _texts(docs, text_column).alias("_text")), run, ", ".join(kinds))
 
 
 def decoded(df: DataFrame, path: str, id_column: str = "doc_id", tokens_column: str = "tokens") -> DataFrame:
     """The id and the text of each row's tokens; null tokens give an empty text."""
-    vocabulary = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    shared = _broadcast(df, path)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [decode_ids(np.array(x or [], np.int64), vocabulary.value) for x in batch.column(1).to_pylist()]
+        vocabulary = _received(shared)
+        texts = [decode_ids(np.array(x or [], np.int64), vocabulary) for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_column, "text"])
     return map_batches(df.select(id_column, df[tokens_column].cast("array<int>")), run,
                        f"`{id_column}` {df.schema[id_column].dataType.simpleString()}, text string")
@@ -217,7 +238,7 @@ def decoded(df: DataFrame, path: str, id_column: str = "doc_id", tokens_column:
 
 def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Encodes every text, decodes the ids again, and returns the digests of both."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    vocabulary = _broadcast(docs, path)
     state: dict[str, Encoder] = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -227,7 +248,7 @@ def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
             for ids in encoder.encode(part):
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(decode_ids(ids, vocabulary.value).encode()).hexdigest())
+                text_sha.append(_digest(ids, encoder.vocabulary))
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
             [id_column, "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.sources.staging import staged, staged_path
 
 __all__ = ["BLANKS", "NOT_BLANK", "by_value", "collapsed", "column_or_null", "drop_staged", "let", "map_batches", "packed", "release", "split_collapsed", "split_words",
-           "staged", "staged_path", "word_count"]
+           "staged", "staged_path", "whole_row", "word_count"]
 
 # ASCII white space, and a run of anything else: what the operators call a word.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -54,6 +54,11 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return df[name] if name in df.columns else F.lit(None).cast(kind)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a table as the struct ``row``; ``row.*`` gives them back."""
+    return F.struct(*[df[f"`{c}`"].alias(c) for c in df.columns]).alias("row")
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 256) -> DataFrame:
     """Applies a function to slices of Arrow batches; a worker's memory follows the slice. Rows stay in their partitions."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import column_or_null, split_words, staged, word_count
+from plumbline.llm.common import column_or_null, split_words, staged, whole_row, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -31,14 +31,13 @@ MOST = 2
 RANGE_ROWS = 4096
 
 
-def _sizes(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
-    return docs.select(docs[id_column].alias("id"), column_or_null(docs, source_column, "string").alias("source"),
-                       word_count(docs[text_column]).alias("size"), _key(docs, id_column, text_column).alias("key"))
+def _sizes(docs: DataFrame, row: Column, id_: Column, text: Column, source: Column) -> DataFrame:
+    return docs.select(row.alias("row"), id_.alias("id"), source.alias("source"), word_count(text).alias("size"), _key(id_, text).alias("key"))
 
 
-def _key(docs: DataFrame, id_column: str, text_column: str) -> Column:
+def _key(id_: Column, text: Column) -> Column:
     """A hash-random number of 60 bits."""
-    digest = F.md5(F.concat_ws(" ", docs[id_column].cast("string"), docs[text_column]))
+    digest = F.md5(F.concat_ws(" ", id_.cast("string"), text))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -61,47 +60,47 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
 def _taken(sizes: DataFrame, goal: DataFrame, range_rows: int) -> DataFrame:
     ranges = F.greatest(F.lit(1), F.ceil(F.col("documents") / F.lit(float(range_rows)))).cast("long")
     placed = (sizes.join(goal, sizes["source"].eqNullSafe(goal["source"]))
-              .select("id", "size", "key", "number", "source_size", "target",
+              .select("row", "id", "size", "key", "number", "source_size", "target",
                       F.shiftright(F.shiftright("key", 28) * ranges, 32).alias("range")))
     totals = placed.groupBy("number", "range").agg(F.sum("size").alias("words"))
     offsets = totals.select("number", "range", F.coalesce(F.sum("words").over(
         Window.partitionBy("number").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("number", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("number", "range").orderBy("key", "id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     summed = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["number", "range"])
     budget = F.floor("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.expr("CAST(floor(target) AS BIGINT) div source_size")).otherwise(F.lit(0))
     rest = budget - passes * F.col("source_size") - F.col("inside") - F.col("offset")
-    return summed.select("id", "key", "size", "source_size", "target",
+    return summed.select("row", "id", "size", "source_size", "target",
                          (passes * F.col("size") + F.least(F.col("size"), F.greatest(rest, F.lit(0)))).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST,
           id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
           range_rows: int = RANGE_ROWS) -> DataFrame:
-    """One row per document: id, key, size, source_size, target and taken (words, repeats counted)."""
-    sizes = staged(_sizes(docs, id_column, text_column, source_column), "sizes")
+    """One row per document: id, size, source_size, target and taken (words, repeats counted)."""
+    source = column_or_null(docs, source_column, "string")
+    sizes = staged(_sizes(docs, F.lit(0), docs[id_column], docs[text_column], source), "sizes")
     goal = staged(targets(sizes, weights, share, most), "targets")
-    return _taken(sizes, goal, range_rows)
+    return _taken(sizes, goal, range_rows).drop("row")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST,
         id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
-        length_column: str = "n_chars") -> DataFrame:
+        length_column: str = "n_chars", range_rows: int = RANGE_ROWS) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each pass over a document. The text at a
-    source's cut ends with the last word taken (its words joined by spaces, its length renewed)."""
-    found = mixed(docs, weights, share, most, id_column, text_column, source_column).where("taken > 0")
-    plan = staged(found.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size"))
-                  .agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows")), "plan")
-    marked = docs.withColumn("_hash", _key(docs, id_column, text_column))
-    joined = marked.join(plan, marked[id_column].eqNullSafe(plan["_id"]) & (marked["_hash"] == plan["_key"]))
-    if not plan.where("_rows > 1").isEmpty():  # rows that agree share one plan
-        joined = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["_id", "_key"]))
-    passes = joined.withColumn("_pass", F.explode(F.expr("sequence(0L, (_taken - 1) div _size)")))
-    words = passes.withColumn("_words", F.least("_size", F.col("_taken") - F.col("_pass") * F.col("_size")))
-    cut = words.withColumn(text_column, F.when(F.col("_words") < F.col("_size"), F.array_join(
-        F.slice(split_words(F.col(text_column)), F.lit(1), F.col("_words").cast("int")), " ")).otherwise(F.col(text_column)))
+    source's cut ends with the last word taken (its words joined by spaces, its length renewed). Rows are
+    numbered and written before they are planned, so every row keeps its own columns, whatever its id and text."""
+    numbered = staged(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("number")), "numbered")
+    row = F.col("row")
+    source = row[source_column] if source_column in docs.columns else F.lit(None).cast("string")
+    sizes = staged(_sizes(numbered, F.col("number"), row[id_column], row[text_column], source), "sizes")
+    goal = staged(targets(sizes, weights, share, most), "targets")
+    plan = _taken(sizes, goal, range_rows).where("taken > 0").select(F.col("row").alias("number"), "size", "taken")
+    passes = numbered.join(plan, "number").select("row", "size", "taken", F.explode(F.expr("sequence(0L, (taken - 1) div size)")).alias("pass"))
+    words = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))
+    whole = words == F.col("size")
+    text = F.when(whole, row[text_column]).otherwise(F.array_join(F.slice(split_words(row[text_column]), F.lit(1), words.cast("int")), " "))
+    found = {text_column: text}
     if length_column in docs.columns:
-        kind = docs.schema[length_column].dataType
-        cut = cut.withColumn(length_column, F.when(F.col("_words") < F.col("_size"), F.char_length(text_column).cast(kind))
-                             .otherwise(F.col(length_column)))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+        found[length_column] = F.when(whole, row[length_column]).otherwise(F.char_length(text).cast(docs.schema[length_column].dataType))
+    return passes.select(*[found.get(c, row[c]).alias(c) for c in docs.columns])

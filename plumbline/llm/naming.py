@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BLANKS, drop_staged, staged, staged_path
+from plumbline.llm.common import BLANKS, drop_staged, staged, staged_path, whole_row
 
 BLOCK_BYTES = 4096
 _SEEDS = 16
@@ -134,12 +134,12 @@ def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column: s
 def kept_documents(docs: DataFrame, decisions: DataFrame, id_column: str, digest: Column) -> DataFrame:
     """The rows of ``docs`` whose decision says kept. Rows that agree in id and digest share decisions;
     as many of them stay as there are kept decisions, which is one or none."""
-    keys = [F.col(id_column).alias("_id"), F.col("text_sha256").alias("_sha")]
-    verdicts = decisions.groupBy(*keys).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")).where("_kept")
+    keys = [F.col(id_column).alias("id"), F.col("text_sha256").alias("sha")]
+    verdicts = decisions.groupBy(*keys).agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("kept")
     verdicts = staged(verdicts, "verdicts")
-    marked = docs.withColumn("_digest", digest)
-    found = marked.join(verdicts, marked[id_column].eqNullSafe(verdicts["_id"]) & (marked["_digest"] == verdicts["_sha"]))
-    if verdicts.where("_rows > 1").isEmpty():
-        return found.select(*[marked[c] for c in docs.columns])
-    twins = found.where("_rows > 1").dropDuplicates(["_id", "_sha"])
-    return found.where("_rows = 1").unionByName(twins).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The row travels as one struct, so no name of its columns can clash.
+    marked = docs.select(whole_row(docs), docs[id_column].alias("own_id"), digest.alias("own_sha"))
+    found = marked.join(verdicts, marked["own_id"].eqNullSafe(verdicts["id"]) & (marked["own_sha"] == verdicts["sha"]))
+    if not verdicts.where("rows > 1").isEmpty():
+        found = found.where("rows = 1").unionByName(found.where("rows > 1").dropDuplicates(["own_id", "own_sha"]))
+    return found.select("row.*")

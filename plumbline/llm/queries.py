@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-import corpus_pipeline
 from plumbline.llm import bpe, chat, lexical, licenses, minhash, mixing, naming, quality, simhash, spelling, suffix, toxicity, urls
 
 
@@ -90,5 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_minhash_bands": op11_minhash_bands,
     "op12_dual_tree": op12_dual_tree,
     "op13_fm_index": op13_fm_index,
-    "pipeline": corpus_pipeline.run,
 }

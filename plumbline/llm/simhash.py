@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import by_value, map_batches, staged
+from plumbline.llm.naming import kept_documents
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -128,19 +129,13 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                      shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all columns. Of rows that agree in
-    this id one stays; a component whose ids are all null stays whole."""
-    groups = staged(near_groups(docs, id_column, text_column, shingle_words, radius), "near_groups")
-    kept = groups.where(F.col(id_column).isNull() | (F.col(id_column) == F.col("component_id")))
-    ids = staged(kept.groupBy(F.col(id_column).alias("_id")).agg(F.count("*").alias("_rows")), "kept_ids")
-    dropped = groups.select(F.col(id_column).alias("_id")).distinct().join(ids, "_id", "left_anti").where("_id IS NOT NULL")
-    dropped = staged(dropped, "dropped_ids")
-    left = docs.join(dropped, docs[id_column] == dropped["_id"], "left_anti")
-    twins = ids.where("_rows > 1 AND _id IS NOT NULL")
-    if twins.isEmpty():
-        return left
-    once = left.join(twins, left[id_column] == twins["_id"], "left_semi").dropDuplicates([id_column])
-    return left.join(twins, left[id_column] == twins["_id"], "left_anti").unionByName(once)
+    """One document of each component with all its columns: the one with the smallest id (null last), of equal ids the one
+    with the smallest digest of its text. Rows are judged one by one, so rows that share an id without being near copies all stay."""
+    digest = F.sha2(F.coalesce(docs[text_column], F.lit("")), 256)
+    own = F.struct(docs[id_column].isNull().alias("last"), docs[id_column].alias("id"), digest.alias("sha"))
+    groups = near_groups(docs.select(own.alias("own"), docs[text_column].alias("text")), "own", "text", shingle_words, radius)
+    decisions = groups.select(F.col("own.id").alias(id_column), F.col("own.sha").alias("text_sha256"), (F.col("own") == F.col("component_id")).alias("kept"))
+    return kept_documents(docs, staged(decisions, "near_decisions"), id_column, digest)
 
 
 by_value(__name__)

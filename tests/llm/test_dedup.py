@@ -115,6 +115,12 @@ def test_drop_near_copies(spark):
     assert texts.count("one two three four five") == 1 and sum((t or "").startswith("w0x0 w1x1") for t in texts) == 1
 
 
+def test_near_copies_are_judged_by_row_and_not_by_id(spark):
+    docs = [(8, "a b c d e f"), (8, "an unrelated text under the same id"), (None, "A b c d e F"), (None, "null id, own text"), (9, "A B c d e f")]
+    found = sorted(r.text for r in simhash.drop_near_copies(table(spark, docs)).collect())
+    assert found == sorted([docs[0][1], docs[1][1], docs[3][1]])
+
+
 def brute_repeats(docs, length):
     seen, found = set(), []
     for i, text in sorted(docs, key=lambda d: d[0]):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
@@ -202,7 +202,15 @@ def brute_variants(docs):
                 run = run[:h % len(run)] + run[h % len(run) + 1:]
             counts[run] += 1
     counts = {w: n for w, n in counts.items() if len(w) >= 7 and n >= 2}
-    near = {w: [v for v in counts if one_edit(w, v)] for w in counts}
+    # Words one edit apart have a word in common after one character has been taken out, or kept, on either side.
+    cut = defaultdict(set)
+    for w in counts:
+        for v in {w, *(w[:i] + w[i + 1:] for i in range(len(w)))} if len(w) < 100 else {w}:
+            cut[v].add(w)
+    near = {w: [] for w in counts}
+    for a, b in {(a, b) for group in cut.values() for a in group for b in group}:
+        if one_edit(a, b):
+            near[a].append(b)
     form = {}
     for w, others in near.items():
         best = min(others, key=lambda v: (-counts[v], v), default=None)

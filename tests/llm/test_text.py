@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import public_tokenizers
@@ -120,6 +121,19 @@ def test_mix_emits_what_it_takes(spark):
     assert +taken == +emitted
 
 
+def test_mix_keeps_rows_apart_that_share_id_and_text(spark):
+    rows = [(1, "a b c", "s0", "first"), (1, "a b c", "s1", "second"), (1, "a b c", "s1", "third"), (2, "d e f g", "s0", "fourth"), (None, "h", None, "fifth")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, note string")
+    sizes, goals = Counter(), {}
+    for r in mixing.mixed(docs).collect():
+        goals[(r.source_size, r.target)] = goals.get((r.source_size, r.target), 0) + r.taken
+    for r in mixing.mix(docs, range_rows=2).collect():
+        assert (r.doc_id, r.source, r.note) in {(i, s, n) for i, _, s, n in rows}
+        sizes[r.source] += len(r.text.split())
+    assert Counter(sizes.values()) == Counter(goals.values()) and set(sizes) == {"s0", "s1", None}
+    assert all(int(target) == taken for (_, target), taken in goals.items())
+
+
 def test_cutoffs_hold_only_what_the_binomial_proves(spark):
     from math import comb
     frame = spark.createDataFrame([(float(n), float(k)) for n, k in ((200, 0), (200, 1), (500, 3), (5, 0), (1000, 9), (0, 0), (100_000, 900))], "n double, k double")
@@ -212,6 +226,12 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in found]) > 0.95
     again = toxicity.scored(table(spark, CASES), label_table).collect()
     assert len(again) == len(CASES) and all(0 <= r.score <= 1 for r in again)
+    # A shared label table, and one labelled id in many rows: the sample is drawn from rows of this table, one an id.
+    foreign = spark.range(10_000, 2_010_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic").unionByName(label_table)
+    many = table(spark, texts).unionByName(table(spark, [texts[0]] * 3000))
+    assert Counter(toxicity.scored(many, foreign).where("held_out").select("doc_id", "predicted").distinct().collect()) == Counter(
+        (r.doc_id, r.predicted) for r in found)
+    assert len(toxicity._sample(many, foreign, "doc_id", "text", "lang", "doc_id", "toxic")[0]) == sum(crc32(str(i).encode()) % 3 != 1 for i in range(900))
     unlabelled = toxicity.scored(table(spark), label_table.where("false")).collect()
     assert {r.score for r in unlabelled} == {0.0}
 
@@ -225,6 +245,40 @@ def test_texts_are_scored_alike_alone_and_together():
     assert np.allclose(model.logits(texts), [model.logits([t])[0] for t in texts], atol=1e-4)
 
 
+def test_convolution_and_gradients_against_plain_loops():
+    random.seed(9)
+    texts = [toxicity.buckets([f"w{random.randint(0, 40)}".encode() for _ in range(random.randint(1, 12))] + [b""] * 2) for _ in range(6)]
+    labels = np.array([0, 1, 0, 1, 1, 0])
+    model = toxicity.trained(texts * 5, np.tile(labels, 5))
+    rng, words = np.random.default_rng(3), [[b"w1", b"w2", b"w3", b""], [b"w9", b"", b""]]
+    for text in words + [[b"w5", b"", b""]]:
+        rows = model.table[toxicity.buckets(text)].sum(axis=1)
+        pooled = [max(sum(rows[at + j] @ f[j, :, k] for j in range(len(f))) for at in range(len(text) - 2)) for f in model.filters for k in range(f.shape[2])]
+        assert np.isclose(np.maximum(np.array(pooled) + model.bias, 0) @ model.output + model.constant, model.logits([text])[0], atol=1e-4)
+    parts = [p.astype(np.float64) for p in (model.table, *model.filters, model.bias + 0.05, model.output, np.array([model.constant]))]
+    weight = np.linspace(0.5, 1.5, len(texts))
+
+    def loss(table_, f1, f2, f3, bias, output, constant):
+        total = 0.0
+        for text, label, w in zip(texts, labels, weight):
+            rows = table_[text].sum(axis=1)
+            pooled = np.concatenate([np.max([sum(rows[at + j] @ f[j] for j in range(len(f))) for at in range(len(text) - 2)], axis=0) for f in (f1, f2, f3)])
+            logit = np.maximum(pooled + bias, 0) @ output + constant[0]
+            total += w * (np.log1p(np.exp(-abs(logit))) + max(logit, 0) - label * logit)
+        return total / len(texts)
+    touched, gradients = toxicity._gradients(texts, labels, weight, parts[0], parts[1:4], *parts[4:])
+    for n, gradient in enumerate(gradients):
+        for _ in range(5):
+            at = tuple(rng.integers(0, s) for s in gradient.shape)
+            place = (touched[at[0]], *at[1:]) if n == 0 else at
+            sides = []
+            for step in (1e-5, -1e-5):
+                moved = [p.copy() for p in parts]
+                moved[n][place] += step
+                sides.append(loss(*moved))
+            assert (sides[0] - sides[1]) / 2e-5 == pytest.approx(gradient[at], abs=1e-4)
+
+
 def test_empty_tables(spark):
     docs = empty(spark)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
