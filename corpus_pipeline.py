@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet to
 the staging folder and reads it again for the next stage. All stages but the last return the columns of
-documents; the last adds the tokens of each text.
+documents; the last adds the tokens of each text and the digest of what they decode to.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import public_tokenizers  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
-from plumbline.llm import bpe, mixing, naming, quality, similar  # noqa: E402
+from plumbline.llm import bpe, mixing, naming, quality, simhash  # noqa: E402
 from plumbline.llm.common import staged  # noqa: E402
 
 
@@ -30,8 +30,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, similarity 0.8) the document with the smallest id stays."""
-    return similar.drop_near_copies(docs)
+    """Of each component of fingerprints that differ in two bits at most the document with the smallest id stays."""
+    return simhash.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the token ids of each text."""
-    return bpe.with_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Adds the token ids of each text, and the digest of the text that they decode to."""
+    return bpe.with_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded_column="decoded_sha256")
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
