@@ -221,7 +221,8 @@ def with_tokens(docs: DataFrame, path: str, text_column: str = "text", tokens_co
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"`{tokens_column}` array<int>"]
     if decoded_column:
         kinds.append(f"`{decoded_column}` string")
-    return map_batches(docs.select(*[docs[f"`{c}`"] for c in kept], _texts(docs, text_column).alias("_text")), run, ", ".join(kinds))
+    unused = max(kept, key=len, default="") + "_text"  # longer than any name of the input
+    return map_batches(docs.select(*[docs[f"`{c}`"] for c in kept], _texts(docs, text_column).alias(unused)), run, ", ".join(kinds))
 
 
 def decoded(df: DataFrame, path: str, id_column: str = "doc_id", tokens_column: str = "tokens") -> DataFrame:
