@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from catalog.queries import query
-from plumbline.operators import checks, summaries, unify
+from plumbline.operators import checks, convert, encoding, summaries, tfidf, unify
 from plumbline.operators.checks import Dependency, Reference, RowRule
 from plumbline.sources.staging import staged, staged_path
+from plumbline.sources.nested import read_json
 from plumbline.sources.tables import read_sources
 
 # ------------------------------------------------------------ several tables
@@ -96,3 +97,114 @@ def _misspelt(df: DataFrame) -> DataFrame:
 
 query("customer", name="label_spellings")(lambda df: unify.label_map(_misspelt(df)))
 query("customer", name="unified_labels")(lambda df: unify.unify_labels(_misspelt(df), ["segment"]))
+
+# ----------------------------------------------------------------- encodings
+
+
+@query("orders")
+def target_encoding(df):
+    """Order value by priority, each row from the folds it isn't in."""
+    return encoding.target_encoding(df, "o_orderpriority", "o_totalprice", "o_orderkey").select("o_orderkey", "o_orderpriority", "o_orderpriority_target")
+
+
+def _fitted(df: DataFrame) -> DataFrame:
+    return df.where("c_nationkey < 12").withColumnRenamed("c_mktsegment", "segment")
+
+
+@query("customer")
+def scaled(df):
+    """Fitted on some nations, stored, and applied to all."""
+    parameters = [encoding.fit_scaling(_fitted(df), ["c_acctbal", "c_nationkey"], m) for m in (encoding.STANDARD, encoding.SPAN, encoding.ROBUST)]
+    stored = staged(parameters[0].unionByName(parameters[1]).unionByName(parameters[2]), "fitted")
+    return encoding.apply_encodings(df, stored).drop("c_name", "c_mktsegment")
+
+
+@query("customer")
+def one_hot(df):
+    """Three segments by name, the rest as other: misspelt labels weren't in the fitted table."""
+    stored = staged(encoding.fit_one_hot(_fitted(df), ["segment"], 3), "fitted")
+    return encoding.apply_encodings(_misspelt(df), stored).drop("segment", "c_name")
+
+
+@query("customer")
+def frequency_encoded(df):
+    stored = staged(encoding.fit_frequencies(_fitted(df), ["segment"]), "fitted")
+    return encoding.apply_encodings(_misspelt(df), stored).drop("c_name")
+
+
+@query("customer")
+def target_fitted(df):
+    """Target means fitted on some nations for the labels of all, unseen ones included."""
+    stored = staged(encoding.fit_target(_fitted(df), ["segment"], "c_acctbal"), "fitted")
+    return encoding.apply_encodings(_misspelt(df), stored).drop("c_name")
+
+
+@query("documents")
+def tfidf_documents(df):
+    """The vectors of whole texts, one row per index and weight."""
+    vectors, _ = tfidf.tfidf(df, "doc_id", "text")
+    return vectors.select("doc_id", F.explode(F.arrays_zip("indices", "weights")).alias("x")).select("doc_id", F.col("x.indices").alias("index"), F.col("x.weights").alias("weight"))
+
+
+@query("documents")
+def tfidf_vocabulary(df):
+    return tfidf.vocabulary(staged(tfidf.term_counts(df, "doc_id", "text"), "counts"))
+
+
+# ---------------------------------------------------------------- conversion
+
+TEXTS = """SELECT c_custkey, c_name, CASE c_custkey % 7 WHEN 0 THEN '1,234.50' WHEN 1 THEN concat(' ', CAST(c_custkey AS STRING), ' ') WHEN 2 THEN '12.0'
+    WHEN 3 THEN '99999999999999999999' WHEN 4 THEN 'about 5' WHEN 5 THEN '' ELSE '3.25' END AS amount,
+  CASE c_custkey % 9 WHEN 0 THEN '2024-02-29' WHEN 1 THEN '2023-02-29' WHEN 2 THEN '31/12/2020' WHEN 3 THEN '20240120' WHEN 4 THEN 'Jan 2024' WHEN 5 THEN '7 Mar 2021'
+    WHEN 6 THEN '05/06/2022 03:15 PM' WHEN 7 THEN 'soon' END AS day,
+  CASE c_custkey % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN 'FALSE' WHEN 2 THEN '1' WHEN 3 THEN 'maybe' END AS flag FROM {customer}"""
+
+
+def _conversion(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    texts = df.sparkSession.sql(TEXTS, customer=df)
+    return convert.convert(texts.withColumn("whole", F.col("amount")), {"amount": "double", "whole": "bigint", "day": "timestamp", "flag": "boolean"}, "c_custkey")
+
+
+query("customer", name="converted")(lambda df: _conversion(df)[0].withColumn("day", F.col("day").cast("timestamp_ntz")))
+query("customer", name="rejected_cells")(lambda df: _conversion(df)[1])
+query("dirty_customer", name="suggested_types")(convert.suggested_types)
+
+
+@query("documents")
+def repaired_text(df):
+    """Double encoding, decomposed letters and odd blanks planted in every third text and repaired again."""
+    damaged = df.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"))
+                        .when(F.col("doc_id") % 3 == 1, F.regexp_replace(F.replace("text", F.lit("\u00e9"), F.lit("e\u0301")), " ", "  \t")).otherwise(F.col("text")).alias("text"))
+    return convert.repair_text(damaged)
+
+
+# ---------------------------------------------------------------------- JSON
+
+
+def _json_lines(df: DataFrame):
+    """Events as JSON lines with an object, an array of objects and an array of numbers; every fiftieth is cut short."""
+    line = F.to_json(F.struct("event_id", "event_type", F.from_json("props", "k INT").alias("props"), F.struct(F.col("value").alias("amount"), F.struct(
+        F.col("user_id").alias("id")).alias("user")).alias("detail"), F.expr("transform(sequence(1, event_id % 3 + 1), x -> struct(x AS rank, "
+        "transform(sequence(1, x), y -> y * event_id) AS hits))").alias("steps")))
+    path = staged_path(df.sparkSession, "events.json")
+    df.select(F.when(F.col("event_id") % 50 == 7, F.substring(line, 1, 30)).otherwise(line).alias("value")).write.text(path)
+    return read_json(df.sparkSession, path)
+
+
+@query("events")
+def json_events(df):
+    """The records as a flat table."""
+    return _json_lines(df).rows.drop("record")
+
+
+@query("events")
+def json_nested(df):
+    """The arrays in the arrays, under the events they belong to."""
+    tables = _json_lines(df)
+    keys = tables.rows.select("record", "event_id")
+    steps = tables.sides["steps"].select("record", "position", "rank")
+    return tables.sides["steps.hits"].join(steps, ["record", "position"]).join(keys, "record").drop("record")
+
+
+query("events", name="json_report")(lambda df: _json_lines(df).report())
+query("events", name="json_bad_lines")(lambda df: _json_lines(df).bad.select("line"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalog.oracles import ORACLES
+from catalog.oracles import ORACLES, SCHEMAS, union, with_table
 
 ORDERS = [("o_orderkey", "bigint", "number"), ("o_custkey", "bigint", "number"), ("o_orderstatus", "string", "string"), ("o_totalprice", "double", "number"),
           ("o_orderdate", "timestamp_ntz", "datetime"), ("o_orderpriority", "string", "string")]
@@ -120,3 +120,75 @@ named AS (SELECT col, label, n, first_value(label) OVER (PARTITION BY col, root
 ORACLES["label_spellings"] = f"WITH RECURSIVE {_MISSPELT} SELECT col AS column, label, n, unified FROM named"
 ORACLES["unified_labels"] = f"""WITH RECURSIVE {_MISSPELT}
 SELECT c_custkey, unified AS segment, c_name FROM m LEFT JOIN named ON named.col = 'segment' AND named.label = m.segment"""
+
+ORACLES["target_encoding"] = """WITH t AS (SELECT *, ('0x' || md5(CAST(o_orderkey AS VARCHAR))[1:7])::BIGINT % 5 AS fold FROM orders),
+c AS (SELECT o_orderpriority AS p, fold, sum(o_totalprice) AS s, count(o_totalprice) AS n FROM t GROUP BY ALL),
+g AS (SELECT fold, (sum(s) OVER () - s) / (sum(n) OVER () - n) AS mean FROM (SELECT fold, sum(s) AS s, sum(n) AS n FROM c GROUP BY fold)),
+e AS (SELECT p, fold, (sum(s) OVER w - s + 20 * mean) / (sum(n) OVER w - n + 20) AS v FROM c JOIN g USING (fold) WINDOW w AS (PARTITION BY p))
+SELECT o_orderkey, o_orderpriority, round(v, 6) AS o_orderpriority_target FROM t JOIN e ON e.fold = t.fold AND e.p IS NOT DISTINCT FROM o_orderpriority"""
+
+_FITTED = "WITH f AS (SELECT *, c_mktsegment AS segment FROM customer WHERE c_nationkey < 12)"
+_SCALES = {"standard": ("avg({c})", "stddev_samp({c})"), "span": ("min({c})", "max({c}) - min({c})"),
+           "robust": ("quantile_cont(CAST({c} AS DOUBLE), 0.5)", "quantile_cont(CAST({c} AS DOUBLE), 0.75) - quantile_cont(CAST({c} AS DOUBLE), 0.25)")}
+ORACLES["scaled"] = _FITTED + " SELECT c_custkey, c_nationkey, round(c_acctbal, 6) AS c_acctbal, " + ", ".join(
+    f"round(({c} - (SELECT {a.format(c=c)} FROM f)) / (SELECT {b.format(c=c)} FROM f), 6) AS {c}_{step}"
+    for c in ("c_acctbal", "c_nationkey") for step, (a, b) in _SCALES.items()) + " FROM customer"
+
+_LABELS = _MISSPELT[:_MISSPELT.index("counts AS")].rstrip().rstrip(",")
+ORACLES["one_hot"] = f"""{_FITTED}, k AS (SELECT segment, row_number() OVER (ORDER BY count(*) DESC, segment) AS r FROM f GROUP BY segment QUALIFY r <= 3), {_LABELS}
+SELECT c_custkey, """ + ", ".join(f"CAST(k.r IS NOT NULL AND k.r = {n} AS INTEGER) AS segment_{n}" for n in (1, 2, 3)) + """,
+  CAST(m.segment IS NOT NULL AND k.r IS NULL AS INTEGER) AS segment_other, CAST(m.segment IS NULL AS INTEGER) AS segment_null FROM m LEFT JOIN k ON k.segment = m.segment"""
+ORACLES["frequency_encoded"] = f"""{_FITTED}, k AS (SELECT segment, count(*) / sum(count(*)) OVER () AS share FROM f GROUP BY segment), {_LABELS}
+SELECT c_custkey, m.segment, round(coalesce(share, 0), 6)::DOUBLE AS segment_frequency FROM m LEFT JOIN k ON k.segment = m.segment"""
+ORACLES["target_fitted"] = f"""{_FITTED}, o AS (SELECT avg(c_acctbal) AS mean FROM f),
+k AS (SELECT segment, (sum(c_acctbal) + 20 * any_value(mean)) / (count(*) + 20) AS v FROM f, o GROUP BY segment), {_LABELS}
+SELECT c_custkey, m.segment, round(coalesce(v, mean), 6) AS segment_target FROM m LEFT JOIN k ON k.segment = m.segment, o"""
+
+_TERMS = """t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), v AS (SELECT term, count(*) AS df, row_number() OVER (ORDER BY term) - 1 AS index FROM tf GROUP BY term)"""
+ORACLES["tfidf_vocabulary"] = f"WITH {_TERMS} SELECT * FROM v"
+ORACLES["tfidf_documents"] = f"""WITH {_TERMS}, w AS (SELECT doc_id, index, tf * (ln((1.0::DOUBLE + (SELECT count(DISTINCT doc_id) FROM t)) / (df + 1)) + 1) AS w FROM tf JOIN v USING (term))
+SELECT doc_id, index, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w"""
+
+_TEXTS = """t AS (SELECT c_custkey, c_name, CASE c_custkey % 7 WHEN 0 THEN '1,234.50' WHEN 1 THEN ' ' || c_custkey || ' ' WHEN 2 THEN '12.0' WHEN 3 THEN '99999999999999999999'
+    WHEN 4 THEN 'about 5' WHEN 5 THEN '' ELSE '3.25' END AS amount,
+  CASE c_custkey % 9 WHEN 0 THEN '2024-02-29' WHEN 1 THEN '2023-02-29' WHEN 2 THEN '31/12/2020' WHEN 3 THEN '20240120' WHEN 4 THEN 'Jan 2024' WHEN 5 THEN '7 Mar 2021'
+    WHEN 6 THEN '05/06/2022 03:15 PM' WHEN 7 THEN 'soon' END AS day,
+  CASE c_custkey % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN 'FALSE' WHEN 2 THEN '1' WHEN 3 THEN 'maybe' END AS flag FROM customer)"""
+ORACLES["converted"] = f"""WITH {_TEXTS} SELECT c_custkey, c_name, try_cast(replace(trim(amount), ',', '') AS DOUBLE) AS amount,
+  coalesce(try_strptime(day, '%Y-%m-%d'), try_strptime(day, '%d/%m/%Y'), try_strptime(day, '%Y%m%d'), try_strptime(day, '%d %b %Y'), try_strptime(day, '%b %Y'),
+    try_strptime(day, '%d/%m/%Y %I:%M %p')) AS day,
+  CASE WHEN lower(flag) IN ('yes', '1') THEN true WHEN lower(flag) = 'false' THEN false END AS flag,
+  CASE WHEN amount = '12.0' THEN 12 WHEN c_custkey % 7 = 1 THEN c_custkey END AS whole FROM t"""
+ORACLES["rejected_cells"] = f"""WITH {_TEXTS} SELECT c_custkey AS key, 'amount' AS column, amount AS value, 'not a number' AS reason FROM t WHERE amount = 'about 5'
+UNION ALL SELECT c_custkey, 'whole', amount, CASE amount WHEN 'about 5' THEN 'not a number' WHEN '99999999999999999999' THEN 'out of range' ELSE 'has a fraction' END
+  FROM t WHERE c_custkey % 7 IN (0, 3, 4, 6)
+UNION ALL SELECT c_custkey, 'day', day, 'not a time' FROM t WHERE day IN ('2023-02-29', 'soon') UNION ALL SELECT c_custkey, 'flag', flag, 'not a truth value' FROM t WHERE flag = 'maybe'"""
+
+_BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}]+"
+ORACLES["repaired_text"] = f"SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '{_BLANK}', ' ', 'g')) AS text FROM documents"
+
+
+def _suggested(position: int, c: str) -> str:
+    cell = f"trim({c})"
+    time = f"coalesce(try_strptime({cell}, '%Y-%m-%d'), try_strptime({cell}, '%d/%m/%Y')) IS NOT NULL"
+    tests = {"filled": f"{cell} <> ''", "whole": f"regexp_matches({cell}, '^[+-]?[0-9]+$')", "number": f"try_cast({cell} AS DOUBLE) IS NOT NULL",
+             "truth": f"lower({cell}) IN ('true', 'yes', 'y', '1', 'false', 'no', 'n', '0')", "time": time}
+    counts = ", ".join(f"count(*) FILTER (WHERE {test}) AS {name}" for name, test in tests.items())
+    levels = " ".join(f"WHEN {name} >= 0.95 * filled THEN '{kind}'" for kind, name in (("boolean", "truth"), ("bigint", "whole"), ("double", "number"), ("timestamp", "time")))
+    return (f"SELECT *, CASE WHEN filled = 0 THEN 'string' {levels} ELSE 'string' END AS suggested FROM "
+            f"(SELECT CAST({position} AS INTEGER) AS position, '{c}' AS column, {counts} FROM t)")
+
+
+ORACLES["suggested_types"] = with_table("dirty_customer") + "\n" + union(
+    [_suggested(n, c) for n, (c, t) in enumerate(SCHEMAS["dirty_customer"]) if t == "string"])
+
+_LINES = "e AS (SELECT * FROM events WHERE event_id % 50 <> 7), s AS (SELECT event_id, unnest(range(1, event_id % 3 + 2)) AS rank FROM e)"
+_HITS = "h AS (SELECT event_id, rank, unnest(range(1, rank + 1)) AS y FROM s)"
+ORACLES["json_events"] = """SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS "props.k", round(value, 6) AS "detail.amount", user_id AS "detail.user.id"
+FROM events WHERE event_id % 50 <> 7"""
+ORACLES["json_nested"] = f"""WITH {_LINES}, {_HITS}
+SELECT event_id, CAST(rank - 1 AS INTEGER) AS position, CAST(y - 1 AS INTEGER) AS position2, rank, y * event_id AS value FROM h"""
+ORACLES["json_report"] = f"""WITH {_LINES}, {_HITS} SELECT 'rows' AS "table", count(*) AS n FROM e UNION ALL SELECT 'steps', count(*) FROM s
+UNION ALL SELECT 'steps.hits', count(*) FROM h UNION ALL SELECT 'bad lines', count(*) FROM events WHERE event_id % 50 = 7"""
+ORACLES["json_bad_lines"] = """SELECT substr('{"event_id":' || event_id || ',"event_type":"' || event_type || '","props', 1, 30) AS line FROM events WHERE event_id % 50 = 7"""
