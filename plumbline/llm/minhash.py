@@ -7,11 +7,12 @@ bucket is first checked on its signatures (a pair at 0.8 fails that with probabi
 its full sets. Components come from alternating large and small stars.
 
 Pairs of a bucket are never all written. Texts with equal sets are one node. First every node of a bucket
-meets the bucket's smallest node, and the links found make components. Then only pairs in *different*
-components are left: where they are few (``CROWD`` for each row of the bucket at most) they are checked
-one by one; the nodes of all other buckets, say pages in one frame that are alike without being near copies,
-are joined exactly by their rarest shingles (a linked pair shares one of the 11 % rarest shingles of the
-smaller set and of the 20 % rarest of the larger). So no bucket is cut short.
+meets the bucket's lead, the node whose buckets are the fullest: of a family of copies that is the one nearest to
+the rest. The links found make components, and only nodes whose bucket holds *different* components are left, say
+pages in one frame that are alike without being near copies. These are joined exactly by their rarest shingles: with
+shingles ordered by frequency, the first one that a linked pair shares is among the |x| - c + 1 first ones
+of both, where c = 4/9 (|x| + |y|) is what they share at least. What makes a page differ comes first in that order, so
+pages that share no more than a frame don't meet, and no bucket is cut short.
 
 Defined cases: a null text counts as empty; a text without words has an empty set and is linked with nothing,
 its own copies included; a text of one to three words is one shingle. Repeated rows and ids are fine. A
@@ -37,7 +38,6 @@ BANDS = 40
 ROWS = 5
 # Of 200 minima a pair at similarity 0.8 shares 160 on average, with a deviation of 5.7.
 LEAST_SHARED = 120
-CROWD = 16
 _SEED = 42
 _CHUNK = 1 << 15
 _KNOWN_WORDS = 1 << 20
@@ -161,10 +161,13 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 
 def _met(nodes: DataFrame) -> DataFrame:
-    """key, node, n, lead and lead_n: the nodes that share a bucket with a smaller one, its lead."""
+    """key, node, n, lead and lead_n: the nodes that share a bucket with another, its lead."""
     rows = nodes.select("node", "n", F.explode("bands").alias("key"))
-    leads = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("rows")).where("rows > 1")
-    return rows.join(leads, "key").where(F.col("node") != F.col("lead.node")).select(
+    filled = staged(rows.join(rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "key"), "buckets")
+    fullness = filled.groupBy("node").agg(F.sum("rows").alias("fullness"))
+    best = F.max(F.struct("fullness", (-F.col("node")).alias("first"), "node", "n")).alias("lead")
+    leads = filled.join(fullness, "node").groupBy("key").agg(best)
+    return filled.join(leads, "key").where(F.col("node") != F.col("lead.node")).select(
         "key", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"))
 
 
@@ -192,43 +195,35 @@ def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return shared.where("9 * shared >= 4 * total").select("a", "b")
 
 
-def _rare_pairs(crowd: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of nodes in different components that share a rare shingle; no linked pair is missing."""
-    tokens = sets.join(crowd, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("times"))
-    ordered = (tokens.join(counts.where("times > 1"), "token")
-               .groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("tokens")))
+def _rare_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the nodes (node, root) in different components that share one of their rarest shingles; no linked pair is missing."""
+    tokens = sets.join(left, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
+    ordered = tokens.join(counts, "token").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("tokens"))
     # Shingles of one node only take the first places and meet nobody.
-    alone = F.col("n") - F.size("tokens")
-    place = ordered.select("node", "root", "n", F.posexplode("tokens").alias("pos", "t"), alone.alias("alone"))
-    place = staged(place.select("node", "root", "n", F.col("t.token").alias("token"), (F.col("pos") + F.col("alone") + 1).alias("place"))
-                   .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1), "rare")
-    smaller = place.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 8 / 9) + 1).select(
-        "token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    larger = place.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    met = smaller.join(larger, "token").where("ra != rb AND na <= nb AND 5 * na >= 4 * nb")
+    placed = ordered.select("node", "root", "n", (F.col("n") - F.size("tokens")).alias("own"), F.posexplode("tokens").alias("pos", "t"))
+    first = staged(placed.select("node", "root", "n", F.col("t.token").alias("token"), (F.col("own") + F.col("pos") + 1).alias("place"))
+                   .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1), "rarest")
+    # The largest component of a shingle needn't meet itself.
+    shared = first.groupBy("token", "root").agg(F.count("*").alias("members")).groupBy("token").agg(
+        F.max(F.struct("members", "root"))["root"].alias("largest"), F.count("*").alias("roots")).where("roots > 1")
+    rows = staged(first.join(shared, "token"), "rare")
+    some = rows.where("root != largest").select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    every = rows.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("place").alias("pb"), "largest")
+    common = F.ceil((F.col("na") + F.col("nb")) * 4 / 9)
+    met = some.join(every, "token").where("ra != rb AND (a < b OR rb = largest)").where(
+        _sizes_allow() & (F.col("pa") + common <= F.col("na") + 1) & (F.col("pb") + common <= F.col("nb") + 1))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _left_over(met: DataFrame, found: DataFrame, sets: DataFrame, crowd: int) -> DataFrame | None:
-    """The pairs of nodes that share a bucket but no component yet, other than with their lead."""
-    rows = met.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    per_root = rows.groupBy("key", "root").agg(F.count("*").alias("members"))
-    buckets = per_root.groupBy("key").agg(F.sum("members").alias("rows"), F.sum(F.col("members") * F.col("members")).alias("inside"),
-                                          F.max(F.struct("members", "root"))["root"].alias("largest"), F.count("*").alias("roots"))
-    mixed = staged(rows.join(buckets.where("roots > 1"), "key").select(
-        "key", "node", "n", "root", "largest", (F.col("rows") * F.col("rows") - F.col("inside") > 2 * crowd * F.col("rows")).alias("crowded")), "mixed")
-    if mixed.isEmpty():
-        return None
-    few = mixed.where("NOT crowded")
-    some = few.where("root != largest").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    every = few.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    pairs = some.join(every, "key").where("ra != rb").where(_sizes_allow()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crowded = mixed.where("crowded").select("node", "root").distinct()
-    return staged(pairs.unionByName(_rare_pairs(crowded, sets)).distinct(), "left_over")
-
-
-def _grouped(docs: DataFrame, id_column: str, text_column: str, crowd: int) -> DataFrame:
+def _left_over(met: DataFrame, found: DataFrame) -> DataFrame:
+    """The nodes (node, root) of buckets that hold more than one component beside their lead's links."""
+    rows = met.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    return rows.join(mixed, "key").select("node", "root").distinct()
+
+
+def _grouped(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """One row per document: id, key1, key2, n and root (null for an empty set)."""
     text = F.coalesce(docs[text_column], F.lit(""))
     texts = docs.select(docs[id_column].alias("id"), F.xxhash64(text).alias("key1"), F.xxhash64(F.lit(_SEED), text).alias("key2"),
@@ -244,17 +239,17 @@ def _grouped(docs: DataFrame, id_column: str, text_column: str, crowd: int) -> D
     sets = staged(_sets(single.join(wanted, ["key1", "key2"]).select("node", "text")), "sets")
     links = staged(_links(first.where(_sizes_allow()).distinct(), nodes, sets), "star_links")
     found = staged(components(links).select("root", F.col("fp").alias("node")), "star_components")
-    more = _left_over(met, found, sets, crowd)
-    if more is not None:
-        every = links.unionByName(_links(more, nodes, sets))
+    left = staged(_left_over(met, found), "left_over")
+    if not left.isEmpty():
+        every = links.unionByName(_links(staged(_rare_pairs(left, sets), "rare_pairs"), nodes, sets))
         found = staged(components(every).select("root", F.col("fp").alias("node")), "all_components")
     rooted = staged(nodes.join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("root")), "rooted")
     return known.select("id", "key1", "key2", "n", "digest").join(rooted, "digest", "left").select("id", "key1", "key2", "n", "root")
 
 
-def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", crowd: int = CROWD) -> DataFrame:
+def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: its id, n_shingles, component_id and kept."""
-    rows = staged(_grouped(docs, id_column, text_column, crowd), "grouped")
+    rows = staged(_grouped(docs, id_column, text_column), "grouped")
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"))
     component = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least"))
     return rows.join(least, "root", "left").select(

@@ -57,8 +57,8 @@ def changed(words, n):
     return " ".join(out)
 
 
-def groups(spark, docs, **options):
-    rows = minhash.near_groups(table(spark, docs), **options).collect()
+def groups(spark, docs):
+    rows = minhash.near_groups(table(spark, docs)).collect()
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
     return Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows)
 
@@ -75,8 +75,7 @@ def test_near_groups_against_all_pairs(spark):
     assert groups(spark, docs) == brute_groups(docs)
 
 
-@pytest.mark.parametrize("crowd", [0, minhash.CROWD])
-def test_near_copies_inside_a_common_frame_are_all_found(spark, crowd):
+def test_near_copies_inside_a_common_frame_are_all_found(spark):
     """Pages that share a frame meet in one bucket without being near copies; the pairs hidden among them must not be lost."""
     random.seed(22)
     frame, docs = [f"frame{n}" for n in range(440)], []
@@ -87,7 +86,7 @@ def test_near_copies_inside_a_common_frame_are_all_found(spark, crowd):
         docs += [(1000 + 2 * n, " ".join(frame + own)), (1001 + 2 * n, " ".join(frame + own[:60] + [f"r{n}w{k}" for k in range(15)]))]
     expected = brute_groups(docs)
     assert sum(i != c for i, _, c in expected) == 30
-    assert groups(spark, docs, crowd=crowd) == expected
+    assert groups(spark, docs) == expected
 
 
 def test_a_large_group_is_one_component(spark):
