@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalog.oracles import ORACLES, SCHEMAS, union, with_table
+from catalog.oracles import ORACLES, SCHEMAS, roles, union, with_table
 
 ORDERS = [("o_orderkey", "bigint", "number"), ("o_custkey", "bigint", "number"), ("o_orderstatus", "string", "string"), ("o_totalprice", "double", "number"),
           ("o_orderdate", "timestamp_ntz", "datetime"), ("o_orderpriority", "string", "string")]
@@ -192,3 +192,12 @@ SELECT event_id, CAST(rank - 1 AS INTEGER) AS position, CAST(y - 1 AS INTEGER) A
 ORACLES["json_report"] = f"""WITH {_LINES}, {_HITS} SELECT 'rows' AS "table", count(*) AS n FROM e UNION ALL SELECT 'steps', count(*) FROM s
 UNION ALL SELECT 'steps.hits', count(*) FROM h UNION ALL SELECT 'bad lines', count(*) FROM events WHERE event_id % 50 = 7"""
 ORACLES["json_bad_lines"] = """SELECT substr('{"event_id":' || event_id || ',"event_type":"' || event_type || '","props', 1, 30) AS line FROM events WHERE event_id % 50 = 7"""
+
+ORACLES["numeric_summary_by_role"] = (f"SELECT b.* FROM ({ORACLES['numeric_summary']}) AS b SEMI JOIN ({with_table('lineitem')} "
+                                      f"{roles('lineitem')}) AS r ON b.\"column\" = r.\"column\" AND r.tag = 'numeric'")
+ORACLES["histogram_infinite"] = """WITH t AS (SELECT CASE WHEN event_id % 11 = 0 THEN 'inf'::DOUBLE WHEN event_id % 13 = 0 THEN '-inf'::DOUBLE ELSE value END AS v FROM events),
+e AS (SELECT min(v) AS lo, max(v) AS hi, CAST(least(50, count(DISTINCT v)) AS INTEGER) AS nb FROM t WHERE isfinite(v))
+SELECT 'value' AS "column", bin, round(lo + (hi - lo) / nb * (bin - 1), 6) AS low, round(lo + (hi - lo) / nb * bin, 6) AS high, count(*) AS n
+  FROM (SELECT CAST(least(CAST(floor(nb * (v - lo) / (hi - lo)) AS INTEGER) + 1, nb) AS INTEGER) AS bin, lo, hi, nb FROM t, e WHERE isfinite(v)) GROUP BY bin, lo, hi, nb
+UNION ALL SELECT 'value', CASE WHEN v > 0 THEN nb + 1 ELSE 0 END, v, v, count(*) FROM t, e WHERE isinf(v) GROUP BY ALL
+UNION ALL SELECT 'only', 1, 'inf'::DOUBLE, 'inf'::DOUBLE, count(*) FROM t"""

@@ -45,6 +45,11 @@ def _load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return normalise(dirty_customer(spark, sf_dir) if name == "dirty_customer" else table(spark, sf_dir, name))
 
 
+def _numbers(df: DataFrame) -> list[str]:
+    """All number columns, ids and codes included."""
+    return [c.name for c in table_columns(df, "number")]
+
+
 # ------------------------------------------------------------------- profile
 
 query("dirty_customer", name="table_shape")(profile.table_shape)
@@ -112,12 +117,20 @@ def column_header(df):
 
 # ------------------------------------------------------------------ explorer
 
+@query("events")
+def histogram_infinite(df):
+    """Infinite values are counted beside the finite ones."""
+    value = F.when(F.col("event_id") % 11 == 0, F.lit(float("inf"))).when(F.col("event_id") % 13 == 0, F.lit(float("-inf"))).otherwise(F.col("value"))
+    return explore.histogram(df.select(value.alias("value"), F.lit(float("inf")).alias("only")), ["value", "only"])
+
+
 query("events", name="histogram")(lambda df: explore.histogram(df, ["value", "user_id"]))
 query("dirty_customer", name="histogram_dirty")(lambda df: explore.histogram(df, ["birth_month", "age", "bal_a"]))
-query("lineitem", name="numeric_summary", digits=5)(explore.numeric_summary)
+query("lineitem", name="numeric_summary", digits=5)(lambda df: explore.numeric_summary(df, _numbers(df)))
+query("lineitem", name="numeric_summary_by_role", digits=5)(explore.numeric_summary)
 query("events", name="numeric_details")(lambda df: explore.numeric_details(df, ["value"]))
 query("documents", name="numeric_details_documents")(lambda df: explore.numeric_details(df, ["n_chars"]))
-query("lineitem", name="box_stats")(explore.box_stats)
+query("lineitem", name="box_stats")(lambda df: explore.box_stats(df, _numbers(df)))
 query("events", name="box_stats_events")(lambda df: explore.box_stats(df, ["value"]))
 query("events", name="outlier_rows")(lambda df: explore.outlier_rows(df, "value", ["event_id"]))
 query("documents", name="outlier_rows_all")(
@@ -130,16 +143,15 @@ query("dirty_customer", name="category_summary")(
     lambda df: explore.category_summary(df, ["segment", "label", "nation_text", "const_flag"]))
 query("dirty_customer", name="column_modes")(
     lambda df: frequencies.modes(df, table_columns(df, "string")))
-query("lineitem", name="corr_matrix")(correlation.correlation_matrix)
-query("lineitem", name="box_stats_by_role")(lambda df: explore.box_stats(df, explore.by_role(df, "numeric")))
+query("lineitem", name="corr_matrix")(lambda df: correlation.correlation_matrix(df, table_columns(df, "number")))
+query("lineitem", name="box_stats_by_role")(explore.box_stats)
 
 
 @query("dirty_customer")
 def corr_by_role(df):
     """Numbers and two-valued columns, a boolean among them."""
     df = df.select("cust_id", "balance_amount", "age", "bal_a", "bal_b", (F.col("age") > 40).alias("older"))
-    names = explore.by_role(df, "numeric", "binary")
-    return correlation.correlation_matrix(df, table_columns(df, names=names))
+    return correlation.correlation_matrix(df)
 
 
 query("lineitem", name="pair_correlation")(

@@ -93,3 +93,10 @@ def encoding_advice(classified: DataFrame) -> DataFrame:
 def valid_targets(classified: DataFrame) -> DataFrame:
     """Columns that can serve as a target: not an id, a constant or free text."""
     return classified.where(~F.col("tag").isin("id", "constant", "text")).select("column", "tag")
+
+
+def by_role(df: DataFrame, *tags: str) -> list[str]:
+    """The columns with one of these roles, in their order: ``numeric`` for histograms, moments and boxes, ``numeric`` and ``binary`` for
+    correlations, which take them where no columns are named."""
+    found = classify_columns(df).where(F.col("tag").isin(*tags)).select("position", "column").collect()
+    return [r.column for r in sorted(found)]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Row, functions as F
 from plumbline import rules
 from plumbline.functions.text import is_placeholder, normalised, stripped
 from plumbline.operators.columns import NUMBER, STRING, Metric, ALL_KINDS, canonical, column_metrics, normalise, table_columns
+from plumbline.operators.duplicates import repeated_and_single
 from plumbline.operators.frequencies import modes
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.validity import fences, outside, quartiles
@@ -95,6 +96,13 @@ def fill_missing(df: DataFrame, stats: dict[str, Row] | None = None) -> DataFram
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     """One of each group of equal rows; every column counts, maps and variants by their content."""
+    repeated, single = repeated_and_single(df)
+    if repeated is None:
+        return _one_of_each(df)
+    return single.unionByName(_one_of_each(repeated))
+
+
+def _one_of_each(df: DataFrame) -> DataFrame:
     names = [c.name for c in table_columns(df) if c.groupable]
     nested = {f"__key_{c.position}": canonical(c.ref, df.schema[c.name].dataType) for c in table_columns(df) if not c.groupable}
     return df.withColumns(nested).dropDuplicates([*names, *nested]).drop(*nested) if nested else df.dropDuplicates(names)

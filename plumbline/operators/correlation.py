@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import rules
 from plumbline.functions.numeric import clamp
+from plumbline.operators.classify import by_role
 from plumbline.operators.columns import NUMBER, TableColumn, literal_table, table_columns
 
 SCHEMA = "column_a string, column_b string, r double"
@@ -69,8 +70,8 @@ def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def correlation_matrix(df: DataFrame, columns: list[TableColumn] | None = None) -> DataFrame:
-    """The full square as (column_a, column_b, r), the diagonal included."""
-    columns = table_columns(df, NUMBER) if columns is None else columns
+    """The full square as (column_a, column_b, r), the diagonal included; of the columns in the role of a number or with two values, where none are given."""
+    columns = table_columns(df, names=by_role(df, "numeric", "binary")) if columns is None else columns
     upper = correlations(df, columns)
     lower = upper.select(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "r")
     varies = df.agg(*[(F.min(c.cell) < F.max(c.cell)).alias(f"c{c.position}") for c in columns])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline import rules
 from plumbline.functions.text import group_key
 from plumbline.operators.columns import (
-    ALL_KINDS, NUMBER, STRING, Metric, TableColumn,
+    ALL_KINDS, NUMBER, OTHER, STRING, Metric, TableColumn,
     canonical, column_metrics, literal_table, table_columns,
 )
 from plumbline.sources.staging import staged
@@ -37,6 +37,34 @@ def duplicate_counts(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
+# Digests of repeated rows that may be broadcast: 16 MB.
+BROADCAST_DIGESTS = 2_000_000
+
+
+def _row_digest(df: DataFrame) -> Column | None:
+    """A digest that equal rows share, of the columns whose equality it follows; None where there is no such column."""
+    flat = [c for c in table_columns(df) if c.kind != OTHER]
+    # Minus zero equals zero in a grouping, so it must have the same digest.
+    keys = [F.when(c.ref.isNotNull(), c.ref + F.lit(0).cast(c.dtype)) if c.dtype in ("float", "double") else c.ref for c in flat]
+    return F.xxhash64(*keys) if keys else None
+
+
+def repeated_and_single(df: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """The rows whose digest occurs more than once, and the rest, which have no copy; (None, None) where digests don't help.
+
+    Counting 8-byte digests is one narrow shuffle; the repeated ones are broadcast if there are few enough, so rows without a copy are never
+    shuffled. A digest that unequal rows share only sends them to be compared.
+    """
+    digest = _row_digest(df)
+    if digest is None:
+        return None, None
+    counts = df.select(digest.alias("__digest")).groupBy("__digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__digest")
+    many = staged(counts, "repeated")
+    if many.limit(BROADCAST_DIGESTS + 1).count() > BROADCAST_DIGESTS:
+        return None, None
+    return df.join(F.broadcast(many), digest == many["__digest"], "left_semi"), df.join(F.broadcast(many), digest == many["__digest"], "left_anti")
+
+
 def duplicate_members(df: DataFrame, order_by: list[str], limit: int = rules.DISPLAY_ROWS) -> DataFrame:
     """The first ``limit`` rows that have a copy, copies included, in the given order.
 
@@ -44,7 +72,8 @@ def duplicate_members(df: DataFrame, order_by: list[str], limit: int = rules.DIS
     ``limit`` times) and not joined back.
     """
     names = df.columns
-    grouped = df.groupBy(*[c.ref for c in table_columns(df)]).agg(F.count(F.lit(1)).alias("copies"))
+    repeated, _ = repeated_and_single(df)
+    grouped = (df if repeated is None else repeated).groupBy(*[c.ref for c in table_columns(df)]).agg(F.count(F.lit(1)).alias("copies"))
     first = (grouped.where(F.col("copies") > 1)
              .orderBy(*order_by).limit(limit))
     repeated = first.select(*names, "copies", F.explode(F.sequence(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline import rules
 from plumbline.functions.numeric import pearson, sample_kurtosis, sample_skewness
-from plumbline.operators.classify import classify_columns
+from plumbline.operators.classify import by_role
 from plumbline.operators.columns import (
     BOOLEAN, NUMBER, STRING, Metric, TableColumn, cells, column_metrics, column_ref, literal_table, blocks,
     table_columns,
@@ -21,17 +21,15 @@ from plumbline.operators.validity import outside, quartiles
 MAX_BINS = 50
 
 
-def by_role(df: DataFrame, *tags: str) -> list[str]:
-    """The columns with one of these roles, for the ``names`` of the functions below: ``numeric`` for
-    histograms, moments and boxes, ``numeric`` and ``binary`` for correlations."""
-    found = classify_columns(df).where(F.col("tag").isin(*tags)).select("position", "column").collect()
-    return [r.column for r in sorted(found)]
-
-
 def _columns(df: DataFrame, names: list[str] | None, *kinds: str) -> list[TableColumn]:
     return table_columns(df, *(kinds or (NUMBER,)), names=names)
 
 
+def _numeric(df: DataFrame, names: list[str] | None, *kinds: str) -> list[TableColumn]:
+    """The named columns; those in the role of a number, without ids and codes, where none are named."""
+    return _columns(df, by_role(df, "numeric") if names is None else names, *kinds)
+
+
 def _bin_counts(df: DataFrame, columns: list[TableColumn], bins: int) -> dict[str, int]:
     """min(bins, distinct values) per column; only columns that may have few are counted."""
     # A HyperLogLog count with m >= 4 * bins registers takes -m ln(empty share) while few are filled. As many
@@ -47,29 +45,34 @@ def _bin_counts(df: DataFrame, columns: list[TableColumn], bins: int) -> dict[st
 
 
 def histogram(df: DataFrame, names: list[str] | None = None, bins: int = MAX_BINS) -> DataFrame:
-    """(column, bin, low, high, n): equal-width bins, at most one per distinct value.
+    """(column, bin, low, high, n): equal-width bins over the finite values, at most one per distinct value.
 
-    The last bin includes its upper end; empty bins have no row.
+    The last bin includes its upper end; empty bins have no row. Infinities have bins of their own beside the others: bin 0 and the one after the last.
     """
-    columns = _columns(df, names, NUMBER, BOOLEAN)
-    n_bins = _bin_counts(df, columns, bins)
-    ends = df.agg(*[f(c.cell).alias(f"{p}{c.position}") for c in columns for p, f in (("lo", F.min), ("hi", F.max))]).first()
+    columns = _numeric(df, names, NUMBER, BOOLEAN)
+    finite = df.withColumns({c.name: F.when(F.abs(c.ref) < float("inf"), c.ref) for c in columns if c.dtype in ("float", "double")})
+    n_bins = _bin_counts(finite, columns, bins)
+    ends = finite.agg(*[f(c.cell).alias(f"{p}{c.position}") for c in columns for p, f in (("lo", F.min), ("hi", F.max))]).first()
     slots, bounds = [], []
     for c in columns:
         low, high, k = ends[f"lo{c.position}"], ends[f"hi{c.position}"], n_bins[c.name]
-        if low is None:
-            continue
         value = c.cell
-        # A constant column has one bin, for which width_bucket has no answer.
-        place = F.lit(1) if low == high else F.least(F.width_bucket(value, F.lit(low), F.lit(high), F.lit(k)), F.lit(k))
-        slots.append(F.when(value.isNotNull(), place).cast("int").alias(f"c{c.position}"))
-        bounds.append((f"c{c.position}", c.name, low, (high - low) / k))
-    spans = literal_table(df.sparkSession, bounds, "slot string, column string, start double, width double")
+        if low is None:
+            low, high, k, place = 0.0, 0.0, 0, F.lit(None)  # no finite value
+        elif low == high:
+            place = F.lit(1)  # width_bucket has no answer for a constant column
+        else:
+            place = F.least(F.width_bucket(value, F.lit(low), F.lit(high), F.lit(k)), F.lit(k))
+        place = F.when(value == float("-inf"), F.lit(0)).when(value == float("inf"), F.lit(k + 1)).when(value.isNotNull(), place)
+        slots.append(place.cast("int").alias(f"c{c.position}"))
+        bounds.append((f"c{c.position}", c.name, low, (high - low) / k if k else 0.0, k))
+    spans = literal_table(df.sparkSession, bounds, "slot string, column string, start double, width double, bins int")
     counted = (df.select(*slots).unpivot([], [b[0] for b in bounds], "slot", "bin").where(F.col("bin").isNotNull())
                .groupBy("slot", "bin").agg(F.count(F.lit(1)).alias("n")))
+    infinite = F.when(F.col("bin") == 0, F.lit(float("-inf"))).when(F.col("bin") > F.col("bins"), F.lit(float("inf")))
     return counted.join(F.broadcast(spans), "slot").select(
-        "column", "bin", (F.col("start") + F.col("width") * (F.col("bin") - 1)).alias("low"),
-        (F.col("start") + F.col("width") * F.col("bin")).alias("high"), "n")
+        "column", "bin", F.coalesce(infinite, F.col("start") + F.col("width") * (F.col("bin") - 1)).alias("low"),
+        F.coalesce(infinite, F.col("start") + F.col("width") * F.col("bin")).alias("high"), "n")
 
 
 MOMENT_METRICS = [
@@ -93,7 +96,7 @@ def numeric_summary(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 def numeric_details(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Per number column: count, mean, median, std, min, max, skewness, kurtosis, quartiles."""
-    columns = _columns(df, names)
+    columns = _numeric(df, names)
     middle = quantile_table(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     stats = column_metrics(df, MOMENT_METRICS, columns)
     return stats.join(F.broadcast(middle), "column").select(
@@ -102,7 +105,7 @@ def numeric_details(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 def box_stats(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Per number column: quartiles, the whiskers inside 1.5 quartile ranges, cells beyond."""
-    columns = _columns(df, names)
+    columns = _numeric(df, names)
     found = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     rows = []
     for c in columns:

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.text import group_key
 from plumbline.operators.columns import (
-    BOOLEAN, DATETIME, NUMBER, STRING, TableColumn, cells, column_names, blocks, table_columns,
+    BOOLEAN, DATETIME, NUMBER, STRING, TableColumn, cells, column_names, blocks, literal_table, table_columns,
 )
+from plumbline.sources.staging import staged
 
 
 def _fixed_width_key(c: TableColumn) -> Column:
@@ -71,30 +72,87 @@ def value_counts(df: DataFrame, columns: list[TableColumn]) -> DataFrame:
     return counted.join(names, "slot").select("column", "value", "n")
 
 
+# Winners' keys that a filter may list; more are joined.
+LISTED_KEYS = 2000
+HEAD = 64
+
+
+def _text(c: TableColumn) -> Column:
+    return c.ref.cast("string")
+
+
+def _key_counts(df: DataFrame, block: list[TableColumn]) -> DataFrame:
+    """(slot, value, n): ``value`` is the text itself if short, else its first characters and its digest, so that no long text is
+    shuffled and the order is that of the texts up to their first ``HEAD`` characters."""
+    keyed = cells(df, block, lambda c: F.struct(F.substring(_text(c), 1, HEAD).alias("head"), F.when(
+        F.octet_length(_text(c)) > HEAD, F.sha2(_text(c), 256)).alias("digest")))
+    return keyed.where(F.col("value.head").isNotNull()).groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _with_texts(df: DataFrame, columns: list[TableColumn], winners: DataFrame) -> DataFrame:
+    """Adds the whole text to the winners (slot, head, digest, n) as ``value``: one more scan, filtered to their digests."""
+    short = winners.where("digest IS NULL").select("slot", "n", F.col("head").alias("value"))
+    listed = [r.digest for r in winners.where("digest IS NOT NULL").select("digest").distinct().limit(LISTED_KEYS + 1).collect()]
+    if not listed:
+        return short
+    long = cells(df, columns, lambda c: F.when(F.octet_length(_text(c)) > HEAD, _text(c)))
+    marked = long.where(F.col("value").isNotNull()).withColumn("digest", F.sha2("value", 256))
+    if len(listed) <= LISTED_KEYS:
+        marked = marked.where(F.col("digest").isin(listed))
+    else:
+        marked = marked.join(winners.select("slot", "digest").distinct(), ["slot", "digest"], "left_semi")
+    # Equal texts meet in their tasks first; only winners are left by now.
+    texts = marked.groupBy("slot", "digest").agg(F.min("value").alias("value"))
+    return short.unionByName(winners.join(texts, ["slot", "digest"]).select("slot", "n", "value"))
+
+
 def top_values(df: DataFrame, columns: list[TableColumn], k: int) -> DataFrame:
     """(column, rank, value, n): the k most frequent values, ties by value.
 
-    The rank filter is applied per task before the shuffle, so a column with a billion
-    values sends k rows per task.
+    Long texts are counted by digest. The rank filter is applied per task before the shuffle, so a column with a billion values sends
+    k rows a task, and only the winners' texts are fetched. Texts that tie up to their first characters are all fetched and ranked whole.
     """
-    order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    return (value_counts(df, columns)
-            .withColumn("rank", F.row_number().over(order))
-            .where(F.col("rank") <= k)
-            .select("column", "rank", "value", "n"))
+    columns = [c for c in columns if c.groupable]
+    found = []
+    for block in blocks(columns):
+        place = F.rank().over(Window.partitionBy("slot").orderBy(F.desc("n"), F.asc("value.head")))
+        ranked = _key_counts(df, block).withColumn("place", place).where(F.col("place") <= k).select("slot", "value.head", "value.digest", "n")
+        if any(c.kind not in (NUMBER, BOOLEAN, DATETIME) for c in block):
+            found.append(_with_texts(df, block, staged(ranked, "winners")))
+        else:
+            found.append(ranked.select("slot", "n", F.col("head").alias("value")))
+    order = Window.partitionBy("slot").orderBy(F.desc("n"), F.asc("value"))
+    names = F.broadcast(column_names(df.sparkSession, columns).select("slot", "column"))
+    return (reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            .join(names, "slot").select("column", "rank", "value", "n"))
 
 
 def modes(df: DataFrame, columns: list[TableColumn]) -> DataFrame:
-    """(column, n_distinct, mode, n): the most frequent value, the smallest on a tie."""
+    """(column, n_distinct, mode, n): the most frequent value, the smallest on a tie; columns without a value have no row.
+
+    One grouped aggregate per block of columns, over the digests of long texts; texts are fetched for the winners alone.
+    """
     columns = [c for c in columns if c.groupable]
-    aggregates, rows = [], []
-    # One aggregate per column and no grouping: text in a grouped aggregate would force a
-    # sort of the whole count table.
-    for c in columns:
-        mine = F.col("column") == F.lit(c.name)
-        best = F.min(F.when(mine, F.struct((-F.col("n")).alias("least"), F.col("value").alias("value"))))
-        aggregates += [best.alias(f"best_{c.slot}"), F.count_if(mine).alias(f"n_{c.slot}")]
-        rows.append(F.struct(F.lit(c.name).alias("column"), F.col(f"n_{c.slot}").alias("n_distinct"),
-                             F.col(f"best_{c.slot}.value").alias("mode"), (-F.col(f"best_{c.slot}.least")).alias("n")))
-    found = value_counts(df, columns).agg(*aggregates).select(F.inline(F.array(*rows)))
-    return found.where(F.col("n_distinct") > 0)
+    names = {c.slot: c.name for c in columns}
+    found, open_ = [], []
+    for block in blocks(columns):
+        # One aggregate per column and no grouping: text in a grouped aggregate would force a sort of the whole count table.
+        aggregates = []
+        for c in block:
+            mine = F.col("slot") == F.lit(c.slot)
+            best = F.min(F.when(mine, F.struct((-F.col("n")).alias("least"), F.col("value.head").alias("head"), F.col("value.digest").alias("digest"))))
+            aggregates += [best.alias(f"best_{c.slot}"), F.count_if(mine).alias(f"n_{c.slot}")]
+        row = _key_counts(df, block).agg(*aggregates).first()
+        for c in block:
+            best, n = row[f"best_{c.slot}"], row[f"n_{c.slot}"]
+            if n and best.digest is None:
+                found.append((c.slot, n, best.head, -best.least))
+            elif n:
+                open_.append((c, n, best))
+    for block in blocks(open_):
+        mine = [c for c, _, _ in block]
+        tied = reduce(lambda a, b: a | b, [(F.col("slot") == c.slot) & (F.col("n") == -best.least) & (F.col("value.head") == best.head) for c, _, best in block])
+        winners = staged(_key_counts(df, mine).where(tied).select("slot", "value.head", "value.digest", "n"), "winners")
+        smallest = {r.slot: r.value for r in _with_texts(df, mine, winners).groupBy("slot").agg(F.min("value").alias("value")).collect()}
+        found += [(c.slot, n, smallest[c.slot], -best.least) for c, n, best in block]
+    return literal_table(df.sparkSession, [(names[slot], n, mode, times) for slot, n, mode, times in found], "column string, n_distinct bigint, mode string, n bigint")

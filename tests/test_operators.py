@@ -180,7 +180,7 @@ def test_constant_columns(spark):
 
 def test_histogram_of_constant_and_few_values(spark):
     df = spark.createDataFrame([(5.0, 1), (5.0, 2), (5.0, 4), (None, 4)], "c double, v int")
-    rows = sorted((r.column, r.bin, r.n) for r in explore.histogram(df).collect())
+    rows = sorted((r.column, r.bin, r.n) for r in explore.histogram(df, ["c", "v"]).collect())
     assert rows == [("c", 1, 3), ("v", 1, 1), ("v", 2, 1), ("v", 3, 2)]
 
 
