@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from plumbline.llm.licenses import TEMPLATES
-
 _OP5 = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
@@ -85,23 +83,55 @@ b AS (SELECT doc_id, i, CASE WHEN words[i] = 'gnu' AND words[i + 1] = 'general'
         WHEN words[i] = 'apache' AND words[i + 1] = 'license' THEN 'apache' WHEN words[i] = 'cc' AND words[i + 1] = 'by' THEN 'cc-by'
         WHEN words[i] = 'mit' AND words[i + 1] = 'license' THEN 'mit' END AS label FROM p),
 base AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS z, list_sort(list(DISTINCT label)) AS labels FROM b WHERE label IS NOT NULL GROUP BY 1),
-t AS (SELECT * FROM (VALUES TEMPLATE_ROWS) AS t(template, label, words)),
-tg AS (SELECT template, label, len(words) - 2 AS grams, j, words[j] || ' ' || words[j + 1] || ' ' || words[j + 2] AS gram
+t AS (SELECT row_number() OVER () AS template, label, string_split(notice, ' ') AS words, need FROM (VALUES
+  ('mit', 'this project is released under the terms of the mit license', 'mit'),
+  ('mit', 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software', 'granted'),
+  ('apache', 'licensed under the apache license version 2 0', 'apache'),
+  ('apache', 'you may not use this file except in compliance with the license you may obtain a copy of the license at', 'compliance'),
+  ('gpl', 'this work is licensed under the gnu general public license version 3', 'gnu'),
+  ('gpl', 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation', 'gnu'),
+  ('agpl', 'it under the terms of the gnu affero general public license as published by the free software foundation', 'affero'),
+  ('lgpl', 'under the terms of the gnu lesser general public license as published by the free software foundation', 'lesser'),
+  ('bsd', 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met', 'redistribution'),
+  ('bsd', 'redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer', 'redistributions'),
+  ('bsd', 'use of this source code is governed by a bsd style license that can be found in the license file', 'bsd'),
+  ('isc', 'permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted', 'fee'),
+  ('zlib', 'this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages', 'authors'),
+  ('boost', 'distributed under the boost software license version 1 0', 'boost'),
+  ('cc-by', 'licensed under a creative commons attribution 4 0 international license', 'attribution'),
+  ('cc-by-nc', 'licensed under cc by nc 4 0', 'nc'),
+  ('cc-by-nc', 'licensed under a creative commons attribution noncommercial 4 0 international license', 'noncommercial'),
+  ('cc-by-nd', 'licensed under cc by nd 4 0', 'nd'),
+  ('cc-by-nd', 'licensed under a creative commons attribution noderivatives 4 0 international license', 'noderivatives'),
+  ('cc-by-sa', 'licensed under cc by sa 4 0', 'sa'),
+  ('cc-by-sa', 'text is available under the creative commons attribution sharealike license additional terms may apply', 'sharealike'),
+  ('cc0', 'to the extent possible under law the author has waived all copyright and related or neighboring rights to this work', 'waived'),
+  ('mpl', 'this source code form is subject to the terms of the mozilla public license', 'mozilla'),
+  ('epl', 'this program and the accompanying materials are made available under the terms of the eclipse public license', 'eclipse'),
+  ('cddl', 'the contents of this file are subject to the terms of the common development and distribution license', 'development'),
+  ('artistic', 'you can redistribute it and or modify it under the terms of the artistic license', 'artistic'),
+  ('ofl', 'this font software is licensed under the sil open font license version 1 1', 'sil'),
+  ('psf', 'this software is licensed under the python software foundation license version 2', 'python'),
+  ('public-domain', 'this is free and unencumbered software released into the public domain', 'unencumbered'),
+  ('public-domain', 'this work has been placed in the public domain by its author', 'placed')) AS t(label, notice, need)),
+tg AS (SELECT template, label, words AS tw, need, j, words[j] || ' ' || words[j + 1] || ' ' || words[j + 2] AS gram
        FROM (SELECT *, unnest(range(1, len(words) - 1)) AS j FROM t)),
-g AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM p WHERE i + 2 <= len(words)),
-v AS (SELECT doc_id, template, label, grams, i - j AS diagonal, min(i) AS first, max(i) AS last, list(DISTINCT j) AS seen FROM g JOIN tg USING (gram) GROUP BY ALL),
+g AS (SELECT doc_id, i, words, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM p WHERE i + 2 <= len(words)),
+h AS (SELECT doc_id, template, label, tw, need, i, j, list_filter(range(greatest(j - 3, 1), least(j + 5, len(tw)) + 1), lambda x: x BETWEEN j AND j + 2
+        OR (i + x - j - 1 > 0 AND words[i + x - j - 1] = tw[x]) OR (i + x - j > 0 AND words[i + x - j] = tw[x]) OR (i + x - j + 1 > 0 AND words[i + x - j + 1] = tw[x])) AS seen
+      FROM g JOIN tg USING (gram)),
+v AS (SELECT doc_id, template, label, tw, need, i - j AS diagonal, min(i) AS first, max(i) AS last, list_distinct(flatten(list(seen))) AS seen FROM h GROUP BY ALL),
 n AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > 3, false) AS apart FROM v),
 k AS (SELECT *, sum(apart::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS cluster FROM n),
-m AS (SELECT doc_id, template, label, grams, cluster, min(first) AS first, max(last) + 2 AS last, len(list_distinct(flatten(list(seen)))) AS matched
-      FROM k GROUP BY ALL),
-s AS (SELECT doc_id, list(DISTINCT label) AS labels, max(matched / grams) AS share FROM m
-      WHERE matched / grams >= 0.85 AND last - first + 1 <= (grams + 2) * 1.5 GROUP BY 1)
+m AS (SELECT doc_id, template, label, tw, need, cluster, min(first) AS first, max(last) + 2 AS last, list_distinct(flatten(list(seen))) AS seen FROM k GROUP BY ALL),
+s AS (SELECT doc_id, list(DISTINCT label) AS labels, max(len(seen) / len(tw)) AS share FROM m WHERE len(seen) / len(tw) >= 0.8
+      AND last - first + 1 <= len(tw) * 1.5 AND len(list_filter(range(1, len(tw) + 1), lambda x: tw[x] = need AND NOT list_contains(seen, x))) = 0 GROUP BY 1)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(z AS BIGINT) AS last_word,
   coalesce(array_to_string(base.labels, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(s.labels, [])))), ','), '') AS labels,
   CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
 FROM w LEFT JOIN base USING (doc_id) LEFT JOIN s USING (doc_id)
-""".replace("TEMPLATE_ROWS", ", ".join(f"({i}, '{label}', {text.split(' ')})" for i, (label, text) in enumerate(TEMPLATES)))
+"""
 
 _OP11 = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

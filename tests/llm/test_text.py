@@ -190,6 +190,26 @@ def test_license_spans(spark):
     assert spans[0] == (1, len(gpl)) and spans[1] == (1, len(gpl) + 1)
 
 
+def test_a_replaced_or_inserted_word_is_forgiven_in_every_template(spark):
+    texts, expected = [], {}
+    for n, (label, notice, needs) in enumerate(licenses.TEMPLATES):
+        words = notice.split()
+        middle = len(words) // 2
+        at = next(i for i in sorted(range(len(words)), key=lambda i: abs(i - middle)) if words[i] != needs)
+        for k, changed in enumerate((words, words[:at] + ["another"] + words[at + 1:], words[:middle] + ["inserted"] + words[middle:])):
+            texts.append((10 * n + k, "some words before. " + " ".join(changed) + "! some words after"))
+            expected[10 * n + k] = label
+        # Without its distinguishing word, or with that of a close license, a notice isn't this license.
+        texts.append((10 * n + 3, " ".join("other" if w == needs else w for w in words)))
+    texts += [(9000, "Licensed under CC BY 4.0"), (9001, "Licensed under CC BY-SA 3.0"), (9002, "licensed under cc by nd 4 0")]
+    found = {r.doc_id: set(r.labels.split(",")) for r in licenses.scanned(table(spark, texts)).collect()}
+    assert all(label in found[i] for i, label in expected.items())
+    shared = {n for n, (label, _, _) in enumerate(licenses.TEMPLATES) if licenses.PHRASES.get(next((p for p in licenses.PHRASES if p in licenses.TEMPLATES[n][1]), "")) == label}
+    assert all(licenses.TEMPLATES[n][0] not in found[10 * n + 3] for n in range(len(licenses.TEMPLATES)) if n not in shared)
+    assert found[9000] == {"cc-by"} and found[9001] == {"cc-by", "cc-by-sa"} and found[9002] == {"cc-by", "cc-by-nd"}
+    assert len(licenses.TEMPLATES) >= 30
+
+
 def test_url_parts_and_rules(spark):
     cases = ["http://A.Example.NET/en/1?x", "https://net", "http://net/", "ftp://x.net?q#/", "no scheme", None, "", "a://b://c/d", "http://org/fr/",
              "http://xexample.com/de/", "http://www.example.com/de/x#y/z", "http://h#f", "x://Ä.NET/en/", "http://example.net/en"]
