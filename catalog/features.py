@@ -8,6 +8,7 @@ from catalog.queries import query
 from plumbline.operators import checks, convert, encoding, summaries, tfidf, unify
 from plumbline.operators.checks import Dependency, Reference, RowRule
 from plumbline.sources.staging import staged, staged_path
+from plumbline.plans import attribution, audit as audit_plan
 from plumbline.sources.nested import read_json
 from plumbline.sources.tables import read_sources
 
@@ -208,3 +209,24 @@ def json_nested(df):
 
 query("events", name="json_report")(lambda df: _json_lines(df).report())
 query("events", name="json_bad_lines")(lambda df: _json_lines(df).bad.select("line"))
+
+# --------------------------------------------------------------- attribution
+
+
+@query("dirty_customer")
+def column_losses(df):
+    """What each column costs each dimension of the audit."""
+    return attribution.column_losses(df, audit_plan.audit(df, "audit"))
+
+
+@query("dirty_customer")
+def column_scores(df):
+    return attribution.column_scores(df, audit_plan.audit(df, "audit"))
+
+
+@query("dirty_customer")
+def column_losses_sum(df):
+    """The parts of each dimension add up to what its score lacks of 100."""
+    result = audit_plan.audit(df, "audit")
+    losses = attribution.column_losses(df, result).groupBy("dimension").agg(F.sum("loss").alias("loss"), F.sum("points").alias("points"))
+    return result.scores.select("dimension", "score").join(losses, "dimension", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalog.oracles import ORACLES, SCHEMAS, roles, union, with_table
+from catalog.oracles import NUMBER, ORACLES, SCHEMAS, columns, roles, union, with_table
 
 ORDERS = [("o_orderkey", "bigint", "number"), ("o_custkey", "bigint", "number"), ("o_orderstatus", "string", "string"), ("o_totalprice", "double", "number"),
           ("o_orderdate", "timestamp_ntz", "datetime"), ("o_orderpriority", "string", "string")]
@@ -201,3 +201,39 @@ SELECT 'value' AS "column", bin, round(lo + (hi - lo) / nb * (bin - 1), 6) AS lo
   FROM (SELECT CAST(least(CAST(floor(nb * (v - lo) / (hi - lo)) AS INTEGER) + 1, nb) AS INTEGER) AS bin, lo, hi, nb FROM t, e WHERE isfinite(v)) GROUP BY bin, lo, hi, nb
 UNION ALL SELECT 'value', CASE WHEN v > 0 THEN nb + 1 ELSE 0 END, v, v, count(*) FROM t, e WHERE isinf(v) GROUP BY ALL
 UNION ALL SELECT 'only', 1, 'inf'::DOUBLE, 'inf'::DOUBLE, count(*) FROM t"""
+
+_DIRTY = [c for c, _ in SCHEMAS["dirty_customer"]]
+_CELLS = " + ".join(f"count({c})" for c in columns("dirty_customer", NUMBER))
+_LOSSES = f"""{with_table('dirty_customer')},
+miss AS ({ORACLES['missing_by_column_audit']}), dup AS ({ORACLES['duplicate_rows']}), cons AS ({ORACLES['constant_columns']}), same AS ({ORACLES['identical_columns']}),
+forms AS ({ORACLES['consistency_issues_audit']}), outs AS ({ORACLES['outlier_columns']}), bad AS ({ORACLES['impossible_values_audit']}),
+skewed AS ({ORACLES['skewed_columns_audit']}), noise AS ({ORACLES['label_noise']}), texts AS ({ORACLES['numbers_as_text']}), strong AS ({ORACLES['corr_pairs']}),
+score AS ({ORACLES['dqs_audit']}),
+alone(dimension, cause, v) AS (
+  SELECT 'completeness', 'missing cells', CAST(1 AS DOUBLE) UNION ALL SELECT 'uniqueness', 'duplicate rows', (SELECT least(150.0 * duplicate_rows / n_rows, 60) FROM dup)
+  UNION ALL SELECT 'uniqueness', 'constant columns', (SELECT least(5 * count(*), 30) FROM cons) UNION ALL SELECT 'uniqueness', 'identical columns', (SELECT least(8 * count(*), 30) FROM same)
+  UNION ALL SELECT 'consistency', 'mixed forms', 1 UNION ALL SELECT 'validity', 'outliers', (SELECT 80.0 * sum(outliers) / (SELECT {_CELLS} FROM t) FROM outs)
+  UNION ALL SELECT 'validity', 'impossible values', (SELECT least(10 * count(*), 40) FROM bad) UNION ALL SELECT 'accuracy', 'skew', (SELECT least(4 * count(*), 30) FROM skewed)
+  UNION ALL SELECT 'accuracy', 'noisy labels', (SELECT least(8 * sum(noisy_labels), 40) FROM noise) UNION ALL SELECT 'structure', 'names and number texts', 1
+  UNION ALL SELECT 'correlation', 'correlated pairs', 1),
+blame(dimension, cause, col, amount) AS (
+  SELECT 'completeness', 'missing cells', "column", CAST(missing_cells AS DOUBLE) FROM miss UNION ALL SELECT 'uniqueness', 'duplicate rows', NULL, 1
+  UNION ALL SELECT 'uniqueness', 'constant columns', "column", 1 FROM cons UNION ALL SELECT 'uniqueness', 'identical columns', unnest([column_a, column_b]), 0.5 FROM same
+  UNION ALL SELECT 'consistency', 'mixed forms', "column", 1 FROM forms UNION ALL SELECT 'validity', 'outliers', "column", outliers FROM outs
+  UNION ALL SELECT 'validity', 'impossible values', "column", 1 FROM bad UNION ALL SELECT 'accuracy', 'skew', "column", 1 FROM skewed
+  UNION ALL SELECT 'accuracy', 'noisy labels', "column", noisy_labels FROM noise UNION ALL SELECT 'structure', 'names and number texts', "column", 1 FROM texts
+  UNION ALL SELECT 'correlation', 'correlated pairs', unnest([column_a, column_b]), 0.5 FROM strong),
+summed AS (SELECT dimension, cause, col, sum(amount) AS amount FROM blame GROUP BY ALL HAVING sum(amount) > 0),
+part AS (SELECT dimension, cause, v / sum(v) OVER (PARTITION BY dimension) AS share FROM alone WHERE v > 0),
+names AS (SELECT unnest({_DIRTY}) AS col, unnest(range(0, {len(_DIRTY)})) AS position),
+losses AS (SELECT CAST(position AS INTEGER) AS position, s.col, s.dimension, s.cause, amount / sum(amount) OVER (PARTITION BY s.dimension, s.cause) * share * (100 - score) AS loss, weight
+  FROM summed s JOIN part USING (dimension, cause) JOIN score ON score.dimension = s.dimension LEFT JOIN names USING (col) WHERE score < 100)
+"""
+ORACLES["column_losses"] = _LOSSES + """SELECT position, col AS "column", dimension, cause, round(loss, 6)::DOUBLE AS loss, round(loss * weight, 6)::DOUBLE AS points FROM losses"""
+ORACLES["column_scores"] = _LOSSES + f""", per AS (SELECT position, col, dimension, sum(loss * weight) AS points FROM losses GROUP BY ALL),
+each AS (SELECT position, col, sum(points) AS points, max_by(dimension, (points, dimension)) AS worst FROM per GROUP BY ALL)
+SELECT CAST(n.position AS INTEGER) AS position, n.col AS "column", round(coalesce(points, 0), 6)::DOUBLE AS points, round(greatest(0, 100 - coalesce(points, 0) * {len(_DIRTY)}), 6)::DOUBLE AS score,
+  worst AS worst_dimension FROM names n LEFT JOIN each ON each.col = n.col
+UNION ALL SELECT position, col, round(points, 6)::DOUBLE, NULL, worst FROM each WHERE col IS NULL"""
+ORACLES["column_losses_sum"] = f"""SELECT dimension, score, CASE WHEN score < 100 THEN round(100 - score, 6)::DOUBLE END AS loss,
+  CASE WHEN score < 100 THEN round((100 - score) * weight, 6)::DOUBLE END AS points FROM ({ORACLES['dqs_audit']})"""

@@ -69,7 +69,7 @@ def audit(df: DataFrame, profile: str | RuleProfile = "audit", *, weights: dict[
     totals = small_table(_evidence(rule, details).groupBy("kind").agg(
         F.sum("amount").alias("amount"), F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("columns")))
     facts = _facts(df, rule, totals)
-    table = score_rules.score_table(facts, _dimension_scores(df, rule), shares)
+    table = score_rules.score_table(facts, dimension_scores(df, rule), shares)
     findings = _findings(rule, totals, facts)
     return AuditResult(
         profile=rule, facts=facts, scores=table, findings=findings,
@@ -202,7 +202,7 @@ def _facts(df: DataFrame, rule: RuleProfile, totals: DataFrame) -> DataFrame:
     return literal_table(df.sparkSession, [(*row.values(), *shares.values())], ", ".join(schema))
 
 
-def _dimension_scores(df: DataFrame, rule: RuleProfile) -> dict[str, Column]:
+def dimension_scores(df: DataFrame, rule: RuleProfile) -> dict[str, Column]:
     n_columns = len(df.columns)
     n_rows = F.col("n_rows").cast("double")
     uniqueness_facts = {
