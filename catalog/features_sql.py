@@ -237,3 +237,7 @@ SELECT CAST(n.position AS INTEGER) AS position, n.col AS "column", round(coalesc
 UNION ALL SELECT position, col, round(points, 6)::DOUBLE, NULL, worst FROM each WHERE col IS NULL"""
 ORACLES["column_losses_sum"] = f"""SELECT dimension, score, CASE WHEN score < 100 THEN round(100 - score, 6)::DOUBLE END AS loss,
   CASE WHEN score < 100 THEN round((100 - score) * weight, 6)::DOUBLE END AS points FROM ({ORACLES['dqs_audit']})"""
+
+ORACLES["rejected_files"] = """SELECT 'rows beyond the header' AS file, 'the CSV can''t be parsed: a row has more fields than the header' AS outcome, CAST(0 AS BIGINT) AS n
+UNION ALL SELECT 'no rows', 'the table is empty: no rows found', 0 UNION ALL SELECT 'blank', 'no columns: the file is blank or not formatted as a table', 0
+UNION ALL SELECT 'good', 'read', (SELECT count(*) FROM region)"""

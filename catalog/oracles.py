@@ -193,7 +193,7 @@ DUCK_FORMATS = ("%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y/%m/%d"
                 "%d-%m-%Y", "%d %b %Y", "%d %B %Y", "%b %d, %Y", "%B %d, %Y",
                 "%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S.%f", None, None, None,
                 "%Y/%m/%d %H:%M:%S", "%m/%d/%Y %H:%M", "%d/%m/%Y %H:%M", "%d %b %Y %H:%M", "%b %d, %Y %H:%M:%S",
-                "%m/%d/%Y", "%d/%m/%Y")
+                "%m/%d/%Y", "%d/%m/%Y", "%Y%m%d", "%b %Y", "%B %Y", "%m/%d/%Y %I:%M %p", "%m/%d/%Y %I:%M:%S %p")
 
 
 def parsed(c: str, i: int) -> str:
@@ -350,13 +350,13 @@ def _explorer() -> None:
         + count_if("value < low OR value > high") + " AS outliers, round("
         + count_if("value < low OR value > high") + " * 100.0 / count(*), 6) AS outlier_pct FROM t, "
         + bounds("value", 1.5) + " GROUP BY low, high")
-    ORACLES["value_counts_top20"] = top("dirty_customer", ["segment", "segment_case", "label", "nation_text", "mixed_code"], 20)
+    ORACLES["value_counts_top20"] = top("dirty_customer", columns("dirty_customer", STRING), 20)
     ORACLES["value_counts_top30"] = top("events", ["event_type", "props"], 30)
     ORACLES["category_summary"] = with_table("dirty_customer") + "\n" + union([
         f"SELECT '{c}' AS \"column\", v AS top_value, n AS top_n, round(n * 100.0 / (SELECT count(*) FROM t), 1) AS pct, "
         f"round(n * 100.0 / (SELECT count(*) FROM t), 1) > 80 AS imbalanced, (SELECT count(DISTINCT {c}) FROM t) AS n_distinct "
         f"FROM (SELECT {c} AS v, count(*) AS n FROM t WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY n DESC, v LIMIT 1) AS b"
-        for c in ("segment", "label", "nation_text", "const_flag")])
+        for c in columns("dirty_customer", STRING)])
     ORACLES["column_modes"] = with_table("dirty_customer") + "\n" + union([
         f"SELECT '{c}' AS \"column\", (SELECT count(DISTINCT {c}) FROM t) AS n_distinct, v AS mode, n FROM (SELECT {c} AS v, "
         f"count(*) AS n FROM t WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY n DESC, v LIMIT 1) AS b"
@@ -820,14 +820,12 @@ def _cleaning() -> None:
                               "c_mktsegment FROM customer")
     present = " OR ".join(f"{c} IS NOT NULL" for c in dirty)
     ORACLES["drop_empty_rows"] = with_table("dirty_customer") + f"\nSELECT {round_dirty} FROM t WHERE {present}"
-    holder = f"CASE WHEN {is_holder('segment', rules.AUDIT)} THEN NULL ELSE segment END"
-    ORACLES["null_placeholders"] = with_table("dirty_customer") + f"\nSELECT {holder} AS segment, count(*) AS n FROM t GROUP BY 1"
     kept = [c for c in dirty if c != "sparse_note"]
     ORACLES["drop_sparse_columns"] = (with_table("dirty_customer") + f"\nSELECT {typed('dirty_customer', kept, set())} FROM t")
     parts = clean_parts("dirty_customer", dirty)
     filled = with_table("dirty_customer", "t2 AS (SELECT * FROM t)", *parts[1:3])
-    ORACLES["fill_missing"] = filled + ("\nSELECT round(cust_id, 6) AS cust_id, segment, round(balance_amount, 6) AS balance_amount, "
-                                        "round(age, 6) AS age FROM t5")
+    ORACLES["null_placeholders"] = with_table("dirty_customer", "t2 AS (SELECT * FROM t)", parts[1]) + f"\nSELECT {round_dirty} FROM t3"
+    ORACLES["fill_missing"] = filled + f"\nSELECT {typed('dirty_customer', dirty, set(columns('dirty_customer', NUMBER)))} FROM t5"
     ORACLES["drop_duplicate_rows"] = with_table("dirty_customer") + f"\nSELECT DISTINCT {round_dirty} FROM t"
     tidy = ", ".join(f"lower({strip(c)}) AS {c}" if t == "string" else f"round({c}, 6) AS {c}" if t == "double" else c
                      for c, t in SCHEMAS["dirty_customer"])
@@ -862,7 +860,8 @@ def _sources() -> None:
 def _layouts() -> None:
     texts = {"zoned": "strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z'", "shifted": "strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00'",
              "minutes": "strftime(ts, '%Y-%m-%d %H:%M')", "fraction": "strftime(ts, '%Y-%m-%d %H:%M:%S') || '.25'",
-             "written": "strftime(ts, '%-d %b %Y %H:%M')", "unpadded": "strftime(ts, '%-m/%-d/%Y')"}
+             "written": "strftime(ts, '%-d %b %Y %H:%M')", "unpadded": "strftime(ts, '%-m/%-d/%Y')",
+             "compact": "strftime(ts, '%Y%m%d')", "month": "strftime(ts, '%b %Y')", "clock": "strftime(ts, '%-m/%-d/%Y %-I:%M %p')"}
     table = "WITH t AS MATERIALIZED (SELECT " + ", ".join(f"{v} AS {k}" for k, v in texts.items()) + " FROM events)\n"
     ORACLES["date_layouts"] = table + union([f"SELECT '{c}' AS \"column\", round({date_share(c)}, 6) AS date_share FROM t" for c in texts])
     branches = []

@@ -12,11 +12,11 @@ from plumbline.operators import (
     accuracy, classify, clean, consistency, correlation, duplicates, explore, frequencies, labels, missing, profile,
     structure, uniqueness, validity,
 )
-from plumbline.operators.columns import column_ref, normalise, table_columns
+from plumbline.operators.columns import column_ref, literal_table, normalise, table_columns
 from plumbline.plans import audit as audit_plan, scores
 from plumbline.plans.compare import before_after
 from plumbline.sources.staging import staged_path
-from plumbline.sources.tables import export_csv, read_csv, write_csv, write_report
+from plumbline.sources.tables import export_csv, read_csv, read_table, write_csv, write_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,10 +137,10 @@ query("documents", name="outlier_rows_all")(
     lambda df: explore.outlier_rows(df, "n_chars", ["doc_id"], limit=None).select("doc_id", "lang", "source", "n_chars"))
 query("events", name="outlier_summary")(lambda df: explore.outlier_summary(df, "value"))
 query("dirty_customer", name="value_counts_top20")(
-    lambda df: explore.category_values(df, ["segment", "segment_case", "label", "nation_text", "mixed_code"]))
+    lambda df: explore.category_values(df, [c.name for c in table_columns(df, "string")]))
 query("events", name="value_counts_top30")(lambda df: explore.category_values(df, ["event_type", "props"], 30))
 query("dirty_customer", name="category_summary")(
-    lambda df: explore.category_summary(df, ["segment", "label", "nation_text", "const_flag"]))
+    lambda df: explore.category_summary(df, [c.name for c in table_columns(df, "string")]))
 query("dirty_customer", name="column_modes")(
     lambda df: frequencies.modes(df, table_columns(df, "string")))
 query("lineitem", name="corr_matrix")(lambda df: correlation.correlation_matrix(df, table_columns(df, "number")))
@@ -280,11 +280,10 @@ query("dirty_customer", name="worst_columns")(
 
 query("customer", name="clean_names")(lambda df: clean.rename_columns(df.toDF(*ODD_NAMES)))
 query("dirty_customer", name="drop_empty_rows")(clean.drop_empty_rows)
-query("dirty_customer", name="null_placeholders")(
-    lambda df: clean.null_placeholders(df).groupBy("segment").count().withColumnRenamed("count", "n"))
+query("dirty_customer", name="null_placeholders")(clean.null_placeholders)
 query("dirty_customer", name="drop_sparse_columns")(clean.drop_sparse_columns)
 query("dirty_customer", name="fill_missing")(
-    lambda df: clean.fill_missing(clean.null_placeholders(df)).select("cust_id", "segment", "balance_amount", "age"))
+    lambda df: clean.fill_missing(clean.null_placeholders(df)))
 query("dirty_customer", name="drop_duplicate_rows")(clean.drop_duplicate_rows)
 query("dirty_customer", name="tidy_text")(clean.tidy_text)
 query("events", name="cap_outliers")(clean.cap_outliers)
@@ -336,6 +335,25 @@ def csv_replacement_character(df):
     return _through_csv(df.select("c_custkey", F.concat(F.lit("caf\u00e9 \ufffd "), "c_name").alias("c_name")))
 
 
+@query("supplier", "region")
+def rejected_files(supplier, region):
+    """Files that hold no table, and what reading them says; beside them one that can be read."""
+    spark = supplier.sparkSession
+    paths = {name: staged_path(spark, f"{name}.csv") for name in ("rows beyond the header", "no rows", "blank", "good")}
+    supplier.select(F.when(F.col("s_suppkey") == 1, "a,b").otherwise(F.concat_ws(",", "s_suppkey", "s_nationkey", "s_name")).alias("value")).coalesce(1).orderBy(
+        F.col("value") != "a,b").write.text(paths["rows beyond the header"])
+    supplier.where("false").coalesce(1).write.option("header", True).csv(paths["no rows"])
+    region.select(F.lit("").alias("value")).coalesce(1).write.text(paths["blank"])
+    write_csv(region, paths["good"])
+    found = []
+    for name, path in paths.items():
+        try:
+            found.append((name, "read", read_table(spark, path).count()))
+        except ValueError as error:
+            found.append((name, str(error), 0))
+    return literal_table(spark, found, "file string, outcome string, n bigint")
+
+
 @query("supplier")
 def csv_export(df):
     """The cleaned copy beside the original name."""
@@ -375,6 +393,9 @@ LAYOUTS = {
     "fraction": "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), '.25')",
     "written": "date_format(ts, 'd MMM yyyy HH:mm')",
     "unpadded": "date_format(ts, 'M/d/yyyy')",
+    "compact": "date_format(ts, 'yyyyMMdd')",
+    "month": "date_format(ts, 'MMM yyyy')",
+    "clock": "date_format(ts, 'M/d/yyyy h:mm a')",
 }
 
 

@@ -81,7 +81,7 @@ def _longest(layout: str) -> int:
     size = 0
     for run in re.finditer(r"(.)\1*", layout.replace("'", "")):
         letter, count = run.group(1), len(run.group())
-        size += (2, 2, 3, 9)[count - 1] if letter == "M" else {"d": 2, "H": 2, "X": 6}.get(letter, count)
+        size += (2, 2, 3, 9)[count - 1] if letter == "M" else {"d": 2, "H": 2, "h": 2, "a": 2, "X": 6}.get(letter, count)
     return size
 
 

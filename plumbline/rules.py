@@ -84,6 +84,11 @@ DATE_FORMATS = (
     ("MMM d, yyyy HH:mm:ss", r"^[A-Za-z]{3} \d{1,2}, \d{4} \d{2}:\d{2}:\d{2}$"),
     ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
     ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
+    ("MMM yyyy", r"^[A-Za-z]{3} \d{4}$"),
+    ("MMMM yyyy", r"^[A-Za-z]{3,9} \d{4}$"),
+    ("M/d/yyyy h:mm a", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AaPp][Mm]$"),
+    ("M/d/yyyy h:mm:ss a", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AaPp][Mm]$"),
 )
 DATE_PARSE_SHARE = 0.7
 
