@@ -9,7 +9,6 @@ from __future__ import annotations
 from catalog.queries import AS_OF, ODD_NAMES
 from catalog.tables import DIRTY_CUSTOMER_SQL
 from plumbline import rules
-from plumbline.functions.text import NUMBER_SHAPE, WHITESPACE
 
 ORACLES: dict[str, str] = {}
 
@@ -66,7 +65,17 @@ def text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-SPACES = " || ".join(f"chr({ord(c)})" for c in WHITESPACE)
+# Fixed values, stated here once more so that an error in the checked lists shows.
+SPACE_CODES = (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)
+NUMBER_TEXT = "(?i)^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?|inf|infinity)$"
+HOLDERS = ("-", "--", "?", "#n/a", "n/a", "na", "nil", "none", "null", "missing", "tbc", "tbd", "undefined", "unknown")
+HOLDERS_UNIVERSAL = (*HOLDERS, "not applicable", "not available")
+DAMAGE = ("Â", "Ã¨", "Ã©", "â€", "ï»¿")
+NULLS = ("", "<NA>", "N/A", "n/a", "NA", "NULL", "null", "NaN", "nan", "None", "#NA", "#N/A", "#N/A N/A", "-NaN", "-nan", "1.#IND", "-1.#IND", "1.#QNAN", "-1.#QNAN")
+ID_WORDS = ("code", "id", "index", "key", "no", "num", "number", "ref", "uuid")
+WEIGHTS = {"completeness": 0.28, "uniqueness": 0.18, "consistency": 0.16, "validity": 0.16, "accuracy": 0.1, "structure": 0.07, "correlation": 0.05}
+
+SPACES = " || ".join(f"chr({c})" for c in SPACE_CODES)
 
 
 def strip(c: str) -> str:
@@ -78,17 +87,17 @@ def words(values) -> str:
 
 
 def is_number(c: str) -> str:
-    return f"regexp_matches({strip(c)}, {text(NUMBER_SHAPE)})"
+    return f"regexp_matches({strip(c)}, {text(NUMBER_TEXT)})"
 
 
 def is_holder(c: str, rule) -> str:
-    return f"lower({strip(c)}) IN {words(rule.placeholders)}"
+    return f"lower({strip(c)}) IN {words(HOLDERS_UNIVERSAL if rule.name == 'universal' else HOLDERS)}"
 
 
 def garbled(c: str, rule) -> str:
     if rule.flags_any_non_ascii:
         return f"strlen({c}) <> length({c})"
-    return "(" + " OR ".join(f"contains({c}, {text(m)})" for m in rules.MOJIBAKE) + ")"
+    return "(" + " OR ".join(f"contains({c}, {text(m)})" for m in DAMAGE) + ")"
 
 
 def date_hit(c: str, pattern: str, rule) -> str:
@@ -196,9 +205,22 @@ DUCK_FORMATS = ("%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y/%m/%d"
                 "%m/%d/%Y", "%d/%m/%Y", "%Y%m%d", "%b %Y", "%B %Y", "%m/%d/%Y %I:%M %p", "%m/%d/%Y %I:%M:%S %p")
 
 
+_DAY, _LONG, _CLOCK = "[0-9]{4}-[0-9]{2}-[0-9]{2}", "[A-Za-z]{3,9}", "[0-9]{2}:[0-9]{2}"
+_TWO, _ZONE, _HALF = "[0-9]{2}/[0-9]{2}/[0-9]{4}", "(Z|[+-][0-9]{2}:[0-9]{2})", "[0-9]{1,2}:[0-9]{2}"
+_ANY = "[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
+DUCK_SHAPES = tuple(f"^{shape}$" for shape in (
+    _DAY, f"{_DAY} {_CLOCK}:[0-9]{{2}}", f"{_DAY}T{_CLOCK}:[0-9]{{2}}", "[0-9]{4}/[0-9]{2}/[0-9]{2}", _TWO, _TWO, "[0-9]{2}-[0-9]{2}-[0-9]{4}",
+    "[0-9]{1,2} [A-Za-z]{3} [0-9]{4}", f"[0-9]{{1,2}} {_LONG} [0-9]{{4}}", "[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}", f"{_LONG} [0-9]{{1,2}}, [0-9]{{4}}",
+    f"{_DAY} {_CLOCK}", f"{_DAY}T{_CLOCK}", f"{_DAY} {_CLOCK}:[0-9]{{2}}[.][0-9]{{1,6}}", f"{_DAY}T{_CLOCK}:[0-9]{{2}}[.][0-9]{{1,6}}",
+    f"{_DAY} {_CLOCK}:[0-9]{{2}}{_ZONE}", f"{_DAY}T{_CLOCK}:[0-9]{{2}}{_ZONE}", f"{_DAY}T{_CLOCK}:[0-9]{{2}}[.][0-9]{{1,6}}{_ZONE}",
+    f"[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}} {_CLOCK}:[0-9]{{2}}", f"{_TWO} {_CLOCK}", f"{_TWO} {_CLOCK}", f"[0-9]{{1,2}} [A-Za-z]{{3}} [0-9]{{4}} {_CLOCK}",
+    f"[A-Za-z]{{3}} [0-9]{{1,2}}, [0-9]{{4}} {_CLOCK}:[0-9]{{2}}", _ANY, _ANY, "[0-9]{8}", "[A-Za-z]{3} [0-9]{4}", f"{_LONG} [0-9]{{4}}",
+    f"{_ANY} {_HALF} [AaPp][Mm]", f"{_ANY} {_HALF}:[0-9]{{2}} [AaPp][Mm]"))
+
+
 def parsed(c: str, i: int) -> str:
     time = f"TRY_CAST({c} AS TIMESTAMPTZ)" if DUCK_FORMATS[i] is None else f"try_strptime({c}, '{DUCK_FORMATS[i]}')"
-    return f"CASE WHEN regexp_matches({c}, {text(rules.DATE_FORMATS[i][1])}) THEN CAST({time} AS TIMESTAMP) END"
+    return f"CASE WHEN regexp_matches({c}, {text(DUCK_SHAPES[i])}) THEN CAST({time} AS TIMESTAMP) END"
 
 
 def date_share(c: str) -> str:
@@ -208,7 +230,7 @@ def date_share(c: str) -> str:
 
 def id_name(name: str) -> bool:
     lowered = name.lower().strip()
-    return any(lowered == k or lowered.startswith(k + "_") or lowered.endswith("_" + k) for k in rules.ID_KEYWORDS)
+    return any(lowered == k or lowered.startswith(k + "_") or lowered.endswith("_" + k) for k in ID_WORDS)
 
 
 def roles(name: str, key: str | None = None) -> str:
@@ -669,8 +691,8 @@ def score_parts(name: str, rule) -> list[str]:
     if universal:
         parts += [num, f"near AS MATERIALIZED ({near})"]
     parts.append("scores AS MATERIALIZED (" + union([
-        f"SELECT {i} AS position, '{d}' AS dimension, CAST({rules.WEIGHTS[d]} AS DOUBLE) AS weight, round(CAST({steps[d]} AS DOUBLE), 2) AS score"
-        for i, d in enumerate(rules.DIMENSIONS, 1)]) + ")")
+        f"SELECT {i} AS position, '{d}' AS dimension, CAST({WEIGHTS[d]} AS DOUBLE) AS weight, round(CAST({steps[d]} AS DOUBLE), 2) AS score"
+        for i, d in enumerate(WEIGHTS, 1)]) + ")")
     return parts
 
 
@@ -712,7 +734,7 @@ def _scores() -> None:
     ORACLES["dqs_audit_lineitem"] = (with_table("lineitem", *score_parts("lineitem", rules.AUDIT))
                                      + f"\nSELECT {columns_sql} FROM scores")
     ORACLES["dqs_quick"] = with_table("dirty_customer") + "\n" + quick_select("t", columns("dirty_customer"), 1.03)
-    user = {**rules.WEIGHTS, "completeness": 0.5, "validity": 0.4}
+    user = {**WEIGHTS, "completeness": 0.5, "validity": 0.4}
     weight = "CASE " + " ".join(f"WHEN dimension = '{d}' THEN {w}" for d, w in user.items()) + f" END / CAST({sum(user.values())} AS DOUBLE)"
     ORACLES["user_weights"] = audit + (f"\nSELECT dimension, round({weight}, 6) AS weight, score, "
                                        f"round({weight} * score, 6) AS weighted FROM scores")
@@ -849,7 +871,7 @@ def _cleaning() -> None:
 def _sources() -> None:
     ORACLES["csv_orders"] = ("SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, "
                              "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000') AS o_orderdate, o_orderpriority FROM orders")
-    nulls = ", ".join(f"CASE WHEN {c} IN {words(rules.NULL_TOKENS)} THEN NULL ELSE {c} END AS {c}"
+    nulls = ", ".join(f"CASE WHEN {c} IN {words(NULLS)} THEN NULL ELSE {c} END AS {c}"
                       for c in columns("dirty_customer", STRING))
     read = typed("dirty_customer", columns("dirty_customer"), set()).replace("CAST(age AS INTEGER)", "CAST(age AS BIGINT)")
     read = read.replace("CAST(birth_month AS INTEGER)", "CAST(birth_month AS BIGINT)").replace(
@@ -881,7 +903,7 @@ def _more() -> None:
         f"SELECT '{a}' AS column_a, '{b}' AS column_b, {'CAST(any_value(1) AS DOUBLE)' if a == b else f'round({corr(a, b)}, 6)'} AS r FROM t"
         for a in names for b in names])
     ORACLES["worst_outliers"] = f"SELECT * FROM ({ORACLES['outlier_columns']}) AS o ORDER BY outlier_pct DESC, \"column\" LIMIT 6"
-    null = lambda c: f"CASE WHEN {c} NOT IN {words(rules.NULL_TOKENS)} THEN {c} END AS {c}"
+    null = lambda c: f"CASE WHEN {c} NOT IN {words(NULLS)} THEN {c} END AS {c}"
     ORACLES["csv_documents"] = f"SELECT doc_id, {null('text')}, {null('lang')}, {null('source')}, n_chars FROM documents"
     ORACLES["csv_latin1"] = (f"SELECT doc_id, {null('text')} FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x{{FF}}]', '?', 'g') AS text "
                              "FROM documents) AS d")

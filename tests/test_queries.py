@@ -15,7 +15,8 @@ SF = "/root/testdata/sf0.01"
 # A query of each kind; tests/compare.py runs them all.
 SHOWN = ("profile_columns", "describe_events", "classify_columns", "histogram", "box_stats_events", "outlier_rows",
          "value_counts_top20", "corr_matrix", "missing_by_column_audit", "consistency_issues_universal",
-         "impossible_values_audit", "duplicate_members", "near_duplicates_dirty", "findings", "clean_full", "csv_orders")
+         "impossible_values_audit", "duplicate_members", "near_duplicates_dirty", "findings", "clean_full", "csv_orders",
+         "compare_tables", "custom_rules", "unified_labels", "target_encoding", "tfidf_vocabulary", "rejected_cells", "json_nested", "column_losses_sum")
 
 
 @pytest.fixture(scope="module")
