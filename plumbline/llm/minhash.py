@@ -198,7 +198,8 @@ def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
 def _rare_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of the nodes (node, root) in different components that share one of their rarest shingles; no linked pair is missing."""
     tokens = sets.join(left, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
+    # Written first, so that both sides of the join are plain and Spark can split a shingle that very many nodes have.
+    counts = staged(tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "times")
     ordered = tokens.join(counts, "token").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("tokens"))
     # Shingles of one node only take the first places and meet nobody.
     placed = ordered.select("node", "root", "n", (F.col("n") - F.size("tokens")).alias("own"), F.posexplode("tokens").alias("pos", "t"))
