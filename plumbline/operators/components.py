@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.sources.staging import staged
+from plumbline.sources.staging import drop_staged_table, staged_path
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,7 +14,14 @@ def components(links: DataFrame) -> DataFrame:
     when a round changes nothing every component is a star. The links of a round are written, so a lost
     executor costs one round at most and plans stay short. No component is brought to one task.
     """
-    edges = staged(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
+    spark = links.sparkSession
+
+    def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        path = staged_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    edges, path = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
     before = None
     while True:
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("digest")).first()
@@ -24,7 +31,10 @@ def components(links: DataFrame) -> DataFrame:
         before = state
         turned = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         centre = turned.groupBy("a").agg(F.min("b").alias("near")).select("a", F.least("a", "near").alias("centre"))
-        large = staged(turned.where("b > a").join(centre, "a").select(F.col("centre").alias("a"), "b").where("a < b").distinct(), "large")
+        large, large_path = written(turned.where("b > a").join(centre, "a").select(F.col("centre").alias("a"), "b").where("a < b").distinct(), "large")
         below = large.groupBy("b").agg(F.min("a").alias("centre"))
         small = large.join(below, "b").select("centre", F.explode(F.array("a", "b")).alias("b")).select(F.col("centre").alias("a"), "b")
-        edges = staged(small.where("a < b").distinct(), "small")
+        edges, small_path = written(small.where("a < b").distinct(), "small")
+        for old in (path, large_path):  # the new links are written, so nothing reads these any more
+            drop_staged_table(spark, old)
+        path = small_path

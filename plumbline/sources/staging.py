@@ -49,6 +49,15 @@ def drop_staged_tables(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_staged_table(spark: SparkSession, path: str) -> None:
+    """Deletes one staged table that nothing reads any more, such as the state of a loop's last round."""
+    folder = path.rsplit("/", 1)[0]
+    if folder in _made:
+        _made.remove(folder)
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the staging folder and returns a scan of it."""
     path = staged_path(df.sparkSession, name)
