@@ -372,7 +372,8 @@ def _explorer() -> None:
         + count_if("value < low OR value > high") + " AS outliers, round("
         + count_if("value < low OR value > high") + " * 100.0 / count(*), 6) AS outlier_pct FROM t, "
         + bounds("value", 1.5) + " GROUP BY low, high")
-    ORACLES["value_counts_top20"] = top("dirty_customer", columns("dirty_customer", STRING), 20)
+    ORACLES["value_counts_top20"] = top("dirty_customer", ["segment", "segment_case", "label", "nation_text", "mixed_code"], 20)
+    ORACLES["value_counts_texts"] = top("dirty_customer", columns("dirty_customer", STRING), 20)
     ORACLES["value_counts_top30"] = top("events", ["event_type", "props"], 30)
     ORACLES["category_summary"] = with_table("dirty_customer") + "\n" + union([
         f"SELECT '{c}' AS \"column\", v AS top_value, n AS top_n, round(n * 100.0 / (SELECT count(*) FROM t), 1) AS pct, "

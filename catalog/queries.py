@@ -137,6 +137,8 @@ query("documents", name="outlier_rows_all")(
     lambda df: explore.outlier_rows(df, "n_chars", ["doc_id"], limit=None).select("doc_id", "lang", "source", "n_chars"))
 query("events", name="outlier_summary")(lambda df: explore.outlier_summary(df, "value"))
 query("dirty_customer", name="value_counts_top20")(
+    lambda df: explore.category_values(df, ["segment", "segment_case", "label", "nation_text", "mixed_code"]))
+query("dirty_customer", name="value_counts_texts")(
     lambda df: explore.category_values(df, [c.name for c in table_columns(df, "string")]))
 query("events", name="value_counts_top30")(lambda df: explore.category_values(df, ["event_type", "props"], 30))
 query("dirty_customer", name="category_summary")(
