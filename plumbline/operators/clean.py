@@ -140,7 +140,8 @@ def clean(df: DataFrame) -> DataFrame:
     df = null_placeholders(drop_empty_rows(rename_columns(normalise(df))))
     stats = present_cells(df)  # for both of the next steps, which change no row
     df = fill_missing(drop_sparse_columns(df, stats), stats)
-    return cap_outliers(tidy_text(staged(drop_duplicate_rows(df), "deduplicated")))
+    # Not by digest: the steps before are lazy, and digests would run them three times.
+    return cap_outliers(tidy_text(staged(_one_of_each(df), "deduplicated")))
 
 
 def preview(df: DataFrame, order_by: list[str], n: int = PREVIEW_ROWS) -> DataFrame:
