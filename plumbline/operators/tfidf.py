@@ -52,6 +52,8 @@ def tfidf(df: DataFrame, key: str, text: str, hot: int = HOT) -> tuple[DataFrame
     rest = weighed.where(F.col("df") <= limit).drop("df")
     marked = counts.join(often, "term", "left")
     cells = marked.where("idf IS NOT NULL").unionByName(marked.where("idf IS NULL").drop("index", "idf").join(rest, "term").select(*marked.columns))
-    vectors = cells.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("index", (F.col("tf") * F.col("idf")).alias("w")))).alias("x"))
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
-    return vectors.select(F.col("key").alias(key), F.col("x.index").alias("indices"), F.transform("x", lambda e: e["w"] / norm).alias("weights")), known
+    vectors = cells.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("index", (F.col("tf") * F.col("idf")).alias("w")))).alias("x"))
+    squares = F.aggregate("x", F.lit(0.0), lambda a, e: a + e["w"] * e["w"])
+    # The array of one norm binds it: inside the inner lambda alone it would be summed again for every term.
+    weights = F.flatten(F.transform(F.array(F.sqrt(squares)), lambda norm: F.transform("x", lambda e: e["w"] / norm)))
+    return vectors.select(F.col("key").alias(key), F.col("x.index").alias("indices"), weights.alias("weights")), known
