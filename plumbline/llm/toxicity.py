@@ -1,18 +1,19 @@
 """Toxicity: a convolutional text classifier, trained in numpy.
 
 Words are hashed to rows of an embedding table; filters of several widths slide over the whole text and
-the strongest response of each filter (max pooling) goes to a logistic output. Training takes a
-bounded, hash-ordered sample of the labelled rows (``SAMPLE`` rows a class, texts up to ``SAMPLE_CHARACTERS``);
-scoring takes every whole text. Only words are inputs: no id, source, language or label.
+the strongest response of each filter (max pooling) goes to a logistic output. Training takes every labelled
+row and scoring every row, both with whole texts. Only words are inputs: no id, source, language or label.
 
-The first embedding dimension starts at each word's deviation from an equal share of both classes, the rest at small random
-numbers, all from a fixed seed, so reruns agree. A part of the sample (``HELD``) isn't trained on: it sets the
-scale of the scores (0.7 is the score that parts the classes best there) and a threshold for each language.
+The first embedding dimension starts at each word's deviation from an equal share of both classes, counted over all training rows,
+the rest at small random numbers. Rows are dealt by the hash of their id into parts of some ``PART`` characters; a task trains each part
+from that common start, and the model is the mean of theirs, weighted by rows. Seeds, parts and the order in a part are fixed, so reruns agree.
+A part of the rows (``HELD``) isn't trained on: all of it sets the scale of the scores (0.7 is the score that parts the classes best there)
+and a threshold for each language, from counts of logits to 1/``STEPS``.
 
 The trained tables have a fixed size (``BUCKETS`` x filters), whatever the input, and are sent to the tasks.
 
 Defined cases: null or empty text: the score of a text of padding only. Labels that are null, repeated (the
-larger counts) or without a document are fine. Without both classes in the sample every score is 0. A
+larger counts) or without a document are fine; null texts aren't trained on. Without both classes in both parts every score is 0. A
 language without both classes in the held part has the common threshold. An empty table gives no rows.
 """
 
@@ -23,10 +24,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import by_value, column_or_null, map_batches, staged
+from plumbline.llm.common import by_value, column_or_null, map_batches, release, staged
 
 BUCKETS = 1 << 17
 DIMENSIONS = 16
@@ -34,8 +36,13 @@ WIDTHS = (1, 2, 3)
 FILTERS = 16
 # A word is hashed whole and by its first bytes, so that forms of one stem share an embedding.
 PREFIXES = (None, 4, 6)
-SAMPLE = 2500
-SAMPLE_CHARACTERS = 20_000
+# Characters of text that one model is trained on.
+PART = 16_000_000
+# The tables are summed in pieces, at most so many parts at once.
+PIECES = 64
+BUNDLE = 64
+STEPS = 1024
+HIGHEST = 32
 HELD = 0.25
 EPOCHS = 5
 BATCH = 32
@@ -97,8 +104,11 @@ class Model:
         return np.concatenate(found, axis=1)
 
     def scores(self, texts: list[list[bytes]]) -> np.ndarray:
+        return self.scaled(self.logits(texts).astype(np.float64))
+
+    def scaled(self, logits: np.ndarray) -> np.ndarray:
         slope, cut = self.scale
-        return 1 / (1 + np.exp(-np.clip(slope * (self.logits(texts).astype(np.float64) - cut), -30, 30) - np.log(THRESHOLD / (1 - THRESHOLD))))
+        return 1 / (1 + np.exp(-np.clip(slope * (logits - cut), -30, 30) - np.log(THRESHOLD / (1 - THRESHOLD))))
 
 
 def _chunks(texts: list[np.ndarray]):
@@ -112,15 +122,21 @@ def _chunks(texts: list[np.ndarray]):
         yield first, len(texts)
 
 
-def trained(texts: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Model:
-    """A model for texts of word buckets and labels 0 or 1, both of which must occur."""
-    random = np.random.default_rng(seed)
-    kinds = len(WIDTHS) * FILTERS
-    table = random.normal(0, 0.03, (BUCKETS, DIMENSIONS)).astype(np.float32)
+def counted(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The number of texts of each class with a bucket."""
     seen = np.zeros((2, BUCKETS), np.float32)
     for text, label in zip(texts, labels):
         seen[label, np.unique(text)] += 1
-    rate = labels.mean()
+    return seen
+
+
+def trained(texts: list[np.ndarray], labels: np.ndarray, seed: int = 0, seen: np.ndarray | None = None, rate: float | None = None) -> Model:
+    """A model for texts of word buckets and labels 0 or 1, both of which must occur, here or in ``seen`` and ``rate`` of all parts."""
+    random = np.random.default_rng(seed)
+    kinds = len(WIDTHS) * FILTERS
+    table = random.normal(0, 0.03, (BUCKETS, DIMENSIONS)).astype(np.float32)
+    seen = counted(texts, labels) if seen is None else seen
+    rate = labels.mean() if rate is None else rate
     expected = seen.sum(axis=0) * rate
     deviation = (seen[1] - expected) / np.sqrt(expected * (1 - rate) + 1)
     table[:, 0] = np.where(np.abs(deviation) < LEAST_DEVIATION, 0, 2 * deviation / max(float(np.abs(deviation).max()), 1))
@@ -153,14 +169,17 @@ def _gradients(texts, labels, weight, table, filters, bias, output, constant):
     ids = np.concatenate(texts)
     length = np.fromiter(map(len, texts), np.int64, len(texts))
     start = np.cumsum(length) - length
-    vectors = table[ids].sum(axis=1)
-    best, pooled = [], []
-    for f in filters:
-        size = len(ids) - len(f) + 1
-        total = sum(vectors[j:j + size] @ f[j] for j in range(len(f)))
-        at = np.stack([s + np.argmax(total[s:s + n - _PADDING], axis=0) for s, n in zip(start, length)])
-        best.append(at)
-        pooled.append(np.take_along_axis(total, at, axis=0))
+    best, pooled = [np.empty((len(texts), FILTERS), np.int64) for _ in filters], [np.full((len(texts), FILTERS), -np.inf, table.dtype) for _ in filters]
+    for row, (s, n) in enumerate(zip(start, length)):
+        # Long texts in pieces that overlap by a window; the first of equal responses counts.
+        for first in range(s, s + n - _PADDING, _CHUNK):
+            size = min(_CHUNK, s + n - _PADDING - first)
+            vectors = table[ids[first:first + size + _PADDING]].sum(axis=1)
+            for f, at, top in zip(filters, best, pooled):
+                total = sum(vectors[j:j + size] @ f[j] for j in range(len(f)))
+                place = np.argmax(total, axis=0)
+                value = np.take_along_axis(total, place[None], axis=0)[0]
+                at[row], top[row] = np.where(value > top[row], first + place, at[row]), np.maximum(value, top[row])
     hidden = np.concatenate(pooled, axis=1) + bias
     active = np.maximum(hidden, 0)
     error = (1 / (1 + np.exp(-np.clip(active @ output + constant, -30, 30))) - labels).astype(np.float32)[:, None] * weight[:, None] / len(texts)
@@ -170,7 +189,7 @@ def _gradients(texts, labels, weight, table, filters, bias, output, constant):
         part = back[:, k * FILTERS:(k + 1) * FILTERS]
         grad = np.empty_like(f)
         for j in range(len(f)):
-            grad[j] = np.einsum("nf,nfd->df", part, vectors[at + j])
+            grad[j] = np.einsum("nf,nfd->df", part, table[ids[at + j]].sum(axis=2))
             rows.append(ids[at + j].reshape(-1, len(PREFIXES)))
             values.append((part[:, :, None] * f[j].T).reshape(-1, DIMENSIONS))
         grad_filters.append(grad)
@@ -181,59 +200,128 @@ def _gradients(texts, labels, weight, table, filters, bias, output, constant):
     return touched, [grad_table, *grad_filters, back.sum(axis=0), (error * active).sum(axis=0), error.sum(axis=0)]
 
 
-def _best_cut(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the gap that parts the classes best: a share of class 0 above it costs ``CLEAN_COST`` times
-    as much as the same share of class 1 below it."""
-    order = np.argsort(scores, kind="stable")
-    scores, labels = scores[order], labels[order]
-    below = np.concatenate(([0], np.cumsum(labels))) / labels.sum()
-    right = np.concatenate(([0], np.cumsum(1 - labels))) / (1 - labels).sum()
+def _best_cut(logits: np.ndarray, counts: np.ndarray) -> float:
+    """The middle of the gap that parts the classes best, for ascending logits and the rows of both classes at each:
+    a share of class 0 above it costs ``CLEAN_COST`` times as much as the same share of class 1 below it."""
+    right, below = (np.concatenate(([0], np.cumsum(c))) / c.sum() for c in counts)
     gain = CLEAN_COST * right - below
-    ends = np.flatnonzero(np.concatenate(([True], scores[1:] != scores[:-1], [True])))
-    best = ends[np.flatnonzero(np.isclose(gain[ends], gain[ends].max()))]
+    best = np.flatnonzero(np.isclose(gain, gain.max()))
     at = int(best[len(best) // 2])
-    low, high = scores[max(at - 1, 0)], scores[min(at, len(scores) - 1)]
-    return float((low + high) / 2)
+    return float((logits[max(at - 1, 0)] + logits[min(at, len(logits) - 1)]) / 2)
+
+
+def _median(logits: np.ndarray, counts: np.ndarray) -> float:
+    ends = np.cumsum(counts)
+    return float((logits[np.searchsorted(ends, (ends[-1] - 1) // 2, "right")] + logits[np.searchsorted(ends, ends[-1] // 2, "right")]) / 2)
 
 
 def held_out(id_: Column) -> Column:
     return F.crc32(id_.cast("string").cast("binary")) % 3 == 1
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, language_column: str, label_id: str, label: str):
-    """Texts (words), labels and languages of the sampled rows: at most ``SAMPLE`` ids a class, in hash order, one row each."""
+def _labelled(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, language_column: str, label_id: str, label: str) -> DataFrame:
+    """(id, language, text, toxic, held): one row for each labelled id with a text."""
     known = (labels.where(labels[label].isin(0, 1)).groupBy(labels[label_id].alias("id")).agg(F.max(label).cast("int").alias("toxic"))
              .where("id IS NOT NULL").where(~held_out(F.col("id"))))
-    texts = docs.where(F.char_length(docs[text_column]) <= SAMPLE_CHARACTERS).select(
+    texts = docs.where(docs[text_column].isNotNull()).where(~held_out(docs[id_column])).select(
         docs[id_column].alias("id"), F.coalesce(column_or_null(docs, language_column, "string"), F.lit("")).alias("language"),
         docs[text_column].cast("binary").alias("text"))
-    # Labels of other tables don't count: only ids with a text that can be used are drawn from.
-    usable = staged(known.join(texts.select("id").distinct(), "id", "left_semi").select("id", "toxic", F.xxhash64("id").alias("place")), "usable")
-    parts = [usable.where(F.col("toxic") == k).orderBy("place", "id").limit(SAMPLE) for k in (0, 1)]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * SAMPLE ids
-    rows = texts.join(chosen, "id").groupBy("place", "id", "toxic").agg(F.min(F.struct("language", "text")).alias("x"))
-    found = rows.select("place", "id", "toxic", "x.language", "x.text").toArrow().sort_by([("place", "ascending"), ("id", "ascending")])
-    return ([words_of(x) for x in found["text"].to_pylist()], found["toxic"].to_numpy().astype(np.int64),
-            np.array(found["language"].to_pylist(), object))
+    rows = texts.groupBy("id").agg(F.min(F.struct("language", "text")).alias("x")).join(known, "id")
+    return rows.select("id", "x.language", "x.text", "toxic", (F.pmod(F.xxhash64("id", F.lit("held")), F.lit(round(1 / HELD))) == 0).alias("held"))
+
+
+def _sample(*arguments) -> tuple[list, np.ndarray, np.ndarray]:
+    """The words, labels and languages of all labelled rows, for a look at a small table."""
+    found = _labelled(*arguments).orderBy("id").toArrow()
+    return [words_of(x) for x in found["text"].to_pylist()], found["toxic"].to_numpy(), np.array(found["language"].to_pylist(), object)
+
+
+def _pieces(part: int, values: np.ndarray) -> pa.RecordBatch:
+    pieces = np.array_split(values.astype(np.float32).ravel(), PIECES)
+    return pa.RecordBatch.from_arrays([pa.array([part] * PIECES, pa.int64()), pa.array(range(PIECES), pa.int64()),
+                                       pa.array([x.tobytes() for x in pieces], pa.binary())], ["part", "piece", "x"])
+
+
+_PIECES_SCHEMA = "part long, piece long, x binary"
+
+
+def _summed(rows: DataFrame) -> np.ndarray:
+    """The sum of the arrays of all parts, whose size is fixed; a task adds up one piece of ``BUNDLE`` parts."""
+    def add(kind: type):
+        def run(key, table):
+            table = table.sort_by("part")
+            total = sum(np.frombuffer(x.as_py(), kind).astype(np.float64) for x in table["x"])
+            return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "piece": pa.array([key[1].as_py()], pa.int64()), "x": pa.array([total.tobytes()], pa.binary())})
+        return run
+    bundles = rows.groupBy(F.floor(F.col("part") / BUNDLE).alias("bundle"), "piece").applyInArrow(add(np.float32), _PIECES_SCHEMA)
+    found = bundles.groupBy(F.lit(0).alias("all"), "piece").applyInArrow(add(np.float64), _PIECES_SCHEMA).toArrow().sort_by("piece")
+    return np.concatenate([np.frombuffer(x.as_py(), np.float64) for x in found["x"]])
+
+
+def _seen(rows: DataFrame) -> np.ndarray:
+    def run(batches):
+        seen = np.zeros((2, BUCKETS), np.float32)
+        for batch in batches:
+            for text, label in zip(batch.column(0), batch.column(1)):
+                seen[label.as_py(), np.unique(buckets(words_of(text.as_py())))] += 1
+        yield _pieces(TaskContext.get().partitionId(), seen)
+    return _summed(rows.select("text", "toxic").mapInArrow(run, _PIECES_SCHEMA)).reshape(2, BUCKETS)
+
+
+def _averaged(rows: DataFrame, parts: int, count: int, seen: np.ndarray, rate: float) -> Model:
+    """The mean of the models that are trained on the parts, each with its share of the rows as weight."""
+    shared = rows.sparkSession.sparkContext.broadcast(seen.astype(np.float32))
+
+    def run(key, table):
+        table = table.sort_by("id")
+        texts = [buckets(words_of(x.as_py())).astype(np.int32) for x in table["text"]]
+        m = trained(texts, table["toxic"].to_numpy().astype(np.int64), seen=shared.value, rate=rate)
+        flat = np.concatenate([x.ravel() for x in (m.table, *m.filters, m.bias, m.output, np.array([m.constant]))])
+        return pa.Table.from_batches([_pieces(key[0].as_py(), flat * (len(texts) / count))])
+    dealt = rows.select("id", "text", "toxic", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(parts)).alias("part"))
+    flat = _summed(dealt.groupBy("part").applyInArrow(run, _PIECES_SCHEMA)).astype(np.float32)
+    kinds = len(WIDTHS) * FILTERS
+    shapes = [(BUCKETS, DIMENSIONS), *[(w, DIMENSIONS, FILTERS) for w in WIDTHS], (kinds,), (kinds,), (1,)]
+    ends = np.cumsum([int(np.prod(x)) for x in shapes])
+    found = [x.reshape(shape) for x, shape in zip(np.split(flat, ends[:-1]), shapes)]
+    return Model(found[0], found[1:-3], found[-3], found[-2], float(found[-1][0]))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang",
            label_id: str = "doc_id", label: str = "toxic") -> tuple[Model | None, dict[str, float]]:
     """The model and the threshold of each language."""
-    texts, toxic, language = _sample(docs, labels, id_column, text_column, language_column, label_id, label)
-    own = np.arange(len(texts)) % round(1 / HELD) == 0
-    if len(set(toxic[own])) < 2 or len(set(toxic[~own])) < 2:
+    rows = staged(_labelled(docs, labels, id_column, text_column, language_column, label_id, label), "labelled")
+    release(docs.sparkSession)
+    sizes = {(r.held, r.toxic): r for r in rows.groupBy("held", "toxic").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).collect()}
+    if len(sizes) < 4:
         return None, {}
-    model = trained([buckets(t) for t, o in zip(texts, own) if not o], toxic[~own])
-    held = [t for t, o in zip(texts, own) if o]
-    logits, classes = model.logits(held).astype(np.float64), toxic[own]
-    spread = np.median(logits[classes == 1]) - np.median(logits[classes == 0])
-    model.scale = (6.0 / max(spread, 1e-3), _best_cut(logits, classes))
-    scores, thresholds = model.scores(held), {}
-    for name in sorted(set(language[own])):
-        here = language[own] == name
-        if len(set(classes[here])) == 2:
-            thresholds[name] = _best_cut(scores[here], classes[here])
+    count = sizes[False, 0].n + sizes[False, 1].n
+    parts = -(-(sizes[False, 0].size + sizes[False, 1].size + 1) // PART)
+    learnt = rows.where("NOT held")
+    model = _averaged(learnt, parts, count, _seen(learnt), sizes[False, 1].n / count)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        logits = Model(**shared.value).logits([words_of(x) for x in batch.column(2).to_pylist()]).astype(np.float64)
+        places = np.rint(np.clip(logits, -HIGHEST, HIGHEST) * STEPS).astype(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places)], ["language", "toxic", "place"])
+    # At most 2 * HIGHEST * STEPS places for each language and class.
+    found = (map_batches(rows.where("held").select("language", "toxic", "text"), run, "language string, toxic int, place long")
+             .groupBy("language", "toxic", "place").count().toArrow())
+    language, toxic, place, n = (np.array(found[c].to_pylist(), object if c == "language" else np.int64) for c in ("language", "toxic", "place", "count"))
+
+    def table(here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        places, at = np.unique(place[here], return_inverse=True)
+        counts = np.zeros((2, len(places)), np.int64)
+        np.add.at(counts, (toxic[here], at), n[here])
+        return places / STEPS, counts
+    logits, counts = table(np.ones(len(n), bool))
+    model.scale = (6.0 / max(_median(logits, counts[1]) - _median(logits, counts[0]), 1e-3), _best_cut(logits, counts))
+    thresholds = {}
+    for name in sorted(set(language)):
+        logits, counts = table(language == name)
+        if counts.any(axis=1).all():
+            thresholds[name] = float(model.scaled(np.array([_best_cut(logits, counts)]))[0])
     return model, thresholds
 
 

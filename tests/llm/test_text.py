@@ -256,6 +256,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in unlabelled} == {0.0}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """The one sign of a class stands at the end of texts over 20,000 characters, and 6,000 plain texts a class hide few others."""
+    monkeypatch.setattr(toxicity, "PART", 600_000)
+    random.seed(11)
+    filler = " ".join(random.choices(["plain", "words", "of", "no", "weight"], k=4200))
+    texts = [(i, f"{filler} {'venom' if i % 2 else 'honey'}") for i in range(120)]
+    short = [(1000 + i, f"w{random.randint(0, 300)} w{random.randint(0, 300)}") for i in range(12000)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts + short], "doc_id long, toxic int")
+    docs = table(spark, texts + short)
+    usable = [(i, t) for i, t in texts + short if crc32(str(i).encode()) % 3 != 1]
+    rows = toxicity._labelled(docs, labels, "doc_id", "text", "lang", "doc_id", "toxic")
+    assert rows.count() == len(usable)
+    seen = toxicity._seen(rows)
+    for n, word in enumerate(("honey", "venom")):
+        bucket = toxicity.buckets([word.encode()])[0, 0]
+        assert seen[n, bucket] == sum(f" {word}" in t for _, t in usable)
+    model, _ = toxicity.fitted(docs, labels)
+    low, high = model.logits([toxicity.words_of(f"{filler} {w}".encode()) for w in ("honey", "venom")])
+    assert high > low + 0.5
+
+
 def test_texts_are_scored_alike_alone_and_together():
     random.seed(8)
     words = [f"w{i}".encode() for i in range(300)]
