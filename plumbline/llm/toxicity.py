@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import by_value, column_or_null, map_batches, release, staged
+from plumbline.llm.common import by_value, column_or_null, drop_staged, map_batches, packed, release
 
 BUCKETS = 1 << 17
 DIMENSIONS = 16
@@ -290,7 +290,7 @@ def _averaged(rows: DataFrame, parts: int, count: int, seen: np.ndarray, rate: f
 def fitted(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang",
            label_id: str = "doc_id", label: str = "toxic") -> tuple[Model | None, dict[str, float]]:
     """The model and the threshold of each language."""
-    rows = staged(_labelled(docs, labels, id_column, text_column, language_column, label_id, label), "labelled")
+    rows, path = packed(_labelled(docs, labels, id_column, text_column, language_column, label_id, label), "labelled")
     release(docs.sparkSession)
     sizes = {(r.held, r.toxic): r for r in rows.groupBy("held", "toxic").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).collect()}
     if len(sizes) < 4:
@@ -308,6 +308,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_c
     # At most 2 * HIGHEST * STEPS places for each language and class.
     found = (map_batches(rows.where("held").select("language", "toxic", "text"), run, "language string, toxic int, place long")
              .groupBy("language", "toxic", "place").count().toArrow())
+    drop_staged(docs.sparkSession, path)
     language, toxic, place, n = (np.array(found[c].to_pylist(), object if c == "language" else np.int64) for c in ("language", "toxic", "place", "count"))
 
     def table(here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
